@@ -32,30 +32,42 @@ def tally_alleles(df: DataFrame) -> DataFrame:
     df = packed(df)
     samples = packed_samples(df)
     site = [c for c in df.columns if c != GENOTYPES]
-    # Two steps, so that each array is computed once and then used several times.
+    # In steps, so that each array is computed once and then used several times.
     calls = df.select(
         *site,
         F.size(GENOTYPES).alias("_calls"),
         not_hom_ref(F.col(GENOTYPES)).alias("_rest"),
-        alternates(F.col("alternate_bases")).alias("_alternates"),
+        F.size(alternates(F.col("alternate_bases"))).alias("_n"),
     )
     parsed = calls.select(
         *site,
         (2 * (F.col("_calls") - F.size("_rest"))).cast("bigint").alias("_hom_ref"),
         allele_indices(F.col("_rest")).alias("_indices"),
-        F.size("_alternates").alias("_n"),
+        "_n",
     )
     indices, n = F.col("_indices"), F.col("_n")
-    per_alternate = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(1), n), lambda i: count_equal(indices, i))
+    beyond = F.filter(indices, lambda i: (i < 0) | (i > n))
+    counted = parsed.select(
+        *site,
+        F.when(n == 0, F.array().cast("array<bigint>"))
+        .otherwise(
+            F.transform(
+                F.sequence(F.lit(1), n), lambda i: count_equal(indices, i.cast("bigint"))
+            )
+        )
+        .alias("allele_counts"),
+        (F.col("_hom_ref") + count_equal(indices, F.lit(0).cast("bigint"))).alias(
+            "reference_count"
+        ),
+        (F.col("_hom_ref") + F.size(indices)).alias("_parsed"),
+        F.size(beyond).cast("bigint").alias("bad_calls"),
     )
-    valid = F.size(F.filter(indices, lambda i: (i >= 0) & (i <= n))).cast("bigint")
-    return parsed.select(
+    return counted.select(
         *site,
-        per_alternate.alias("allele_counts"),
-        (F.col("_hom_ref") + count_equal(indices, F.lit(0))).alias("reference_count"),
-        (F.col("_hom_ref") + valid).alias("allele_number"),
-        (F.size(indices).cast("bigint") - valid).alias("bad_calls"),
+        "allele_counts",
+        "reference_count",
+        (F.col("_parsed") - F.col("bad_calls")).alias("allele_number"),
+        "bad_calls",
         F.lit(len(samples)).cast("bigint").alias("n_samples"),
     )
 

@@ -1,10 +1,14 @@
 """Joins of variant tables on their key.
 
-Outer joins are written as the inner join plus anti joins. Spark can split a hot key
-of an inner join on both sides (AQE skew join), but not on the outer side of an outer
-join, so one key that fills much of a table would end in one task. The anti joins only
-meet the distinct keys of the other side, which are reduced before the shuffle.
-No side is broadcast by hint: Spark broadcasts below its own size threshold only.
+Spark splits a hot key of an inner join on both sides (AQE skew join), but in an outer
+join only the preserved side of a one-sided join. One key that fills much of the other
+side would end in one task. Outer joins therefore first look for such hot keys, a job
+that reads the key columns alone and counts before it shuffles. Without any, which is
+the rule, they are one plain join; else the rows of hot keys are joined apart, as an
+inner join.
+
+Only the set of hot keys is broadcast: a table of n rows has at most n / hot_rows of
+them. Everything else is left to Spark's own size threshold.
 """
 
 from functools import reduce
@@ -17,6 +21,9 @@ from siteweave.schema import GENOTYPES, KEY3, KEY4, KEY5, SAMPLES_KEY, require
 
 JOIN_TYPES = ("inner", "left", "right", "full")
 
+# Rows of one key that a single task may still hold.
+HOT_ROWS = 100_000
+
 
 def _prefixed(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     return df.select(
@@ -34,15 +41,66 @@ def _with_nulls(df: DataFrame, like: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
-def _key_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Join prefixed tables; `_side` tells which of them a row comes from."""
-    parts = [left.join(right, keys, "inner").withColumn("_side", F.lit("both"))]
-    if how in ("left", "full"):
-        alone = left.join(right.select(*keys).distinct(), keys, "left_anti")
-        parts.append(_with_nulls(alone, right, keys).withColumn("_side", F.lit("left")))
-    if how in ("right", "full"):
-        alone = right.join(left.select(*keys).distinct(), keys, "left_anti")
-        parts.append(_with_nulls(alone, left, keys).withColumn("_side", F.lit("right")))
+def has_hot_key(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> bool:
+    """Whether more than `hot_rows` rows may share a key.
+
+    A job over the key columns: rows are counted per key hash, first in each task, so a
+    hot key shuffles as one number. Equal hashes can only give a needless True.
+    """
+    counted = df.groupBy(F.xxhash64(*keys).alias("_hash")).agg(F.count("*").alias("_rows"))
+    most = counted.agg(F.max("_rows")).first()[0]
+    return most is not None and most > hot_rows
+
+
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys that more than `hot_rows` rows share; counted before the shuffle."""
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    return counted.where(F.col("_rows") > hot_rows).select(*keys)
+
+
+def _plain_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """One join; `_side` tells which table a row comes from."""
+    side = (
+        F.when(F.col("_on_right").isNull(), "left")
+        .when(F.col("_on_left").isNull(), "right")
+        .otherwise("both")
+    )
+    flagged = left.withColumn("_on_left", F.lit(True)).join(
+        right.withColumn("_on_right", F.lit(True)), keys, how
+    )
+    return flagged.withColumn("_side", side).drop("_on_left", "_on_right")
+
+
+def _key_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str, hot_rows: int
+) -> DataFrame:
+    """Join prefixed tables, rows of hot keys apart from the others."""
+    # The sides Spark cannot split in this kind of join.
+    unsplit = {"inner": [], "left": [right], "right": [left], "full": [left, right]}[how]
+    hot_sides = [df for df in unsplit if has_hot_key(df, keys, hot_rows)]
+    if not hot_sides:
+        return _plain_join(left, right, keys, how)
+    hot = F.broadcast(
+        reduce(
+            DataFrame.unionByName, [hot_keys(df, keys, hot_rows) for df in hot_sides]
+        ).distinct()
+    )
+    hot_left, hot_right = (df.join(hot, keys, "left_semi") for df in (left, right))
+    cold_left, cold_right = (df.join(hot, keys, "left_anti") for df in (left, right))
+    parts = [hot_left.join(hot_right, keys, "inner").withColumn("_side", F.lit("both"))]
+    if how == "full":
+        # A key that is hot on one side may be missing on the other. Rows with a null
+        # key match nothing and would all meet in one task.
+        no_null = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+        for side, df, other, hot_df, hot_other in (
+            ("left", left, right, hot_left, hot_right),
+            ("right", right, left, hot_right, hot_left),
+        ):
+            present = F.broadcast(hot_other.select(*keys).distinct())
+            for alone in (hot_df.join(present, keys, "left_anti"), df.where(~no_null)):
+                parts.append(_with_nulls(alone, other, keys).withColumn("_side", F.lit(side)))
+        cold_left, cold_right = cold_left.where(no_null), cold_right.where(no_null)
+    parts.append(_plain_join(cold_left, cold_right, keys, how))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -53,6 +111,7 @@ def join_variants(
     keys: list[str] = KEY5,
     coalesce: bool = False,
     parity_keys: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Equi-join on the variant key with the merged column list.
 
@@ -69,7 +128,7 @@ def join_variants(
     on_left = {c.lower() for c in left.columns}
     on_right = {c.lower() for c in right.columns}
     joined = _key_join(
-        _prefixed(left, keys, "l_"), _prefixed(right, keys, "r_"), keys, how
+        _prefixed(left, keys, "l_"), _prefixed(right, keys, "r_"), keys, how, hot_rows
     )
 
     def column(side: str, name: str) -> Column:
@@ -99,6 +158,7 @@ def merge_halves(
     b: DataFrame,
     keys: list[str] = KEY5,
     parity_keys: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Full outer merge of two variant tables with disjoint samples.
 
@@ -112,7 +172,7 @@ def merge_halves(
     fresh = [i for i, s in enumerate(second) if s not in taken]
     a = a.withColumnsRenamed({GENOTYPES: "_first"})
     b = b.withColumnsRenamed({GENOTYPES: "_second"})
-    merged = join_variants(a, b, "full", keys, coalesce=not parity_keys, parity_keys=parity_keys)
+    merged = join_variants(a, b, "full", keys, not parity_keys, parity_keys, hot_rows)
 
     def or_missing(column: str, n: int) -> Column:
         return F.coalesce(F.col(column), F.array_repeat(F.lit(None).cast("string"), n))
@@ -134,12 +194,14 @@ def merge_halves_without_end(a: DataFrame, b: DataFrame) -> DataFrame:
     return merge_halves(a, b, keys=KEY4)
 
 
-def annotate_variants(variants: DataFrame, annotation: DataFrame) -> DataFrame:
+def annotate_variants(
+    variants: DataFrame, annotation: DataFrame, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Left join of variants with their annotation rows.
 
     Several annotation rows for one key give several output rows.
     """
-    return join_variants(variants, annotation, "left")
+    return join_variants(variants, annotation, "left", hot_rows=hot_rows)
 
 
 def annotate_allele_match(
