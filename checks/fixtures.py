@@ -93,20 +93,6 @@ def wellderly_info() -> str:
     )
 
 
-def flat() -> str:
-    def call(s: str) -> str:
-        j = int(s[1:])
-        return (
-            f"SELECT {KEY}, '100' AS quality, 'PASS' AS filters, '{s}' AS call_set_name, "
-            f"'{POPULATION_OF[(j - 1) % 5]}' AS {{q}}SuperPopulation{{q}}, "
-            f"CASE WHEN (k + {j}) % 13 = 0 THEN '.' "
-            f"WHEN (k + {j * 3}) % 4 = 0 THEN '1' ELSE '0' END AS genotype "
-            f"FROM ({SITE}) AS site WHERE priority <> '1-URGENT'"
-        )
-
-    return " UNION ALL ".join(call(s) for s in SAMPLES2)
-
-
 def pop_arrays() -> str:
     counts = [f"(k + {i}) % 3" for i in range(5)] * 2
     arrays = ", ".join(
@@ -188,7 +174,6 @@ FIXTURES = {
     f"CAST(k % 200 AS BIGINT) AS ac FROM ({SITE}) AS site",
     "standard": f"SELECT {KEY}, CAST(k % 100 AS DOUBLE) / 100 AS minor_af, "
     f"CAST(k % 200 AS BIGINT) AS allele_count FROM ({SITE}) AS site",
-    "flat": flat(),
     "pop_arrays": pop_arrays(),
     "published": "SELECT reference_name, start_position AS {q}start{q}, "
     "end_position AS {q}end{q}, reference_bases, {split}(alternate_bases, ',') AS alternate_bases, "

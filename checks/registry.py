@@ -18,7 +18,7 @@ from checks.fixtures import (
     ctes,
     fixture,
 )
-from checks.scratch import new_path
+from checks.scratch import new_path, new_table
 from siteweave import operators as op
 from siteweave import plans, sources
 from siteweave.functions.info import plain_decimal
@@ -221,9 +221,8 @@ def _(spark, sf):
 
 @query("write_result_table", f"{ctes('ann')} SELECT * FROM ann")
 def _(spark, sf):
-    path = new_path(spark)
-    name = "result_" + path.replace("-", "/").replace("_", "/").split("/")[-2 if path.endswith("/out") else -1]
-    sources.write_result(fixture(spark, sf, "ann"), name, "table", mode="overwrite", location=path)
+    path, name = new_path(spark), new_table()
+    sources.write_result(fixture(spark, sf, "ann"), name, "table", location=path)
     return spark.table(name)
 
 
@@ -693,46 +692,78 @@ def _(spark, sf):
     )
 
 
-def sql_carriers(where: str) -> str:
+def flat_calls(spark, sf, half: str) -> DataFrame:
+    """Long calls of a half with the population of each sample, under their flat names."""
+    calls = op.calls_with_population(
+        fixture(spark, sf, half), fixture(spark, sf, "metadata"), keep=[*KEY5, "qual", "filter"]
+    )
+    return calls.withColumnsRenamed(
+        {"qual": "quality", "filter": "filters", "superpopulation": "SuperPopulation"}
+    )
+
+
+def sql_flat(half: str, samples: list[str]) -> str:
+    column = "Half1" if samples == SAMPLES1 else "Half2"
+    return (
+        f"SELECT {KEY}, qual AS quality, filter AS filters, sample AS call_set_name, "
+        f"gt AS genotype, pop FROM ({sql_calls(half, samples)}) c JOIN (SELECT "
+        f"\"SuperPopulation\" AS pop, unnest(string_split(\"{column}\", ',')) AS sample "
+        "FROM metadata) m USING (sample)"
+    )
+
+
+def sql_carriers(half: str, samples: list[str]) -> str:
     counts = ", ".join(
-        f"count(*) FILTER (\"SuperPopulation\" = '{p}' AND genotype = '1') AS n{p}" for p in POPULATIONS
+        f"count(*) FILTER (pop = '{p}' AND genotype = '1') AS n{p}" for p in POPULATIONS
     )
     return (
-        f"SELECT {KEY}, quality, filters, {counts} FROM flat WHERE {where} "
+        f"SELECT {KEY}, quality, filters, {counts} FROM ({sql_flat(half, samples)}) f "
         f"GROUP BY {KEY}, quality, filters"
     )
 
 
-@query(
-    "carriers_by_population",
-    f"{ctes('flat')} SELECT {KEY}, quality, filters, "
+CARRIERS = (
+    f"{ctes('half2', 'metadata')} SELECT {KEY}, quality, filters, "
     + ", ".join(f"CASE WHEN n{p} > 0 THEN to_json([n{p}])::VARCHAR END AS {p}" for p in POPULATIONS)
-    + f" FROM ({sql_carriers('true')})",
+    + f" FROM ({sql_carriers('half2', SAMPLES2)})"
 )
+
+
+@query("carriers_by_population", CARRIERS + " WHERE reference_name = 'Y'")
+def _(spark, sf):
+    return as_json(op.carriers_by_population(flat_calls(spark, sf, "half2")), *POPULATIONS)
+
+
+@query("carriers_on_every_chromosome", CARRIERS)
 def _(spark, sf):
-    carriers = op.carriers_by_population(fixture(spark, sf, "flat"), reference_name=None)
+    carriers = op.carriers_by_population(flat_calls(spark, sf, "half2"), reference_name=None)
     return as_json(carriers, *POPULATIONS)
 
 
 @query(
     "join_published_counts",
-    f"{ctes('flat', 'published')}, carriers AS ({sql_carriers('true')}) "
+    f"{ctes('half1', 'half2', 'metadata', 'published')}, "
+    f"c1 AS ({sql_carriers('half1', SAMPLES1)}), c2 AS ({sql_carriers('half2', SAMPLES2)}) "
     "SELECT p.\"start\", p.\"end\", p.reference_bases, p.alt AS alternate_bases, p.\"AC\", "
-    + ", ".join(f"CASE WHEN a.n{p} > 0 THEN a.n{p} END AS {p}1" for p in POPULATIONS)
+    + ", ".join(f"CASE WHEN c1.n{p} > 0 THEN c1.n{p} END AS {p}1" for p in POPULATIONS)
     + ", "
-    + ", ".join(f"CASE WHEN b.n{p} > 0 THEN b.n{p} END AS {p}2" for p in POPULATIONS)
+    + ", ".join(f"CASE WHEN c2.n{p} > 0 THEN c2.n{p} END AS {p}2" for p in POPULATIONS)
     + " FROM (SELECT *, unnest(alternate_bases) AS alt FROM published) p "
     + " ".join(
-        f"JOIN carriers {t} ON {t}.reference_name = p.reference_name AND {t}.start_position = p.\"start\" "
-        f"AND {t}.end_position = p.\"end\" AND {t}.reference_bases = p.reference_bases "
-        f"AND {t}.alternate_bases = p.alt"
-        for t in ("a", "b")
+        f"JOIN {c} ON {c}.reference_name = p.reference_name AND {c}.start_position = p.\"start\" "
+        f"AND {c}.end_position = p.\"end\" AND {c}.reference_bases = p.reference_bases "
+        f"AND {c}.alternate_bases = p.alt"
+        for c in ("c1", "c2")
     ),
 )
 def _(spark, sf):
-    carriers = op.carriers_by_population(fixture(spark, sf, "flat"), reference_name=None)
-    counts = carriers.withColumns({p: F.get(F.col(p), 0) for p in POPULATIONS})
-    return op.join_published_counts(fixture(spark, sf, "published"), counts, counts)
+    counts = [
+        op.carriers_by_population(flat_calls(spark, sf, half), reference_name=None).withColumns(
+            {p: F.get(F.col(p), 0) for p in POPULATIONS}
+        )
+        for half in ("half1", "half2")
+    ]
+    return op.join_published_counts(fixture(spark, sf, "published"), *counts)
 
 
 # --- lookups -----------------------------------------------------------------------

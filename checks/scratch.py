@@ -15,3 +15,8 @@ def new_path(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         return tempfile.mkdtemp(prefix="run-") + "/out"
     return f"{shared.rstrip('/')}/siteweave-{uuid.uuid4().hex}"
+
+
+def new_table() -> str:
+    """A fresh table name."""
+    return f"result_{uuid.uuid4().hex}"

@@ -7,6 +7,8 @@ being the reference. Parts that are not integers are ignored.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siteweave.functions.literals import literal_array
+
 HOM_REF = "0|0"
 
 
@@ -59,9 +61,8 @@ def carried_alleles(genotype: Column) -> Column:
 
 def carried_by(genotypes: Column, positions: list[int]) -> Column:
     """Sum of `carried_alleles` over the calls at the given array positions."""
-    picked = F.lit(positions) if positions else F.array().cast("array<int>")
     return F.aggregate(
-        picked,
+        literal_array(positions, "int"),
         F.lit(0).cast("bigint"),
         lambda total, at: total
         + carried_alleles(F.get(genotypes, at)).cast("bigint"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteweave.functions.genotypes import carried_by
+from siteweave.functions.literals import is_one_of
 from siteweave.operators.alleles import allele_counts
 from siteweave.operators.columns import packed, packed_samples, samples_by_population
 from siteweave.operators.filters import VariantFilter, filter_contained, filter_snp, filter_variants
@@ -63,7 +64,7 @@ def population_positions(
     at = {s: i for i, s in enumerate(packed_samples(df))}
     rows = (
         samples_by_population(metadata, populations)
-        .where(F.col("sample").isin(list(at)))
+        .where(is_one_of("sample", list(at)))
         .select("superpopulation", "sample")
         .distinct()
         .collect()

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteweave.functions.literals import literal_array, quoted_name, string_array
 from siteweave.schema import (
     BIN,
     BIN_WIDTH,
@@ -34,10 +35,9 @@ def pack_samples(df: DataFrame, samples: list[str] | None = None) -> DataFrame:
     sorts move only the genotypes, and a row never widens with the cohort.
     """
     samples = sample_columns(df) if samples is None else samples
-    dropped = {s for s in samples}
-    cells = [F.col(f"`{s}`").cast("string") for s in samples]
-    calls = F.array(*cells) if cells else F.array().cast("array<string>")
-    site = [F.col(f"`{c}`") for c in df.columns if c not in dropped]
+    packed_away = set(samples)
+    site = [F.col(quoted_name(c)) for c in df.columns if c not in packed_away]
+    calls = string_array(samples)
     return df.select(*site, calls.alias(GENOTYPES, metadata={SAMPLES_KEY: samples}))
 
 
@@ -51,16 +51,16 @@ def packed_samples(df: DataFrame) -> list[str]:
 
 
 def packed(df: DataFrame) -> DataFrame:
-    """The packed form of a table that may be wide or packed already."""
+    """The packed form of a table, which may be wide or packed already."""
     return df if GENOTYPES in df.columns else pack_samples(df)
 
 
 def wide(df: DataFrame) -> DataFrame:
     """Packed table -> wide table, the inverse of `pack_samples`."""
     samples = packed_samples(df)
-    site = [F.col(f"`{c}`") for c in df.columns if c != GENOTYPES]
-    cells = [F.get(F.col(GENOTYPES), i).alias(s) for i, s in enumerate(samples)]
-    return df.select(*site, *cells)
+    site = [quoted_name(c) for c in df.columns if c != GENOTYPES]
+    cells = [f"get({GENOTYPES}, {i}) AS {quoted_name(s)}" for i, s in enumerate(samples)]
+    return df.selectExpr(*site, *cells)
 
 
 def variant_columns(df: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def unpivot_calls(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     df = packed(df)
     keep = [c for c in df.columns if c != GENOTYPES] if keep is None else keep
     calls = F.arrays_zip(
-        F.lit(packed_samples(df)).alias("call_set_name"),
+        literal_array(packed_samples(df), "string").alias("call_set_name"),
         F.col(GENOTYPES).alias("genotype"),
     )
     return df.select(*keep, F.inline(calls).alias("call_set_name", "genotype"))

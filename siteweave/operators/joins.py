@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteweave.functions.literals import literal_array
 from siteweave.operators.columns import merge_columns, packed, packed_samples, star_except
 from siteweave.schema import GENOTYPES, KEY3, KEY4, KEY5, SAMPLES_KEY, require
 
@@ -180,7 +181,7 @@ def merge_halves(
     calls_b = or_missing("_second", len(second))
     if len(fresh) < len(second):
         calls_b = F.transform(
-            F.lit(fresh) if fresh else F.array().cast("array<int>"),
+            literal_array(fresh, "int"),
             lambda i: F.get(calls_b, i),
         )
     samples = first + [second[i] for i in fresh]

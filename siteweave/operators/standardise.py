@@ -44,22 +44,29 @@ def _position_rules(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def _split_records(parsed: DataFrame, rules: dict[str, Column], raw: list[str]) -> Standardised:
-    """`parsed` holds `_alts`, `_afs` (double) and `_acs` (bigint) arrays."""
-    parsed = parsed.withColumn("reason", _first_reason(rules))
+def _split_records(
+    parsed: DataFrame, rules: dict[str, Column], raw: list[str], skipped: Column | None = None
+) -> Standardised:
+    """`parsed` holds `_alts`, `_afs` (double) and `_acs` (bigint) arrays.
+
+    Rows are chosen by exploding an array that is null for the others. A filter would be
+    pushed below the parsing and repeat it for every mention of a parsed column.
+    """
+    kept = F.lit(True) if skipped is None else ~F.coalesce(skipped, F.lit(False))
+    judged = parsed.withColumns({"reason": _first_reason(rules), "_kept": kept})
     entries = F.arrays_zip(
         F.col("_alts").alias("alt"), F.col("_afs").alias("af"), F.col("_acs").alias("ac")
     )
-    good = parsed.where(F.col("reason").isNull())
-    records = good.select(
+    records = judged.select(
         "reference_name",
         *[F.col(p).try_cast("bigint").alias(p) for p in POSITIONS],
         "reference_bases",
-        F.inline(entries).alias("alternate_bases", "minor_af", "allele_count"),
+        F.inline(F.when(F.col("_kept") & F.col("reason").isNull(), entries)).alias(
+            "alternate_bases", "minor_af", "allele_count"
+        ),
     ).select(*STANDARD.names)
-    return Standardised(
-        records, parsed.where(F.col("reason").isNotNull()).select(*raw, "reason")
-    )
+    wrong = F.when(F.col("_kept") & F.col("reason").isNotNull(), F.array("reason"))
+    return Standardised(records, judged.select(*raw, F.explode(wrong).alias("reason")))
 
 
 def _lengths_differ(first: str, second: str) -> Column:
@@ -136,7 +143,7 @@ def standardise_keyed_info(df: DataFrame, anchored: bool = False) -> Standardise
     )
     same = F.size("_af_text") == F.size("_ac_text")
     skipped = same & F.exists("_af_text", lambda x: x == ".")
-    parsed = listed.where(~F.coalesce(skipped, F.lit(False))).withColumns(
+    parsed = listed.withColumns(
         {
             "_afs": F.transform("_af_text", lambda x: x.try_cast("double")),
             "_acs": F.transform("_ac_text", lambda x: x.try_cast("int").cast("bigint")),
@@ -151,7 +158,7 @@ def standardise_keyed_info(df: DataFrame, anchored: bool = False) -> Standardise
         "malformed allele count": _any_null("_acs"),
         "alternates and values differ in number": _lengths_differ("_alts", "_afs"),
     }
-    return _split_records(parsed, rules, df.columns)
+    return _split_records(parsed, rules, df.columns, skipped)
 
 
 def standard_to_json(records: DataFrame) -> DataFrame:
