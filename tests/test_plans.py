@@ -11,6 +11,15 @@ from siteweave.schema import KEY5
 
 SF = "/root/testdata/sf0.001"
 
+# Small enough that a few thousand rows of one key count as skew.
+SKEW = {
+    "spark__sql__autoBroadcastJoinThreshold": "-1",
+    "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "20KB",
+    "spark__sql__adaptive__advisoryPartitionSizeInBytes": "10KB",
+    "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "2.0",
+    "spark__sql__adaptive__coalescePartitions__enabled": "false",
+}
+
 
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
@@ -91,13 +100,8 @@ def test_gene_join_meets_on_bins(stored):
 
 
 def test_hot_key_is_found_and_split(spark, stored, settings):
-    settings(
-        spark__sql__autoBroadcastJoinThreshold="-1",
-        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20KB",
-        spark__sql__adaptive__advisoryPartitionSizeInBytes="10KB",
-        spark__sql__adaptive__skewJoin__skewedPartitionFactor="2.0",
-        spark__sql__adaptive__coalescePartitions__enabled="false",
-    )
+    settings(**SKEW)
+
     def sites(ids, start, note):
         return ids.select(
             F.lit("1").alias("reference_name"),
@@ -121,3 +125,77 @@ def test_hot_key_is_found_and_split(spark, stored, settings):
     annotated = op.annotate_variants(hot, few)
     annotated.collect()
     assert "skew=true" in plan_of(annotated)
+
+
+def chromosome(hot):
+    """Not one constant, which Spark would drop from the join keys."""
+    return F.when(hot, "1").otherwise((F.col("id") % 22 + 1).cast("string"))
+
+
+def crowded(spark):
+    """A third of the sites share one position, so one bin and one rsid."""
+    hot = F.col("id") % 3 == 0
+    start = F.when(hot, 7).otherwise(F.col("id") * 100)
+    return spark.range(0, 60_000, 1, 16).select(
+        chromosome(hot).alias("reference_name"),
+        start.alias("start_position"),
+        (start + 1).alias("end_position"),
+        F.concat(F.lit("rs"), start).alias("id"),
+        F.lit("A").alias("reference_bases"),
+        F.lit("C").alias("alternate_bases"),
+        F.sha2(F.col("id").cast("string"), 256).alias("note"),
+    )
+
+
+def test_hot_bin_of_a_gene_join_is_split(spark, settings):
+    settings(**SKEW)
+    genes = spark.range(0, 600 * 22).select(
+        F.concat(F.lit("G"), "id").alias("name2"),
+        (F.col("id") % 22 + 1).cast("string").alias("reference_name"),
+        (F.floor(F.col("id") / 22) * 10_000).alias("start_position"),
+        (F.floor(F.col("id") / 22) * 10_000 + 9_999).alias("end_position"),
+    )
+    joined = op.variants_by_gene(crowded(spark), genes)
+    assert len(joined.collect()) == 60_000
+    assert "skew=true" in plan_of(joined)
+
+
+def test_hot_rsid_is_split(spark, settings):
+    settings(**SKEW)
+    sites = crowded(spark)
+    dbsnp = sites.dropDuplicates(["id"]).select(
+        F.col("reference_name").alias("chrm"),
+        F.col("start_position").alias("start"),
+        F.col("end_position").alias("end"),
+        F.col("id").alias("ID"),
+    )
+    joined = op.variants_by_rsid(sites, dbsnp)
+    assert len(joined.collect()) == 60_000
+    assert "skew=true" in plan_of(joined)
+
+
+def test_chained_joins_are_split_when_forced(spark, settings):
+    settings(
+        **SKEW,
+        spark__sql__adaptive__forceOptimizeSkewedJoin="true",
+    )
+    sites = crowded(spark)
+    published = sites.select(
+        "reference_name",
+        F.col("start_position").alias("start"),
+        F.col("end_position").alias("end"),
+        "reference_bases",
+        F.array("alternate_bases").alias("alternate_bases"),
+        F.col("note").alias("AC"),
+    )
+    half = spark.range(0, 60_000, 1, 16).where("id % 3 <> 0 OR id = 0").select(
+        chromosome(F.col("id") == 0).alias("reference_name"),
+        F.when(F.col("id") == 0, 7).otherwise(F.col("id") * 100).alias("start_position"),
+        F.when(F.col("id") == 0, 8).otherwise(F.col("id") * 100 + 1).alias("end_position"),
+        F.lit("A").alias("reference_bases"),
+        F.lit("C").alias("alternate_bases"),
+        *[F.col("id").alias(p) for p in ("AMR", "EUR", "AFR", "SAS", "EAS")],
+    )
+    joined = op.join_published_counts(published, half, half)
+    assert len(joined.collect()) == 60_000
+    assert "skew=true" in plan_of(joined)
