@@ -17,8 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteweave.functions.literals import literal_array
-from siteweave.operators.columns import merge_columns, packed, packed_samples, star_except
-from siteweave.schema import GENOTYPES, KEY3, KEY4, KEY5, SAMPLES_KEY, require
+from siteweave.operators.columns import (
+    bin_width,
+    merge_columns,
+    packed,
+    packed_samples,
+    star_except,
+    with_bin,
+)
+from siteweave.schema import BIN, GENOTYPES, KEY3, KEY4, KEY5, SAMPLES_KEY, require
 
 JOIN_TYPES = ("inner", "left", "right", "full")
 
@@ -105,6 +112,18 @@ def _key_join(
     return reduce(DataFrame.unionByName, parts)
 
 
+def _same_bins(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bins of different widths must not meet in one column."""
+    if not {BIN} <= set(left.columns) & set(right.columns):
+        return left, right
+    width = bin_width(left)
+    if width == bin_width(right):
+        return left, right
+    if width is None:
+        return left.drop(BIN), right.drop(BIN)
+    return left, with_bin(right.drop(BIN), width)
+
+
 def join_variants(
     left: DataFrame,
     right: DataFrame,
@@ -125,6 +144,7 @@ def join_variants(
         raise ValueError(f"how must be one of {JOIN_TYPES}, not {how!r}")
     require(left, keys)
     require(right, keys)
+    left, right = _same_bins(left, right)
     merged = merge_columns(left.columns, right.columns)
     on_left = {c.lower() for c in left.columns}
     on_right = {c.lower() for c in right.columns}

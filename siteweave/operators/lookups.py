@@ -89,6 +89,17 @@ def gene_coordinates(genes: DataFrame, name: str) -> list[Coordinate]:
     return sorted(Coordinate(*row[1:]) for row in rows)
 
 
+def _with_bins(df: DataFrame, start: str, end: str, width: int, first: str) -> DataFrame:
+    """One row per bin of the interval, `_bin`, beside its lowest bin. The ends may come
+    in either order, as the comparisons that follow do not care."""
+    low = bin_of(F.least(start, end), width)
+    high = bin_of(F.greatest(start, end), width)
+    both = F.col(start).isNotNull() & F.col(end).isNotNull()
+    return df.where(both).select(
+        "*", low.alias(first), F.explode(F.sequence(low, high)).alias("_bin")
+    )
+
+
 def variants_by_gene(
     df: DataFrame,
     genes: DataFrame,
@@ -103,19 +114,10 @@ def variants_by_gene(
     overlapping pair shares only the first one counts.
     """
     width = bin_width(df) or BIN_WIDTH
-    spans = gene_intervals(genes, names).where("gene_start <= gene_end")
-    first, last = bin_of(F.col("gene_start"), width), bin_of(F.col("gene_end"), width)
-    spans = spans.select(
-        "*", first.alias("_first"), F.explode(F.sequence(first, last)).alias("_bin")
-    )
+    spans = _with_bins(gene_intervals(genes, names), "gene_start", "gene_end", width, "_first")
     start, end = F.col("start_position"), F.col("end_position")
     if overlap:
-        low = bin_of(start, width)
-        sites = df.where(start <= end).select(
-            "*",
-            low.alias("_low"),
-            F.explode(F.sequence(low, bin_of(end, width))).alias("_bin"),
-        )
+        sites = _with_bins(df, "start_position", "end_position", width, "_low")
         inside = (
             (start <= F.col("gene_end"))
             & (end >= F.col("gene_start"))

@@ -15,6 +15,10 @@ from siteweave.schema import (
 )
 
 
+# Fixed value: a quote inside quoted text is written twice.
+CSV_QUOTING = {"escape": '"'}
+
+
 def _typed(df: DataFrame) -> DataFrame:
     """Positions as bigint, whatever the files hold."""
     casts = {
@@ -85,7 +89,7 @@ def read_variants_csv(
 
     A gzip file is one task whatever its size; `partitions` spreads its rows.
     """
-    df = spark.read.schema(import_schema(columns)).csv(path)
+    df = spark.read.options(**CSV_QUOTING).schema(import_schema(columns)).csv(path)
     if partitions:
         df = df.repartition(partitions)
     return pack_samples(df) if pack else df
@@ -93,7 +97,8 @@ def read_variants_csv(
 
 def read_import_csv(spark: SparkSession, directory: str, columns: list[str]) -> DataFrame:
     """A directory of CSV files with a header row: bigint positions, the rest text."""
-    return spark.read.option("header", True).schema(import_schema(columns)).csv(directory)
+    reader = spark.read.options(header=True, **CSV_QUOTING)
+    return reader.schema(import_schema(columns)).csv(directory)
 
 
 def read_import_parquet(spark: SparkSession, *paths: str) -> DataFrame:
@@ -105,7 +110,8 @@ def read_string_csv(
     spark: SparkSession, directory: str, columns: list[str], header: bool = False
 ) -> DataFrame:
     """CSV with every column text, named by the caller."""
-    return spark.read.option("header", header).schema(string_schema(columns)).csv(directory)
+    reader = spark.read.options(header=header, **CSV_QUOTING)
+    return reader.schema(string_schema(columns)).csv(directory)
 
 
 def read_raw_vcf_csv(spark: SparkSession, directory: str) -> DataFrame:
@@ -115,9 +121,8 @@ def read_raw_vcf_csv(spark: SparkSession, directory: str) -> DataFrame:
     file with another one is an error, never a silent shift of columns.
     """
     df = (
-        spark.read.option("pathGlobFilter", "*.csv")
-        .option("header", True)
-        .option("enforceSchema", False)
+        spark.read.options(header=True, enforceSchema=False, **CSV_QUOTING)
+        .option("pathGlobFilter", "*.csv")
         .csv(directory)
     )
     return df.toDF(*[c.lower() for c in df.columns])
@@ -134,5 +139,5 @@ def read_lookup(spark: SparkSession, path: str) -> DataFrame:
 def read_sharded_dir(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     """All shards of a result directory as one table; gzip text is unpacked."""
     if fmt == "csv":
-        options = {"header": True, **options}
+        options = {"header": True, **CSV_QUOTING, **options}
     return spark.read.options(**options).format(fmt).load(path)

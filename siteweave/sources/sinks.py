@@ -7,6 +7,7 @@ from siteweave.functions.info import plain_decimal
 from siteweave.operators.alleles import REPORT_COLUMNS, allele_report
 from siteweave.operators.columns import drop_by_suffix
 from siteweave.schema import STANDARD
+from siteweave.sources.readers import CSV_QUOTING
 
 
 def write_result(
@@ -23,7 +24,7 @@ def write_result(
     if fmt == "parquet":
         writer.parquet(target)
     elif fmt == "csv":
-        writer.option("header", True).option("compression", "gzip").csv(target)
+        writer.options(header=True, compression="gzip", **CSV_QUOTING).csv(target)
     elif fmt == "table":
         (writer.option("path", location) if location else writer).saveAsTable(target)
     else:
@@ -69,4 +70,4 @@ def write_standard_csv(records: DataFrame, path: str, mode: str = "errorifexists
         (plain_decimal(F.col(c)) if c == "minor_af" else F.col(c)).alias(c.upper())
         for c in STANDARD.names
     ]
-    records.select(*columns).write.mode(mode).option("header", True).csv(path)
+    records.select(*columns).write.mode(mode).options(header=True, **CSV_QUOTING).csv(path)

@@ -249,6 +249,34 @@ def test_overlap_counts_a_pair_once(spark):
     assert sorted(r["start_position"] for r in found) == [10, 49]
 
 
+def test_overlap_of_reversed_intervals(spark):
+    genes = spark.createDataFrame(
+        [("G1", "1", 0, 400_000), ("G2", "1", 200_000, 100_000)],
+        "name2 string, reference_name string, start_position long, end_position long",
+    )
+    spans = [(300_000, 100_000), (90_000, 210_000), (None, 5), (5, None), (150_000, 160_000)]
+    rows = [("1", a, b, "x", "A", "C", "1", "PASS") for a, b in spans]
+    found = op.variants_by_gene(table(spark, rows, []), genes, overlap=True).collect()
+    expected = [
+        (g, a)
+        for g, lo, hi in (("G1", 0, 400_000), ("G2", 200_000, 100_000))
+        for a, b in spans
+        if a is not None and b is not None and a <= hi and b >= lo
+    ]
+    assert sorted((r["gene"], r["start_position"]) for r in found) == sorted(expected)
+
+
+def test_merge_of_different_bin_widths(spark):
+    a = op.with_bin(table(spark, [site(150_000) + ("0|1",)], ["s1"]), 1000)
+    b = op.with_bin(table(spark, [site(250_000) + ("0|1",)], ["s2"]), 50)
+    merged = op.merge_halves(a, b)
+    assert sorted(r["bin_id"] for r in merged.collect()) == [150, 250]
+    where = VariantFilter("1", 240_000, 260_000)
+    assert op.filter_variants(merged, where).count() == 1
+    unknown = table(spark, [site(1) + ("0|1",)], ["s3"]).withColumn("bin_id", F.lit(0))
+    assert "bin_id" not in op.merge_halves(unknown, a).columns
+
+
 def test_rsid_rules(spark):
     dbsnp = spark.createDataFrame(
         [("1", 5, 6, "A", "C", "rs5"), ("1", 7, 8, "A", "C", "rs7"), ("2", 7, 8, "A", "C", "rs7")],

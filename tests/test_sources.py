@@ -181,3 +181,13 @@ def test_raw_names_clash_is_an_error(spark):
     df = spark.createDataFrame([("1", 5, 5)], "reference_name string, POS long, start_position long")
     with pytest.raises(ValueError):
         op.normalise_raw(df)
+
+
+def test_quotes_and_commas_survive_csv(spark, tmp_path):
+    path = str(tmp_path / "q")
+    text = 'say "AC=1,2", then \\ more'
+    df = variants(spark, 3).withColumn("id", F.lit(text))
+    sources.write_result(df, path, "csv")
+    assert {r["id"] for r in sources.read_import_csv(spark, path, df.columns).collect()} == {text}
+    (tmp_path / "raw.csv").write_text('INFO,pos\n"a ""b"", c",5\n')
+    assert sources.read_raw_vcf_csv(spark, str(tmp_path)).first()["info"] == 'a "b", c'
