@@ -1059,6 +1059,21 @@ def variants(spark, sf):
     return plans.variants(both(spark, sf), gene="GENE0", genes=fixture(spark, sf, "genes"))
 
 
+@query(
+    "variants_envelope",
+    f"{ctes('half1', 'half2')} "
+    + " UNION ALL ".join(
+        f"SELECT '{h}' AS source, 'variants' AS \"table\", count(*) AS data_count, "
+        "'[\"reference_name\",\"start_position\",\"end_position\",\"id\",\"reference_bases\","
+        f"\"alternate_bases\",\"allele_count\",\"af\"]' AS headers FROM {h} WHERE {IN_GENE0}"
+        for h in ("half1", "half2")
+    ),
+)
+def _(spark, sf):
+    genes = fixture(spark, sf, "genes")
+    return as_json(plans.variants_envelope(both(spark, sf), gene="GENE0", genes=genes), "headers")
+
+
 @query(
     "variants_of_chromosome",
     f"{ctes('half1', 'half2')} "

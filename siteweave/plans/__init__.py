@@ -4,6 +4,7 @@ from siteweave.plans.workflows import (
     stat,
     superpopulation_counts_by_gene,
     variants,
+    variants_envelope,
 )
 
-__all__ = ["annotate", "count", "stat", "superpopulation_counts_by_gene", "variants"]
+__all__ = ["annotate", "count", "stat", "superpopulation_counts_by_gene", "variants", "variants_envelope"]

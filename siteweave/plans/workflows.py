@@ -15,6 +15,7 @@ from siteweave.operators.alleles import allele_report
 from siteweave.operators.filters import VariantFilter, filter_variants
 from siteweave.operators.joins import annotate_variants
 from siteweave.operators.lookups import gene_coordinates, rsid_location
+from siteweave.sources.sinks import variant_envelope
 
 
 
@@ -62,6 +63,23 @@ def _resolve(
     return [where]
 
 
+def _variant_filters(
+    where: VariantFilter,
+    gene: str | None,
+    rsid: str | None,
+    genes: DataFrame | None,
+    dbsnp: DataFrame | None,
+) -> list[VariantFilter]:
+    """The filters of a variant question, which must name a place, a gene or an rsid."""
+    rsid = rsid or where.rsid
+    if gene is None and rsid is None:
+        if where.reference_name is None:
+            raise ValueError("give an rsid, a gene or a reference name")
+        if where.start_position is None and where.end_position is None:
+            raise ValueError("give a start or an end position")
+    return _resolve(where, gene, genes, rsid, dbsnp)
+
+
 def _filtered(df: DataFrame, wheres: list[VariantFilter]) -> DataFrame:
     """Rows of any of the filters, which never share a chromosome."""
     return reduce(DataFrame.unionByName, [filter_variants(df, w) for w in wheres])
@@ -104,17 +122,32 @@ def variants(
 ) -> DataFrame:
     """Matching variants of every source, one row per alternate, with allele count and
     frequency, labelled by source."""
-    if gene is None and rsid is None and where.rsid is None:
-        if where.reference_name is None:
-            raise ValueError("give an rsid, a gene or a reference name")
-        if where.start_position is None and where.end_position is None:
-            raise ValueError("give a start or an end position")
-    wheres = _resolve(where, gene, genes, rsid or where.rsid, dbsnp)
+    wheres = _variant_filters(where, gene, rsid, genes, dbsnp)
     return _tagged(
         {name: allele_report(_filtered(df, wheres)) for name, df in sources.items()}
     )
 
 
+def variants_envelope(
+    sources: dict[str, DataFrame],
+    where: VariantFilter = VariantFilter(),
+    gene: str | None = None,
+    rsid: str | None = None,
+    genes: DataFrame | None = None,
+    dbsnp: DataFrame | None = None,
+) -> DataFrame:
+    """What `variants` would answer, without the rows: one row per source with the
+    number of matching sites and the headers."""
+    wheres = _variant_filters(where, gene, rsid, genes, dbsnp)
+    return reduce(
+        DataFrame.unionByName,
+        [
+            variant_envelope(_filtered(df, wheres), name, "variants")
+            for name, df in sources.items()
+        ],
+    )
+
+
 def annotate(
     variants: DataFrame,
     annotation: DataFrame,

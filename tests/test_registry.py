@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as driver
 from checks.compare import connect, difference
+from conftest import plan_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,6 +18,9 @@ def duck():
 def test_query_equals_oracle(spark, duck, name):
     df = driver.queries()[name](spark, SF)
     assert difference(df, duck, driver.oracle_sql()[name]) is None
+    plan = plan_of(df)
+    for node in ("Python", "ArrowEval", "CartesianProduct", "NestedLoopJoin"):
+        assert node not in plan
 
 
 def test_every_query_has_an_oracle():
