@@ -4,16 +4,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def alternates(alternate_bases: Column) -> Column:
-    """The alternates as an array, without trimming.
+def alternates(column: str = "alternate_bases") -> str:
+    """SQL for the alternates as an array, without trimming.
 
     Trailing commas add nothing, while an empty entry between two commas keeps its
     place, because genotype indices count entries.
     """
-    trimmed = F.rtrim(alternate_bases, F.lit(","))
-    only_commas = (trimmed == "") & (alternate_bases != "")
-    return F.when(only_commas, F.array().cast("array<string>")).otherwise(
-        F.split(trimmed, ",")
+    listed = f"trim(TRAILING ',' FROM {column})"
+    return (
+        f"CASE WHEN {listed} = '' AND {column} <> '' THEN CAST(array() AS array<string>) "
+        f"ELSE split({listed}, ',') END"
     )
 
 

@@ -2,6 +2,8 @@
 
 A genotype is `a|b` (phased), `a` (haploid) or `.`; each part is an allele index, 0
 being the reference. Parts that are not integers are ignored.
+
+The expressions of the hot path are SQL text: each reaches Spark in one call.
 """
 
 from pyspark.sql import Column
@@ -12,28 +14,28 @@ from siteweave.functions.literals import literal_array
 HOM_REF = "0|0"
 
 
-def not_hom_ref(genotypes: Column) -> Column:
-    """Drop the `0|0` calls, by far the most common ones. Unlike a lambda, this is
-    compiled, so that the lambdas below see only the few calls that are left."""
-    return F.array_remove(genotypes, HOM_REF)
+def not_hom_ref(genotypes: str) -> str:
+    """SQL that drops the `0|0` calls, by far the most common ones. Unlike a lambda,
+    this is compiled, so that the lambdas below see only the few calls that are left."""
+    return f"array_remove({genotypes}, '{HOM_REF}')"
 
 
-def allele_indices(genotypes: Column) -> Column:
-    """Every integer allele index in the calls, as one array of bigint."""
-    parts = F.split(F.array_join(genotypes, "|"), "\\|")
-    parsed = F.transform(
-        parts,
-        lambda p: F.when(p == "0", F.lit(0).cast("bigint"))
-        .when(p == "1", F.lit(1).cast("bigint"))
-        .when(p == ".", F.lit(None).cast("bigint"))
-        .when(p.rlike("^[+-]?[0-9]+$"), p.try_cast("bigint")),
-    )
-    return F.array_compact(parsed)
+def allele_indices(genotypes: str) -> str:
+    """SQL for every integer allele index in the calls, as one array of bigint."""
+    return f"""
+        array_compact(transform(
+          split(array_join({genotypes}, '|'), '[|]'),
+          part -> CASE
+            WHEN part = '0' THEN 0L
+            WHEN part = '1' THEN 1L
+            WHEN part = '.' THEN NULL
+            WHEN part RLIKE '^[+-]?[0-9]+$' THEN try_cast(part AS bigint)
+          END))"""
 
 
-def count_equal(indices: Column, wanted: Column) -> Column:
-    """How many entries equal `wanted`; the array holds no nulls."""
-    return (F.size(indices) - F.size(F.array_remove(indices, wanted))).cast("bigint")
+def count_equal(indices: str, wanted: str) -> str:
+    """SQL for how many entries equal `wanted`; the array holds no nulls."""
+    return f"CAST(size({indices}) - size(array_remove({indices}, CAST({wanted} AS bigint))) AS bigint)"
 
 
 # Non-reference alleles carried by each known genotype text. Any text

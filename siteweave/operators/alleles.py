@@ -5,21 +5,23 @@ from pyspark.sql import functions as F
 
 from siteweave.functions.alternates import alternates
 from siteweave.functions.genotypes import allele_indices, count_equal, not_hom_ref
+from siteweave.functions.literals import quoted_name
 from siteweave.operators.columns import packed, packed_samples
 from siteweave.schema import GENOTYPES
 
 
+def _names(columns: list[str]) -> list[str]:
+    return [quoted_name(c) for c in columns]
+
+
 def split_alternates(df: DataFrame) -> DataFrame:
     """One row per alternate; `allele_index` is its place in the list, from 1."""
-    others = [c for c in df.columns if c not in ("alternate_bases", "allele_index")]
-    exploded = df.select(
-        *others,
-        F.posexplode(alternates(F.col("alternate_bases"))).alias("at", "one_alternate"),
-    )
     order = [c for c in df.columns if c != "allele_index"]
-    return exploded.withColumnsRenamed({"one_alternate": "alternate_bases"}).select(
-        *order, (F.col("at") + 1).alias("allele_index")
+    others = [c for c in order if c != "alternate_bases"]
+    exploded = df.selectExpr(
+        *_names(others), f"posexplode({alternates()}) AS (_at, alternate_bases)"
     )
+    return exploded.selectExpr(*_names(order), "_at + 1 AS allele_index")
 
 
 def tally_alleles(df: DataFrame) -> DataFrame:
@@ -30,53 +32,46 @@ def tally_alleles(df: DataFrame) -> DataFrame:
     name no allele of the site, and `n_samples` the sample columns of the table.
     """
     df = packed(df)
-    samples = packed_samples(df)
-    site = [c for c in df.columns if c != GENOTYPES]
+    n_samples = len(packed_samples(df))
+    site = _names([c for c in df.columns if c != GENOTYPES])
     # In steps, so that each array is computed once and then used several times.
-    calls = df.select(
+    calls = df.selectExpr(
         *site,
-        F.size(GENOTYPES).alias("_calls"),
-        not_hom_ref(F.col(GENOTYPES)).alias("_rest"),
-        F.size(alternates(F.col("alternate_bases"))).alias("_n"),
+        f"size({GENOTYPES}) AS _calls",
+        f"{not_hom_ref(GENOTYPES)} AS _rest",
+        f"size({alternates()}) AS _n",
     )
-    parsed = calls.select(
+    parsed = calls.selectExpr(
         *site,
-        (2 * (F.col("_calls") - F.size("_rest"))).cast("bigint").alias("_hom_ref"),
-        allele_indices(F.col("_rest")).alias("_indices"),
+        "CAST(2 * (_calls - size(_rest)) AS bigint) AS _hom_ref",
+        f"{allele_indices('_rest')} AS _indices",
         "_n",
     )
-    indices, n = F.col("_indices"), F.col("_n")
-    beyond = F.filter(indices, lambda i: (i < 0) | (i > n))
-    counted = parsed.select(
+    counted = parsed.selectExpr(
         *site,
-        F.when(n == 0, F.array().cast("array<bigint>"))
-        .otherwise(
-            F.transform(
-                F.sequence(F.lit(1), n), lambda i: count_equal(indices, i.cast("bigint"))
-            )
-        )
-        .alias("allele_counts"),
-        (F.col("_hom_ref") + count_equal(indices, F.lit(0).cast("bigint"))).alias(
-            "reference_count"
-        ),
-        (F.col("_hom_ref") + F.size(indices)).alias("_parsed"),
-        F.size(beyond).cast("bigint").alias("bad_calls"),
+        "CASE WHEN _n = 0 THEN CAST(array() AS array<bigint>) ELSE "
+        f"transform(sequence(1, _n), i -> {count_equal('_indices', 'i')}) END AS allele_counts",
+        f"_hom_ref + {count_equal('_indices', '0')} AS reference_count",
+        "_hom_ref + size(_indices) AS _parsed",
+        "CAST(size(filter(_indices, i -> i < 0 OR i > _n)) AS bigint) AS bad_calls",
     )
-    return counted.select(
+    return counted.selectExpr(
         *site,
         "allele_counts",
         "reference_count",
-        (F.col("_parsed") - F.col("bad_calls")).alias("allele_number"),
+        "_parsed - bad_calls AS allele_number",
         "bad_calls",
-        F.lit(len(samples)).cast("bigint").alias("n_samples"),
+        f"{n_samples}L AS n_samples",
     )
 
 
 def allele_counts(df: DataFrame) -> DataFrame:
     """One row per alternate with its `allele_count`, beside the site's totals."""
     tallied = split_alternates(tally_alleles(df))
-    count = F.get(F.col("allele_counts"), F.col("allele_index") - 1)
-    return tallied.withColumn("allele_count", count).drop("allele_counts", "allele_index")
+    kept = [c for c in tallied.columns if c not in ("allele_counts", "allele_index")]
+    return tallied.selectExpr(
+        *_names(kept), "get(allele_counts, allele_index - 1) AS allele_count"
+    )
 
 
 def with_frequencies(counts: DataFrame) -> DataFrame:
