@@ -122,3 +122,19 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = saved(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """About `most` rows at the most, by a hash of their key: all rows if there are fewer,
+    the same ones on each run, and spread evenly over the table."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    slices = 1_000_003
+    # 5 % under the bound, so that chance does not exceed it
+    return rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(slices)) < int(slices * 0.95 * most / n))
+
+
+def crc_part(id_column: str, parts: int) -> "F.Column":
+    """The remainder of crc32 of the id as text."""
+    return F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(parts))
