@@ -12,6 +12,8 @@ from siteweave.llm.common import WORD, saved, table
 BITS = 12
 LEVELS = 3
 
+Weights = Callable[[list[str | None]], list[float]]
+
 
 def targets_of(sizes: list[tuple[str | None, int]], weights: list[float], total: float, most: float):
     """Shares of `total` by weight; what exceeds `most` times a source's size goes to the
@@ -37,9 +39,54 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def place_of(id_column: str, text_column: str) -> Column:
+    """A number of LEVELS * BITS bits from the hash of a row."""
+    mark = F.xxhash64(F.col(id_column), F.crc32(F.encode(text_column, "UTF-8")))
+    return F.shiftrightunsigned(mark, 64 - BITS * LEVELS)
+
+
+def copies_of(place: Column) -> Column:
+    """How often the mixture takes a row of this place, beside the columns of `sources_mixed`."""
+    return F.col("mix_times") + (place < F.col("mix_cut")).cast("int")
+
+
+def sources_mixed(rows: DataFrame, weights: Weights, share: float, most: float) -> DataFrame:
+    """One row per source of (source, size, h): mix_source, mix_size, mix_target, mix_times,
+    mix_cut. What the driver holds is a few numbers a source."""
+    found = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    # by code point, which is also the order of the UTF-8 bytes
+    order = sorted(found, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+    sizes = [(r["source"], r["size"]) for r in order]
+    total = sum(size for _, size in sizes)
+    targets = targets_of(sizes, weights([name for name, _ in sizes]), share * total, most)
+    plan = []
+    for (name, size), target in zip(sizes, targets, strict=True):
+        times = int(target // size) if size else 0
+        plan.append((name, size, target, times, target - times * size))
+    schema = "mix_source string, mix_size long, mix_target double, mix_times int, rest double"
+    mixture = rows.sparkSession.createDataFrame(plan, schema)
+    cuts = thresholds(rows, mixture.select(F.col("mix_source").alias("source"), "rest"))
+    return saved(
+        mixture.join(cuts, mixture["mix_source"].eqNullSafe(cuts["source"]), "left").select(
+            "mix_source", "mix_size", "mix_target", "mix_times", F.col("cut").alias("mix_cut")
+        )
+    )
+
+
+def measured(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
+    return saved(
+        docs.select(
+            F.col(id_column).alias("doc_id"),
+            F.col(source_column).cast("string").alias("source"),
+            word_count(F.col(text_column)).alias("size"),
+            place_of(id_column, text_column).alias("h"),
+        )
+    )
+
+
 def mix(
     docs: DataFrame,
-    weights: Callable[[list[str | None]], list[float]],
+    weights: Weights,
     share: float,
     most: float = 2.0,
     id_column: str = "doc_id",
@@ -57,44 +104,45 @@ def mix(
     bits, and so on, LEVELS times. The documents taken at a smaller budget are among those
     taken at a larger one. Nothing is sorted, and the driver holds a few numbers a source.
 
-    Returns one row per row of `docs`: doc_id, size, source_size, target, taken, source.
-    Null and empty texts have size 0 and are taken 0 words; a null source is a source; rows
+    Returns one row per row of `docs`: doc_id, size, source_size, target, taken, copies.
+    Null and empty texts have size 0 and 0 words taken; a null source is a source; rows
     alike in id and text share their hash and go in or stay out together; no rows give none.
     """
-    rows = saved(
-        docs.select(
-            F.col(id_column).alias("doc_id"),
-            F.col(source_column).alias("source"),
-            word_count(F.col(text_column)).alias("size"),
-            # a non-negative number of LEVELS * BITS bits
-            F.shiftrightunsigned(
-                F.xxhash64(F.col(id_column), F.crc32(F.encode(text_column, "UTF-8"))), 64 - BITS * LEVELS
-            ).alias("h"),
-        )
-    )
-    found = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
-    # by code point, which is also the order of the UTF-8 bytes
-    order = sorted(found, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    sizes = [(r["source"], r["size"]) for r in order]
-    total = sum(size for _, size in sizes)
-    targets = targets_of(sizes, weights([name for name, _ in sizes]), share * total, most)
-    plan = []
-    for (name, size), target in zip(sizes, targets, strict=True):
-        times = int(target // size) if size else 0
-        plan.append((name, size, target, times, target - times * size))
-    spark = docs.sparkSession
-    schema = "source string, source_size long, target double, times int, rest double"
-    mixture = spark.createDataFrame(plan, schema)
-    cuts = thresholds(rows, mixture.select("source", "rest"))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    taken = mixture.join(cuts, same(mixture, cuts), "left").select(mixture["*"], cuts["cut"])
-    return rows.join(taken, same(rows, taken), "left").select(
+    rows = measured(docs, id_column, text_column, source_column)
+    plan = sources_mixed(rows, weights, share, most)
+    return rows.join(plan, rows["source"].eqNullSafe(plan["mix_source"]), "left").select(
         "doc_id",
         "size",
-        "source_size",
-        "target",
-        (F.col("size") * (F.col("times") + (F.col("h") < F.col("cut")).cast("int"))).alias("taken"),
-        rows["source"],
+        F.col("mix_size").alias("source_size"),
+        F.col("mix_target").alias("target"),
+        (F.col("size") * copies_of(F.col("h"))).alias("taken"),
+        copies_of(F.col("h")).alias("copies"),
+    )
+
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: Weights,
+    share: float,
+    most: float = 2.0,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+) -> DataFrame:
+    """The rows of `docs` as often as the mixture takes them, all columns as they are. The
+    texts meet a table of one row per source and are not sorted or grouped."""
+    rows = measured(docs, id_column, text_column, source_column)
+    plan = sources_mixed(rows, weights, share, most)
+    whole = docs.select(
+        F.struct("*").alias("mix_row"),
+        F.col(source_column).cast("string").alias("mix_of"),
+        place_of(id_column, text_column).alias("mix_place"),
+    )
+    times = F.array_repeat(F.lit(0), copies_of(F.col("mix_place")))
+    return (
+        whole.join(plan, F.col("mix_of").eqNullSafe(F.col("mix_source")))
+        .select("mix_row", F.explode(times).alias("mix_copy"))
+        .select("mix_row.*")
     )
 
 
@@ -156,4 +204,4 @@ def cycle_5_2_1(sources: list[str | None]) -> list[float]:
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed: weights 5, 2, 1 in turn, 150% of all words, at most twice each."""
-    return mix(table(spark, sf_dir, "documents"), cycle_5_2_1, 1.5).drop("source")
+    return mix(table(spark, sf_dir, "documents"), cycle_5_2_1, 1.5)

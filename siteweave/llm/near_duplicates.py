@@ -203,6 +203,20 @@ def near_duplicates(
     )
 
 
+def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of `docs` that stay: one of each group, the one of the smallest id. All columns
+    stay as they are. Rows without id stay; of rows that repeat an id, one stays."""
+    found = near_duplicates(docs, id_column=id_column, text_column=text_column)
+    gone = saved(found.where(~F.col("kept")).select(F.col("doc_id").alias(id_column)).distinct())
+    kept = docs.join(gone, id_column, "left_anti")
+    again = saved(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1"))
+    if again.isEmpty():
+        return kept
+    again = again.select(F.col("doc_id").alias(id_column))
+    once = kept.join(again, id_column, "left_anti")
+    return once.union(kept.join(again, id_column, "left_semi").dropDuplicates([id_column]))
+
+
 def unresolved(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
     """(key, id, comp) of the tables' buckets that hold more than one component."""
     if links is None:

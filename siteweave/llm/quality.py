@@ -78,11 +78,12 @@ def design(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
 
 
 def adam(gradient, w: np.ndarray, steps: int, rate: float) -> np.ndarray:
+    """Adam with a rate that falls to nothing."""
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
         g = gradient(w)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        w = w - rate * (1 - (step - 1) / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     return w
 
 
@@ -128,7 +129,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 1) -> tuple[li
         def gradient(w):
             return push(a, -0.5 * mean(a) * sigmoid(-score(a, w)), size) + push(b, 0.5 * mean(b) * sigmoid(score(b, w)), size) + 1e-3 * w
 
-        return adam(gradient, np.zeros(size), 150, 0.05)
+        return adam(gradient, np.zeros(size), 150, 0.1)
 
     rng = np.random.default_rng(seed)
     hp, hu = rng.random(len(p)) < 0.5, rng.random(len(u)) < 0.5
@@ -145,7 +146,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 1) -> tuple[li
         fall = push(p, -prior * mean(p) * sigmoid(-fp), size)
         return (fall + rise if negative >= 0 else -rise) + 1e-4 * w
 
-    return cuts, adam(gradient, np.zeros(size), 400, 0.05), prior
+    return cuts, adam(gradient, np.zeros(size), 800, 0.3), prior
 
 
 def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

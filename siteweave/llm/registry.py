@@ -7,6 +7,7 @@ from siteweave.llm.near_duplicates import OP7_SQL, op7_near_duplicates
 from siteweave.llm.quality import op4_quality
 from siteweave.llm.sharding import op9_sharding
 from siteweave.llm.token_count import op6_token_count
+from siteweave.llm.surrogates import op8_surrogates
 from siteweave.llm.toxicity import op3_toxicity
 from siteweave.llm.vector_duplicates import OP5_SQL, op5_vector_duplicates
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_vector_duplicates": op5_vector_duplicates,
     "op6_token_count": op6_token_count,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_surrogates": op8_surrogates,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
 }
