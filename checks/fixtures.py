@@ -107,6 +107,19 @@ def pop_arrays() -> str:
     )
 
 
+def hot(parts: int, own: int, name: str) -> str:
+    """Sites keyed by number; the rows whose number leaves `own` share the key of site 1 or 2."""
+    shared = own + 1
+    other = 2 - own
+    return (
+        f"SELECT CASE WHEN k % 7 = 6 THEN NULL ELSE '1' END AS reference_name, "
+        f"CAST(CASE WHEN k % {parts} = {own} THEN {shared} WHEN k % 1000 = 5 THEN {other} + k - k "
+        f"ELSE k + 10 END AS BIGINT) AS start_position, CAST(1 AS BIGINT) AS end_position, "
+        f"'A' AS reference_bases, 'C' AS alternate_bases, k AS {name} FROM ({SITE}) AS site "
+        f"WHERE k % {parts} = {own} OR k % 1000 <> 5 OR k = 5"
+    )
+
+
 def samples() -> str:
     """One row per customer: a family with two members in each half."""
     label = " ".join(
@@ -156,7 +169,30 @@ FIXTURES = {
     f"FROM ({SITE}) AS site WHERE status <> 'O' UNION ALL "
     "SELECT reference_name AS chrm, start_position + 5 AS {q}start{q}, "
     "end_position + 5 AS {q}end{q}, reference_bases AS base, alternate_bases AS alt, id AS {q}ID{q} "
-    f"FROM ({SITE}) AS site WHERE status = 'F'",
+    f"FROM ({SITE}) AS site WHERE status = 'F' UNION ALL "
+    # Other alternates at the same place, and rows without an id.
+    "SELECT reference_name AS chrm, start_position AS {q}start{q}, end_position AS {q}end{q}, "
+    "reference_bases AS base, 'TTT' AS alt, CASE WHEN priority = '2-HIGH' THEN '.' ELSE id END AS {q}ID{q} "
+    f"FROM ({SITE}) AS site WHERE status = 'P'",
+    # A third of the rows of each side share a key that the other side holds but once, and
+    # some keys are null.
+    "hot_left": hot(3, 0, "x"),
+    "hot_right": hot(3, 1, "y"),
+    "half2_shared": half(["s10", *SAMPLES2], "1-URGENT"),
+    # The `T` of the alternate lists, in rows of their own.
+    "half1_t": f"SELECT {SITE_COLUMNS.replace('alternate_bases', chr(39) + 'T' + chr(39) + ' AS alternate_bases')}, "
+    f"{', '.join(SAMPLES1)}, bin_id FROM ({half(SAMPLES1, '5-LOW')}) AS h WHERE alternate_bases = 'GA,T'",
+    "far": f"SELECT {KEY.replace('start_position', 'start_position + 1125899906842624 AS start_position', 1)} "
+    f"FROM ({SITE}) AS site",
+    # Variants of up to a chromosome's length, and ends that no chromosome has.
+    "long": "SELECT reference_name, start_position, CASE WHEN k % 13 = 0 THEN start_position + 250000000 "
+    "WHEN k % 17 = 0 THEN start_position + 3000000 WHEN k % 19 = 0 THEN 1152921504606846976 "
+    f"ELSE end_position END AS end_position, id, reference_bases, alternate_bases FROM ({SITE}) AS site",
+    "gnomad_odd": "SELECT reference_name, start_position, end_position, reference_bases, "
+    "'C' AS alternate_bases, k, CASE k % 9 WHEN 0 THEN 'AC=3000000000;AF=1.2E-05' "
+    "WHEN 1 THEN 'XAF=0.9;AC=1;AF=0.5' WHEN 2 THEN 'AC=1' WHEN 3 THEN 'AF=0.5' "
+    "WHEN 4 THEN 'AC=1;AF=0.5,0.5' WHEN 5 THEN 'AC=1;AF=0.5x' WHEN 6 THEN 'AC=1.5;AF=0.5' "
+    f"WHEN 7 THEN 'AC=1,2;AF=0.1,0.2' ELSE 'AC=1;AF=.' END AS info FROM ({SITE}) AS site",
     # Two transcripts per gene; a gene covers four million bases.
     "genes": "SELECT concat('GENE', CAST(n_nationkey AS STRING)) AS name2, "
     f"{chrom('n_nationkey')} AS reference_name, "
@@ -165,7 +201,11 @@ FIXTURES = {
     "SELECT concat('GENE', CAST(n_nationkey AS STRING)) AS name2, "
     f"{chrom('n_nationkey')} AS reference_name, "
     "CAST(n_nationkey AS BIGINT) * 4000000 + 2000000 AS start_position, "
-    "CAST(n_nationkey AS BIGINT) * 4000000 + 3999999 AS end_position FROM {nation}",
+    "CAST(n_nationkey AS BIGINT) * 4000000 + 3999999 AS end_position FROM {nation} UNION ALL "
+    # A gene with a dash that is also known on a haplotype contig.
+    "SELECT 'HLA-A' AS name2, CASE n_nationkey WHEN 0 THEN '6' ELSE '6_apd_hap1' END AS reference_name, "
+    "CAST(29000000 AS BIGINT) AS start_position, CAST(99000000 AS BIGINT) AS end_position "
+    "FROM {nation} WHERE n_nationkey < 2",
     "samples": samples(),
     "metadata": metadata(),
     "gnomad_raw": f"SELECT {KEY}, qual, {gnomad_info()} AS info FROM ({SITE}) AS site",

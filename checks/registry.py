@@ -228,7 +228,7 @@ def _(spark, sf):
 
 BINNED = (
     f"{ctes('half1')} SELECT {V8}, {CELLS1}, "
-    "CAST(start_position // 100000 AS INTEGER) AS bin_id FROM half1"
+    "CAST(start_position // 100000 AS BIGINT) AS bin_id FROM half1"
 )
 
 
@@ -262,7 +262,7 @@ def _(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("rebin", f"{ctes('raw')} SELECT *, CAST(start_position // 62500 AS INTEGER) AS bin_id FROM ({RAW_CLEAN})")
+@query("rebin", f"{ctes('raw')} SELECT *, CAST(start_position // 62500 AS BIGINT) AS bin_id FROM ({RAW_CLEAN})")
 def _(spark, sf):
     given, path = new_path(spark), new_path(spark)
     fixture(spark, sf, "raw").write.parquet(given)
@@ -361,7 +361,7 @@ def _(spark, sf):
     return op.normalise_raw(fixture(spark, sf, "raw"))
 
 
-@query("with_bin", f"{ctes('half1')} SELECT {V8}, {CELLS1}, CAST(start_position // 50000 AS INTEGER) AS bin_id FROM half1")
+@query("with_bin", f"{ctes('half1')} SELECT {V8}, {CELLS1}, CAST(start_position // 50000 AS BIGINT) AS bin_id FROM half1")
 def _(spark, sf):
     return op.with_bin(half1(spark, sf), 50000)
 
@@ -462,6 +462,8 @@ filtered(
     "reference_bases = 'AC' AND alternate_bases = 'G'",
 )
 filtered("filter_rsid", VariantFilter(rsid="rs77"), "id = 'rs77'")
+filtered("filter_alternate_list", VariantFilter(alternate_bases="GA,T"), "alternate_bases = 'GA,T'")
+filtered("filter_symbolic_alternate", VariantFilter(alternate_bases="<CN2>"), "alternate_bases = '<CN2>'")
 
 
 @query(
@@ -731,12 +733,13 @@ CARRIERS = (
 
 @query("carriers_by_population", CARRIERS + " WHERE reference_name = 'Y'")
 def _(spark, sf):
-    return as_json(op.carriers_by_population(flat_calls(spark, sf, "half2")), *POPULATIONS)
+    carriers = op.carriers_by_population(flat_calls(spark, sf, "half2"), reference_name="Y")
+    return as_json(carriers, *POPULATIONS)
 
 
 @query("carriers_on_every_chromosome", CARRIERS)
 def _(spark, sf):
-    carriers = op.carriers_by_population(flat_calls(spark, sf, "half2"), reference_name=None)
+    carriers = op.carriers_by_population(flat_calls(spark, sf, "half2"))
     return as_json(carriers, *POPULATIONS)
 
 
@@ -768,12 +771,14 @@ def _(spark, sf):
 
 # --- lookups -----------------------------------------------------------------------
 
+PLACES = 'SELECT DISTINCT "ID", chrm, "start", "end" FROM dbsnp WHERE "ID" <> \'.\''
+
 
 @query(
     "variants_by_rsid",
-    f"{ctes('half1', 'dbsnp')} SELECT v.* FROM half1 v JOIN dbsnp d ON d.\"ID\" = v.id "
+    f"{ctes('half1', 'dbsnp')} SELECT v.* FROM half1 v JOIN ({PLACES}) d ON d.\"ID\" = v.id "
     "AND d.chrm = v.reference_name AND v.start_position BETWEEN d.\"start\" AND d.\"end\" "
-    "WHERE d.\"ID\" IN (SELECT \"ID\" FROM dbsnp GROUP BY \"ID\" HAVING count(*) = 1)",
+    f"WHERE d.\"ID\" IN (SELECT \"ID\" FROM ({PLACES}) GROUP BY \"ID\" HAVING count(*) = 1)",
 )
 def _(spark, sf):
     return op.variants_by_rsid(half1(spark, sf), fixture(spark, sf, "dbsnp"))
@@ -781,7 +786,7 @@ def _(spark, sf):
 
 @query(
     "ambiguous_rsids",
-    f"{ctes('dbsnp')} SELECT \"ID\" AS id, count(*) AS locations FROM dbsnp GROUP BY \"ID\" HAVING count(*) > 1",
+    f"{ctes('dbsnp')} SELECT \"ID\" AS id, count(*) AS locations FROM ({PLACES}) GROUP BY \"ID\" HAVING count(*) > 1",
 )
 def _(spark, sf):
     return op.ambiguous_rsids(fixture(spark, sf, "dbsnp"))
@@ -1016,6 +1021,147 @@ def _(spark, sf):
     return fixture(spark, sf, "standard").select(*KEY5, plain_decimal(tiny).alias("plain"))
 
 
+# Doubles as text, and the decimals they stand for.
+DECIMALS = {
+    "1.2345678901234568e-05": "0.000012345678901234568", "3e-19": "0.0000000000000000003", "1e21": "1" + "0" * 21,
+    "-2.5e-7": "-0.00000025", "1e-10": "0.0000000001", "123456.789": "123456.789", "0.1": "0.1", "100": "100",
+    "0": "0", "1.7976931348623157e308": "17976931348623157" + "0" * 292, "0.30000000000000004": "0.30000000000000004",
+}
+
+
+def decimal_case(texts) -> str:
+    whens = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(texts))
+    return f"CASE allele_count % {len(DECIMALS)} {whens} END"
+
+
+@query("plain_decimal_odd", f"{ctes('standard')} SELECT {KEY}, {decimal_case(DECIMALS.values())} AS plain FROM standard")
+def _(spark, sf):
+    given = F.expr(decimal_case(DECIMALS)).cast("double")
+    return fixture(spark, sf, "standard").select(*KEY5, plain_decimal(given).alias("plain"))
+
+
+@query(
+    "write_standard_csv_odd",
+    f"{ctes('standard')} SELECT {KEY}, {decimal_case(DECIMALS.values())} AS minor_af, "
+    "CAST(allele_count AS VARCHAR) AS allele_count FROM standard",
+)
+def _(spark, sf):
+    path = new_path(spark)
+    given = fixture(spark, sf, "standard").withColumn("minor_af", F.expr(decimal_case(DECIMALS)).cast("double"))
+    sources.write_standard_csv(given, path)
+    back = spark.read.option("header", True).csv(path)
+    return back.toDF(*[c.lower() for c in back.columns]).withColumns({p: F.col(p).cast("bigint") for p in KEY5[1:3]})
+
+
+def sql_odd(anchored: bool) -> str:
+    first = "0.5" if anchored else "0.9"
+    return (
+        "SELECT reference_name, start_position, end_position, reference_bases, alternate_bases, "
+        f"CASE k % 9 WHEN 0 THEN 1.2E-05 ELSE CAST({first} AS DOUBLE) END AS minor_af, "
+        "CAST(CASE k % 9 WHEN 0 THEN 3000000000 ELSE 1 END AS BIGINT) AS allele_count "
+        "FROM gnomad_odd WHERE k % 9 IN (0, 1)"
+    )
+
+
+# Reasons by the kind of row in the `gnomad_odd` fixture.
+ODD_REASONS = {
+    2: "no AF values in INFO", 3: "no AC values in INFO", 4: "frequency and count lists differ in length",
+    5: "malformed allele frequency", 6: "malformed allele count", 7: "alternates and values differ in number",
+}
+ODD_CASE = " ".join(f"WHEN {i} THEN '{r}'" for i, r in ODD_REASONS.items())
+
+
+@query("standardise_keyed_info_odd", f"{ctes('gnomad_odd')} {sql_odd(False)}")
+def _(spark, sf):
+    return op.standardise_keyed_info(fixture(spark, sf, "gnomad_odd")).records
+
+
+@query("standardise_keyed_info_odd_anchored", f"{ctes('gnomad_odd')} {sql_odd(True)}")
+def _(spark, sf):
+    return op.standardise_keyed_info(fixture(spark, sf, "gnomad_odd"), anchored=True).records
+
+
+@query(
+    "standardise_keyed_info_odd_rejected",
+    f"{ctes('gnomad_odd')} SELECT *, CASE k % 9 {ODD_CASE} END AS reason FROM gnomad_odd WHERE k % 9 BETWEEN 2 AND 7",
+)
+def _(spark, sf):
+    return op.standardise_keyed_info(fixture(spark, sf, "gnomad_odd")).rejected
+
+
+# --- hot keys, shared samples, far positions ---------------------------------------
+
+
+@query("with_bin_far", f"{ctes('far')} SELECT *, CAST(start_position // 62500 AS BIGINT) AS bin_id FROM far")
+def _(spark, sf):
+    return op.with_bin(fixture(spark, sf, "far"))
+
+
+for how in ("left", "right", "full"):
+
+    @query(
+        f"join_hot_{how}",
+        f"{ctes('hot_left', 'hot_right')} SELECT "
+        + ", ".join(f"coalesce(a.{c}, b.{c}) AS {c}" for c in KEY5)
+        + f", a.x, b.y FROM hot_left a {how.upper()} JOIN hot_right b ON "
+        + " AND ".join(f"a.{c} = b.{c}" for c in KEY5),
+    )
+    def _(spark, sf, how=how):
+        return op.join_variants(fixture(spark, sf, "hot_left"), fixture(spark, sf, "hot_right"), how)
+
+
+@query(
+    "merge_halves_shared_sample",
+    f"{ctes('half1', 'half2_shared')} "
+    + MERGED.replace(", s10,", ", coalesce(a.s10, b.s10) AS s10,").replace("half2", "half2_shared")
+    + " AND a.end_position = b.end_position",
+)
+def _(spark, sf):
+    return op.wide(op.merge_halves(half1(spark, sf), fixture(spark, sf, "half2_shared")))
+
+
+@query(
+    "pooled_frequencies_repeated_alternate",
+    f"{ctes('half1', 'half1_t', 'half2')} SELECT *, CAST(allele_count AS DOUBLE) / 20 AS af, "
+    "CAST(allele_count AS DOUBLE) / samples_present AS af_present, "
+    "CASE WHEN allele_number > 0 THEN CAST(allele_count AS DOUBLE) / allele_number END AS af_called "
+    f"FROM (SELECT {KEY}, CAST(sum(allele_count) AS BIGINT) AS allele_count, "
+    "CAST(sum(allele_number) AS BIGINT) AS allele_number, "
+    "CAST(coalesce(max(n_samples) FILTER (t = 1), 0) + coalesce(max(n_samples) FILTER (t = 2), 0) AS BIGINT) "
+    f"AS samples_present FROM (SELECT *, 1 AS t FROM ({sql_alleles('half1', SAMPLES1)}) UNION ALL "
+    f"SELECT *, 1 AS t FROM ({sql_alleles('half1_t', SAMPLES1)}) UNION ALL "
+    f"SELECT *, 2 AS t FROM ({sql_alleles('half2', SAMPLES2)})) GROUP BY {KEY})",
+)
+def _(spark, sf):
+    twice = half1(spark, sf).unionByName(fixture(spark, sf, "half1_t"))
+    return op.pooled_frequencies({"half1": twice, "half2": fixture(spark, sf, "half2")})
+
+
+def sql_every_index(table: str, samples: list[str]) -> str:
+    code = "len(list_filter(string_split(gt, '|'), lambda x: regexp_full_match(x, '[0-9]*[1-9][0-9]*')))"
+    half = "Half1" if samples == SAMPLES1 else "Half2"
+    sums = ", ".join(f"CAST(sum({code}) FILTER (pop = '{p}') AS BIGINT) AS \"{p}_alleleCount\"" for p in POPULATION_OF)
+    return (
+        f"SELECT {V8}, {sums} FROM ({sql_calls(table, samples)}) c JOIN (SELECT \"SuperPopulation\" AS pop, "
+        f"unnest(string_split(\"{half}\", ',')) AS sample FROM metadata) m USING (sample) GROUP BY {V8}"
+    )
+
+
+@query("superpopulation_counts_every_index", f"{ctes('half1', 'metadata')} {sql_every_index('half1', SAMPLES1)}")
+def _(spark, sf):
+    df = op.drop_layout(half1(spark, sf))
+    return op.superpopulation_counts(df, fixture(spark, sf, "metadata"), snp_only=False)
+
+
+@query(
+    "variants_by_gene_overlap_long",
+    f"{ctes('long', 'genes')} SELECT v.*, gene FROM long v JOIN ({SPANS}) g "
+    "ON g.chrom = v.reference_name AND v.start_position <= hi AND v.end_position >= lo",
+)
+def _(spark, sf):
+    return op.variants_by_gene(fixture(spark, sf, "long"), fixture(spark, sf, "genes"), overlap=True)
+
+
 # --- workflows ---------------------------------------------------------------------
 
 IN_GENE0 = "reference_name = '1' AND start_position BETWEEN 0 AND 3999999"
@@ -1059,6 +1205,48 @@ def variants(spark, sf):
     return plans.variants(both(spark, sf), gene="GENE0", genes=fixture(spark, sf, "genes"))
 
 
+IN_HLA = "reference_name = '6' AND start_position BETWEEN 29000000 AND 99000000"
+HALVES = (("half1", SAMPLES1), ("half2", SAMPLES2))
+
+
+@query(
+    "stat_of_haplotype_gene",
+    f"{ctes('half1', 'half2')} "
+    + " UNION ALL ".join(f"SELECT '{h}' AS source, count(*) > 0 AS found FROM {h} WHERE {IN_HLA}" for h, _ in HALVES),
+)
+def _(spark, sf):
+    return plans.stat(both(spark, sf), gene="HLA-A", genes=fixture(spark, sf, "genes"))
+
+
+@query(
+    "variants_of_haplotype_gene",
+    f"{ctes('half1', 'half2')} " + tagged({h: sql_report(h, s) + f" WHERE {IN_HLA}" for h, s in HALVES}),
+)
+def _(spark, sf):
+    return plans.variants(both(spark, sf), gene="HLA-A", genes=fixture(spark, sf, "genes"))
+
+
+@query(
+    "annotate_haplotype_gene",
+    f"{ctes('half1', 'ann')} SELECT a.*, score, note FROM half1 a LEFT JOIN ann b USING ({KEY}) WHERE {IN_HLA}",
+)
+def _(spark, sf):
+    genes = fixture(spark, sf, "genes")
+    return plans.annotate(half1(spark, sf), fixture(spark, sf, "ann"), gene="HLA-A", genes=genes)
+
+
+@query(
+    "superpopulation_counts_by_haplotype_gene",
+    f"{ctes('half1', 'half2', 'metadata')} "
+    + tagged({h: sql_superpopulation(h, s, f"AND {IN_HLA}") for h, s in HALVES}),
+)
+def _(spark, sf):
+    tables = {n: op.drop_layout(df) for n, df in both(spark, sf).items()}
+    return plans.superpopulation_counts_by_gene(
+        tables, fixture(spark, sf, "metadata"), "HLA-A", fixture(spark, sf, "genes")
+    )
+
+
 @query(
     "variants_envelope",
     f"{ctes('half1', 'half2')} "

@@ -61,8 +61,23 @@ def carried_alleles(genotype: Column) -> Column:
     )
 
 
-def carried_by(genotypes: Column, positions: list[int]) -> Column:
-    """Sum of `carried_alleles` over the calls at the given array positions."""
+def carried_indices(genotype: Column) -> Column:
+    """Non-reference alleles of one call: its integer parts above 0, of any size."""
+    parts = F.filter(F.split(genotype, "[|]"), lambda part: part.rlike("^[0-9]*[1-9][0-9]*$"))
+    return F.coalesce(F.size(parts), F.lit(0))
+
+
+def carried_by(genotypes: Column, positions: list[int], every_index: bool = False) -> Column:
+    """Alleles carried by the calls at the given array positions: `carried_alleles`, or
+    `carried_indices` with `every_index`."""
+    if every_index:
+        # the calls that are not 0|0 are few, so only these are taken apart
+        chosen = F.transform(literal_array(positions, "int"), lambda at: F.get(genotypes, at))
+        return F.aggregate(
+            F.array_remove(F.array_compact(chosen), HOM_REF),
+            F.lit(0).cast("bigint"),
+            lambda total, call: total + carried_indices(call).cast("bigint"),
+        )
     return F.aggregate(
         literal_array(positions, "int"),
         F.lit(0).cast("bigint"),

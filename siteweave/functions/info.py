@@ -3,8 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Value patterns of the keyed form.
-KEYED_PATTERNS = {"AF": "AF=([0-9\\.e\\-\\+,]+)", "AC": "AC=([0-9,]+)"}
+# What an entry of the keyed lists may consist of.
+KEYED_ENTRIES = {"AF": "[0-9.eE+-]+", "AC": "[0-9]+"}
 
 # 0-based places of the two lists in the positional form.
 POSITIONAL_AF_TERM = 7
@@ -12,12 +12,13 @@ POSITIONAL_AC_TERM = 8
 
 
 def keyed_values(info: Column, key: str, anchored: bool = False) -> Column:
-    """The comma list after `key=`; null when the key is absent.
+    """The comma list after `key=`, up to the next `;` or the end; null when the key is
+    absent.
 
     The first match counts, which may lie inside a longer key (`XAF=`); `anchored`
     asks for a whole key.
     """
-    pattern = KEYED_PATTERNS[key]
+    pattern = key + "=([^;]*)"
     if anchored:
         pattern = "(?:^|;)" + pattern
     block = F.regexp_extract(info, pattern, 1)
@@ -38,7 +39,26 @@ def after_last_dash(entry: Column) -> Column:
     return F.when(value != "", value)
 
 
+def keyed_entry(entry: Column, key: str, to: str) -> Column:
+    """The value of one entry; null unless it is a number through and through."""
+    whole = "^(" + KEYED_ENTRIES[key] + ")$"
+    return F.when(entry.rlike(whole), entry.try_cast(to))
+
+
 def plain_decimal(value: Column) -> Column:
-    """A double as text without an exponent."""
-    text = value.cast("decimal(38,18)").cast("string")
-    return F.regexp_replace(text, "\\.?0+$", "")
+    """A double as text without an exponent, digit for digit the value's own text with the
+    point moved. Not-a-number and the infinities keep their names."""
+    text = value.cast("double").cast("string")
+    part = lambda k: F.regexp_extract(text, "^(-?)([0-9]+)[.]([0-9]+)(?:E(-?[0-9]+))?$", k)
+    digits = F.concat(part(2), part(3))
+    exponent = F.when(part(4) == "", F.lit(0)).otherwise(part(4).try_cast("int"))
+    point = F.length(part(2)) + exponent
+    moved = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= F.length(digits), F.concat(digits, F.repeat(F.lit("0"), point - F.length(digits))))
+        .otherwise(
+            F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits)))
+        )
+    )
+    ended = F.when(moved.contains("."), F.regexp_replace(moved, "[.]?0+$", "")).otherwise(moved)
+    return F.when(digits == "", text).otherwise(F.concat(part(1), ended))

@@ -86,7 +86,9 @@ def superpopulation_counts(
     `<population>_alleleCount<suffix>`.
 
     The sample lists become array positions, so every site is counted where it lies:
-    no call is exploded and nothing is shuffled.
+    no call is exploded and nothing is shuffled. A SNP's calls are looked up in a table of
+    known texts; with `snp_only=False` a call carries as many alleles as it has indices
+    above 0.
     """
     df = packed(df)
     positions = population_positions(df, metadata, populations)
@@ -94,7 +96,7 @@ def superpopulation_counts(
     return sites.select(
         *[F.col(f"`{c}`") for c in df.columns if c != GENOTYPES],
         *[
-            carried_by(F.col(GENOTYPES), at).alias(f"{p}_alleleCount{suffix}")
+            carried_by(F.col(GENOTYPES), at, every_index=not snp_only).alias(f"{p}_alleleCount{suffix}")
             for p, at in positions.items()
         ],
     )
@@ -102,7 +104,7 @@ def superpopulation_counts(
 
 def carriers_by_population(
     calls: DataFrame,
-    reference_name: str | None = "Y",
+    reference_name: str | None = None,
     populations: list[str] = SUPERPOPULATIONS,
 ) -> DataFrame:
     """Samples with genotype `1` per site and superpopulation, from long calls.
@@ -144,11 +146,10 @@ def reconcile_counts(
 
 
 def ordered(df: DataFrame, *by) -> DataFrame:
-    """Global sort that also spreads ties: a random last key lets the range
-    partitioning split rows that are equal in `by`."""
-    return (
-        df.withColumn("_tie", F.rand(11)).orderBy(*by, "_tie").drop("_tie")
-    )
+    """Global sort that also spreads ties: the row's hash as last key lets the range
+    partitioning split rows that are equal in `by`, in every attempt alike."""
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return df.withColumn("_tie", tie).orderBy(*by, "_tie").drop("_tie")
 
 
 def rank_by_population_count(counts: DataFrame, column: str) -> DataFrame:
@@ -163,24 +164,35 @@ def pooled_frequencies(sources: dict[str, DataFrame]) -> DataFrame:
 
     Alternates are split before pooling, so `A,T` in one table meets `T,A` in another,
     and only counts are shuffled, never genotypes. `af` divides by the samples of all
-    tables, `af_present` by those of the tables that hold the variant.
+    tables, `af_present` by those of the tables that hold the variant, each table once
+    however many of its rows give the alternate. `allele_number` sums the alleles called in
+    all rows that give it. Tables that share a sample can't be pooled.
     """
     tables = {name: packed(df) for name, df in sources.items()}
-    everyone = sum(len(packed_samples(df)) for df in tables.values())
+    names = [s for df in tables.values() for s in packed_samples(df)]
+    everyone = len(names)
+    if len(set(names)) < everyone:
+        raise ValueError("a sample stands in several tables")
     pooled = (
         _union(
             [
                 allele_counts(df.select(*KEY5, GENOTYPES)).select(
-                    *KEY5, "allele_count", "allele_number", "n_samples"
+                    *KEY5, "allele_count", "allele_number", "n_samples", F.lit(i).alias("_table")
                 )
-                for df in tables.values()
+                for i, df in enumerate(tables.values())
             ]
         )
         .groupBy(*KEY5)
         .agg(
             F.sum("allele_count").alias("allele_count"),
             F.sum("allele_number").alias("allele_number"),
-            F.sum("n_samples").alias("samples_present"),
+            reduce(
+                lambda x, y: x + y,
+                [
+                    F.coalesce(F.max(F.when(F.col("_table") == i, F.col("n_samples"))), F.lit(0))
+                    for i in range(len(tables))
+                ],
+            ).cast("long").alias("samples_present"),
         )
     )
     count = F.col("allele_count").cast("double")

@@ -91,6 +91,7 @@ def allele_frequencies(df: DataFrame) -> DataFrame:
     return with_frequencies(allele_counts(df))
 
 
+# The columns of an answer.
 REPORT_COLUMNS = [
     "reference_name",
     "start_position",

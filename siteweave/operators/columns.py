@@ -126,7 +126,8 @@ def bin_of(position, width: int):
     """Bin number of a position column or of a Python number."""
     if isinstance(position, int):
         return position // width
-    return F.floor(position / F.lit(width)).cast("int")
+    # whole numbers throughout: a double would lose the last digits of a large position
+    return F.call_function("div", position - F.pmod(position, F.lit(width)), F.lit(width))
 
 
 def with_bin(df: DataFrame, width: int = BIN_WIDTH) -> DataFrame:

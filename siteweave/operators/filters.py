@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siteweave.functions.alternates import is_copy_number
 from siteweave.operators.columns import bin_of, bin_width
-from siteweave.schema import BIN, REFERENCE_NAMES
+from siteweave.schema import BIN
 
 COMPARE = {
     ">": operator.gt,
@@ -21,9 +21,10 @@ COMPARE = {
     "<>": operator.ne,
 }
 
-# What a legal argument looks like.
+# What a legal argument looks like. An alternate may be a list, and symbolic.
 BASES = re.compile(r"[ACTG]*")
-GENE_NAME = re.compile(r"[a-zA-Z0-9]+")
+ALTERNATES = re.compile(r"([ACTG]*|[*.]|<[A-Za-z0-9:_.-]+>)(,([ACTG]+|[*.]|<[A-Za-z0-9:_.-]+>))*")
+CONTIG = re.compile(r"[A-Za-z0-9_.*:-]+")
 MAX_POSITION = 2**63 - 1
 
 
@@ -49,8 +50,8 @@ class VariantFilter:
     minor_af_margin: float | None = None
 
     def __post_init__(self):
-        if self.reference_name is not None and self.reference_name not in REFERENCE_NAMES:
-            raise ValueError(f"unknown reference name {self.reference_name!r}")
+        if self.reference_name is not None and not CONTIG.fullmatch(self.reference_name):
+            raise ValueError(f"no reference name: {self.reference_name!r}")
         for name in ("start_position", "end_position"):
             value = getattr(self, name)
             if value is not None and (
@@ -59,10 +60,10 @@ class VariantFilter:
                 or not -MAX_POSITION - 1 <= value <= MAX_POSITION
             ):
                 raise ValueError(f"{name} must be a 64-bit integer, not {value!r}")
-        for name in ("reference_bases", "alternate_bases"):
+        for name, legal in (("reference_bases", BASES), ("alternate_bases", ALTERNATES)):
             value = getattr(self, name)
-            if value is not None and not BASES.fullmatch(value):
-                raise ValueError(f"{name} must consist of A, C, T and G, not {value!r}")
+            if value is not None and not legal.fullmatch(value):
+                raise ValueError(f"{name} must consist of bases, not {value!r}")
         for name in ("start_operator", "end_operator"):
             if getattr(self, name) not in COMPARE:
                 raise ValueError(f"{name} must be one of {list(COMPARE)}")
@@ -130,6 +131,17 @@ def filter_variants(
     return df.where(reduce(operator.and_, clauses)) if clauses else df
 
 
+def filter_any(
+    df: DataFrame, wheres: list[VariantFilter], width: int | None = None
+) -> DataFrame:
+    """Rows that meet any of the filters, in one scan; a filter without clauses keeps all."""
+    width = width if width and BIN in df.columns else bin_width(df)
+    each = [where.clauses(width) for where in wheres]
+    if not all(each):
+        return df
+    return df.where(reduce(operator.or_, [reduce(operator.and_, clauses) for clauses in each]))
+
+
 def filter_overlap(df: DataFrame, reference_name: str, start: int, end: int) -> DataFrame:
     """Variants whose interval shares a position with [start, end]."""
     return df.where(

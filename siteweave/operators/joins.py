@@ -1,14 +1,12 @@
 """Joins of variant tables on their key.
 
 Spark splits a hot key of an inner join on both sides (AQE skew join), but in an outer
-join only the preserved side of a one-sided join. One key that fills much of the other
-side would end in one task. Outer joins therefore first look for such hot keys, a job
-that reads the key columns alone and counts before it shuffles. Without any, which is
-the rule, they are one plain join; else the rows of hot keys are joined apart, as an
-inner join.
-
-Only the set of hot keys is broadcast: a table of n rows has at most n / hot_rows of
-them. Everything else is left to Spark's own size threshold.
+join only the preserved side of a one-sided join: one key that fills much of the other
+side would end in one task. An outer join is therefore put together from an inner join and
+the rows of a preserved side that the other's distinct keys leave over (an anti join, whose
+preserved side Spark can split, and whose keys combine before the shuffle). Rows with a null
+key match nothing and take no part in the joins. The plan depends on no sizes and no job
+runs before it is used; a caller who knows that no key is hot may ask for the plain join.
 """
 
 from functools import reduce
@@ -29,10 +27,6 @@ from siteweave.schema import BIN, GENOTYPES, KEY3, KEY4, KEY5, SAMPLES_KEY, requ
 
 JOIN_TYPES = ("inner", "left", "right", "full")
 
-# Rows of one key that a single task may still hold.
-HOT_ROWS = 100_000
-
-
 def _prefixed(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     return df.select(
         *keys,
@@ -49,23 +43,6 @@ def _with_nulls(df: DataFrame, like: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
-def has_hot_key(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> bool:
-    """Whether more than `hot_rows` rows may share a key.
-
-    A job over the key columns: rows are counted per key hash, first in each task, so a
-    hot key shuffles as one number. Equal hashes can only give a needless True.
-    """
-    counted = df.groupBy(F.xxhash64(*keys).alias("_hash")).agg(F.count("*").alias("_rows"))
-    most = counted.agg(F.max("_rows")).first()[0]
-    return most is not None and most > hot_rows
-
-
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys that more than `hot_rows` rows share; counted before the shuffle."""
-    counted = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    return counted.where(F.col("_rows") > hot_rows).select(*keys)
-
-
 def _plain_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """One join; `_side` tells which table a row comes from."""
     side = (
@@ -80,35 +57,19 @@ def _plain_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) ->
 
 
 def _key_join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str, hot_rows: int
+    left: DataFrame, right: DataFrame, keys: list[str], how: str, plain: bool
 ) -> DataFrame:
-    """Join prefixed tables, rows of hot keys apart from the others."""
-    # The sides Spark cannot split in this kind of join.
-    unsplit = {"inner": [], "left": [right], "right": [left], "full": [left, right]}[how]
-    hot_sides = [df for df in unsplit if has_hot_key(df, keys, hot_rows)]
-    if not hot_sides:
+    """Join prefixed tables; outer joins in parts that Spark can split, unless `plain`."""
+    if plain or how == "inner":
         return _plain_join(left, right, keys, how)
-    hot = F.broadcast(
-        reduce(
-            DataFrame.unionByName, [hot_keys(df, keys, hot_rows) for df in hot_sides]
-        ).distinct()
-    )
-    hot_left, hot_right = (df.join(hot, keys, "left_semi") for df in (left, right))
-    cold_left, cold_right = (df.join(hot, keys, "left_anti") for df in (left, right))
-    parts = [hot_left.join(hot_right, keys, "inner").withColumn("_side", F.lit("both"))]
-    if how == "full":
-        # A key that is hot on one side may be missing on the other. Rows with a null
-        # key match nothing and would all meet in one task.
-        no_null = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
-        for side, df, other, hot_df, hot_other in (
-            ("left", left, right, hot_left, hot_right),
-            ("right", right, left, hot_right, hot_left),
-        ):
-            present = F.broadcast(hot_other.select(*keys).distinct())
-            for alone in (hot_df.join(present, keys, "left_anti"), df.where(~no_null)):
-                parts.append(_with_nulls(alone, other, keys).withColumn("_side", F.lit(side)))
-        cold_left, cold_right = cold_left.where(no_null), cold_right.where(no_null)
-    parts.append(_plain_join(cold_left, cold_right, keys, how))
+    parts = [left.join(right, keys, "inner").withColumn("_side", F.lit("both"))]
+    no_null = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    for side, df, other in (("left", left, right), ("right", right, left)):
+        if how not in (side, "full"):
+            continue
+        known = other.where(no_null).select(*keys).distinct()
+        alone = df.where(no_null).join(known, keys, "left_anti").unionByName(df.where(~no_null))
+        parts.append(_with_nulls(alone, other, keys).withColumn("_side", F.lit(side)))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -131,14 +92,15 @@ def join_variants(
     keys: list[str] = KEY5,
     coalesce: bool = False,
     parity_keys: bool = False,
-    hot_rows: int = HOT_ROWS,
+    plain: bool = False,
 ) -> DataFrame:
     """Equi-join on the variant key with the merged column list.
 
     Column names are lower-cased, left columns first. A name on both sides shows the
     left value, or the right one on rows that have no left part; `coalesce` also lets
     the right value stand in for a null on the left. Keys are filled from either side
-    unless `parity_keys` asks for the left side's alone.
+    unless `parity_keys` asks for the left side's alone. `plain` makes an outer join one
+    join, which suits keys that never repeat much.
     """
     if how not in JOIN_TYPES:
         raise ValueError(f"how must be one of {JOIN_TYPES}, not {how!r}")
@@ -149,7 +111,7 @@ def join_variants(
     on_left = {c.lower() for c in left.columns}
     on_right = {c.lower() for c in right.columns}
     joined = _key_join(
-        _prefixed(left, keys, "l_"), _prefixed(right, keys, "r_"), keys, how, hot_rows
+        _prefixed(left, keys, "l_"), _prefixed(right, keys, "r_"), keys, how, plain
     )
 
     def column(side: str, name: str) -> Column:
@@ -179,35 +141,40 @@ def merge_halves(
     b: DataFrame,
     keys: list[str] = KEY5,
     parity_keys: bool = False,
-    hot_rows: int = HOT_ROWS,
+    plain: bool = False,
 ) -> DataFrame:
     """Full outer merge of two variant tables with disjoint samples.
 
     Takes wide or packed tables and gives a packed one: the genotypes of `a`, then
-    those of `b`, null where a half has no such site. A sample named in both halves is
-    kept from `a`. With `keys=KEY4` the end position is not compared.
+    those of the samples that only `b` has, null where a half has no such site. A sample
+    named in both halves has the call of `a`, or that of `b` where `a` has none. With
+    `keys=KEY4` the end position is not compared.
     """
     a, b = packed(a), packed(b)
     first, second = packed_samples(a), packed_samples(b)
-    taken = set(first)
-    fresh = [i for i, s in enumerate(second) if s not in taken]
+    at = {s: i for i, s in enumerate(second)}
+    fresh = [i for i, s in enumerate(second) if s not in set(first)]
     a = a.withColumnsRenamed({GENOTYPES: "_first"})
     b = b.withColumnsRenamed({GENOTYPES: "_second"})
-    merged = join_variants(a, b, "full", keys, not parity_keys, parity_keys, hot_rows)
+    merged = join_variants(a, b, "full", keys, not parity_keys, parity_keys, plain)
 
     def or_missing(column: str, n: int) -> Column:
         return F.coalesce(F.col(column), F.array_repeat(F.lit(None).cast("string"), n))
 
-    calls_b = or_missing("_second", len(second))
+    calls_a, calls_b = or_missing("_first", len(first)), or_missing("_second", len(second))
     if len(fresh) < len(second):
-        calls_b = F.transform(
-            literal_array(fresh, "int"),
-            lambda i: F.get(calls_b, i),
+        # for each sample of `a` its place in `b`, one past the end if it has none
+        twins = literal_array([at.get(s, len(second)) for s in first], "int")
+        both, other = calls_a, calls_b
+        calls_a = F.transform(
+            F.arrays_zip(both.alias("call"), twins.alias("twin")),
+            lambda x: F.coalesce(x["call"], F.get(other, x["twin"])),
         )
+        calls_b = F.transform(literal_array(fresh, "int"), lambda i: F.get(other, i))
     samples = first + [second[i] for i in fresh]
-    return merged.withColumn(
-        GENOTYPES, F.concat(or_missing("_first", len(first)), calls_b)
-    ).withMetadata(GENOTYPES, {SAMPLES_KEY: samples}).drop("_first", "_second")
+    return merged.withColumn(GENOTYPES, F.concat(calls_a, calls_b)).withMetadata(
+        GENOTYPES, {SAMPLES_KEY: samples}
+    ).drop("_first", "_second")
 
 
 def merge_halves_without_end(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -216,13 +183,13 @@ def merge_halves_without_end(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def annotate_variants(
-    variants: DataFrame, annotation: DataFrame, hot_rows: int = HOT_ROWS
+    variants: DataFrame, annotation: DataFrame, plain: bool = False
 ) -> DataFrame:
     """Left join of variants with their annotation rows.
 
     Several annotation rows for one key give several output rows.
     """
-    return join_variants(variants, annotation, "left", hot_rows=hot_rows)
+    return join_variants(variants, annotation, "left", plain=plain)
 
 
 def annotate_allele_match(
@@ -281,9 +248,15 @@ def join_published_counts(
         F.explode("alternate_bases").alias("alternate_bases"),
         "AC",
     )
-    for suffix, half in (("1", half1), ("2", half2)):
-        counts = half.select(*KEY5, *[F.col(p).alias(p + suffix) for p in populations])
-        main = main.join(counts, KEY5, "inner")
+    counts = [
+        half.select(*KEY5, *[F.col(p).alias(p + suffix) for p in populations])
+        for suffix, half in (("1", half1), ("2", half2))
+    ]
+    # The counts have one row a key, so only the last join may be skewed. Its further key asks
+    # for shuffles of its own on both sides, which Spark can split.
+    hashed = {"_key": F.xxhash64(*KEY5)}
+    both = counts[0].join(counts[1], KEY5, "inner").withColumns(hashed)
+    main = main.withColumns(hashed).join(both, [*KEY5, "_key"], "inner")
     return main.select(
         F.col("start_position").alias("start"),
         F.col("end_position").alias("end"),

@@ -1,5 +1,7 @@
 """Lookups by rsid, by gene and by population."""
 
+import operator
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -12,10 +14,17 @@ from siteweave.operators.columns import (
     samples_by_population,
     unpivot_calls,
 )
-from siteweave.operators.filters import GENE_NAME
 from siteweave.schema import BIN, BIN_WIDTH, require
 
 
+# Fixed value: the id of a variant that has none.
+MISSING_ID = "."
+
+# Bin levels of overlap joins: the widest holds the longest chromosome.
+LEVEL_FACTOR = 16
+LEVELS = 4
+
+
 class Coordinate(NamedTuple):
     reference_name: str
     start_position: int
@@ -23,12 +32,16 @@ class Coordinate(NamedTuple):
 
 
 def rsid_locations(dbsnp: DataFrame, rsids: list[str] | None = None) -> DataFrame:
-    """One row per rsid with its coordinates and `locations`, how many it has."""
-    known = lookup_columns(dbsnp)
+    """One row per rsid with its coordinates, `locations`, how many different places it has,
+    and `rows`, how many rows name it. Several alternates at one place are one location."""
+    known = lookup_columns(dbsnp).where(F.col("id") != MISSING_ID)
     if rsids is not None:
         known = known.where(F.col("id").isin(list(rsids)))
-    return known.groupBy("id").agg(
+    place = ["reference_name", "start_position", "end_position"]
+    places = known.groupBy("id", *place).agg(F.count("*").alias("rows"))
+    return places.groupBy("id").agg(
         F.count("*").alias("locations"),
+        F.sum("rows").alias("rows"),
         F.min("reference_name").alias("reference_name"),
         F.min("start_position").alias("lookup_start"),
         F.max("end_position").alias("lookup_end"),
@@ -40,13 +53,14 @@ def ambiguous_rsids(dbsnp: DataFrame, rsids: list[str] | None = None) -> DataFra
     return rsid_locations(dbsnp, rsids).where("locations > 1").select("id", "locations")
 
 
-def rsid_location(dbsnp: DataFrame, rsid: str) -> Coordinate:
-    """The one location of an rsid; unknown and ambiguous rsids are errors."""
+def rsid_location(dbsnp: DataFrame, rsid: str, strict: bool = False) -> Coordinate:
+    """The one location of an rsid; unknown and ambiguous rsids are errors. With `strict` it
+    must also be named by one row only."""
     found = rsid_locations(dbsnp, [rsid]).collect()  # one row at most: one rsid
     if not found:
         raise ValueError(f"unknown rsid {rsid}")
     row = found[0]
-    if row["locations"] > 1:
+    if row["locations"] > 1 or strict and row["rows"] > 1:
         raise ValueError(f"more than one location for rsid {rsid}")
     return Coordinate(row["reference_name"], row["lookup_start"], row["lookup_end"])
 
@@ -56,24 +70,29 @@ def variants_by_rsid(
 ) -> DataFrame:
     """Variants of a set of rsids, or of every rsid with exactly one location.
 
-    A variant must carry the rsid and start inside the looked-up location.
+    A variant must carry the rsid and start inside the looked-up location. Variants without
+    an id stay out of the join. A set of rsids is small: its places are looked up first and
+    become a filter by position that the scan can prune with.
     """
-    places = rsid_locations(dbsnp, rsids).where("locations = 1").drop("locations")
+    places = rsid_locations(dbsnp, rsids).where("locations = 1").drop("locations", "rows")
     if rsids is not None:
-        df = df.where(F.col("id").isin(list(rsids)))
-    joined = df.join(places, ["reference_name", "id"], "inner").where(
-        F.col("start_position").between(F.col("lookup_start"), F.col("lookup_end"))
-    )
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns])
+        found = places.collect()  # at most one row for each of the rsids
+        spots = [
+            (F.col("reference_name") == r["reference_name"])
+            & F.col("start_position").between(r["lookup_start"], r["lookup_end"])
+            & (F.col("id") == r["id"])
+            for r in found
+        ]
+        return df.where(reduce(operator.or_, spots, F.lit(False)))
+    joined = df.where(F.col("id") != MISSING_ID).join(places, ["reference_name", "id"], "inner")
+    inside = joined.where(F.col("start_position").between(F.col("lookup_start"), F.col("lookup_end")))
+    return inside.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def gene_intervals(genes: DataFrame, names: list[str] | None = None) -> DataFrame:
     """One interval per gene name and chromosome, spanning all its transcripts."""
     require(genes, ["name2", "reference_name", "start_position", "end_position"])
     if names is not None:
-        for name in names:
-            if not GENE_NAME.fullmatch(name):
-                raise ValueError(f"illegal gene name {name!r}")
         genes = genes.where(F.col("name2").isin(list(names)))
     return genes.groupBy(F.col("name2").alias("gene"), "reference_name").agg(
         F.min("start_position").alias("gene_start"),
@@ -83,21 +102,19 @@ def gene_intervals(genes: DataFrame, names: list[str] | None = None) -> DataFram
 
 def gene_coordinates(genes: DataFrame, name: str) -> list[Coordinate]:
     """Where one gene lies: a row per chromosome it is known on."""
-    rows = gene_intervals(genes, [name]).collect()  # one gene: at most 24 rows
+    rows = gene_intervals(genes, [name]).collect()  # one gene: a row per contig
     if not rows:
         raise ValueError(f"unknown gene {name}")
     return sorted(Coordinate(*row[1:]) for row in rows)
 
 
-def _with_bins(df: DataFrame, start: str, end: str, width: int, first: str) -> DataFrame:
-    """One row per bin of the interval, `_bin`, beside its lowest bin. The ends may come
-    in either order, as the comparisons that follow do not care."""
+def _with_bins(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """One row per bin of the interval, `_bin`. The ends may come in either order, as the
+    comparisons that follow do not care."""
     low = bin_of(F.least(start, end), width)
     high = bin_of(F.greatest(start, end), width)
     both = F.col(start).isNotNull() & F.col(end).isNotNull()
-    return df.where(both).select(
-        "*", low.alias(first), F.explode(F.sequence(low, high)).alias("_bin")
-    )
+    return df.where(both).select("*", F.explode(F.sequence(low, high)).alias("_bin"))
 
 
 def variants_by_gene(
@@ -109,29 +126,41 @@ def variants_by_gene(
     """Variants inside a set of genes, each with its `gene`.
 
     A variant belongs to a gene when it starts inside it, or, with `overlap`, when the
-    two intervals share a position. Both sides meet on (chromosome, position bin), so
-    the interval condition never compares a whole chromosome; of the bins that an
-    overlapping pair shares only the first one counts.
+    two intervals share a position. Both sides meet on (chromosome, bin), so the interval
+    condition never compares a whole chromosome. For overlaps the bins come in levels,
+    LEVEL_FACTOR times wider each: a variant lies in the first level whose bin is as wide as
+    itself, in one row, and only a gene is repeated, for the bins that it may reach.
     """
     width = bin_width(df) or BIN_WIDTH
-    spans = _with_bins(gene_intervals(genes, names), "gene_start", "gene_end", width, "_first")
+    columns = [F.col(f"`{c}`") for c in df.columns]
     start, end = F.col("start_position"), F.col("end_position")
-    if overlap:
-        sites = _with_bins(df, "start_position", "end_position", width, "_low")
-        inside = (
-            (start <= F.col("gene_end"))
-            & (end >= F.col("gene_start"))
-            & (F.col("_bin") == F.greatest("_low", "_first"))
-        )
-    else:
+    if not overlap:
+        spans = _with_bins(gene_intervals(genes, names), "gene_start", "gene_end", width)
         known = F.col(BIN) if bin_width(df) else bin_of(start, width)
-        sites = df.withColumn("_bin", known)
         inside = start.between(F.col("gene_start"), F.col("gene_end"))
-    return (
-        sites.join(spans, ["reference_name", "_bin"], "inner")
-        .where(inside)
-        .select(*[F.col(f"`{c}`") for c in df.columns], "gene")
-    )
+        met = df.withColumn("_bin", known.cast("bigint")).join(spans, ["reference_name", "_bin"], "inner")
+        return met.where(inside).select(*columns, "gene")
+    widths = [width * LEVEL_FACTOR**k for k in range(LEVELS)]
+    low, span = F.least(start, end), F.abs(end - start)
+    level, first = F.lit(LEVELS), F.lit(0).cast("bigint")
+    for k in reversed(range(LEVELS)):
+        level = F.when(span < widths[k], F.lit(k)).otherwise(level)
+        first = F.when(span < widths[k], bin_of(low, widths[k])).otherwise(first)
+    sites = df.where(start.isNotNull() & end.isNotNull()).withColumns({"_level": level, "_bin": first})
+    known = gene_intervals(genes, names).where("gene_start IS NOT NULL AND gene_end IS NOT NULL")
+    gene_low, gene_high = F.least("gene_start", "gene_end"), F.greatest("gene_start", "gene_end")
+
+    def placed(k: int, w: int):
+        # a variant of this level begins in the gene's bins or in the one before them
+        bins = F.sequence(bin_of(gene_low, w) - 1, bin_of(gene_high, w))
+        return F.transform(bins, lambda b: F.struct(F.lit(k).alias("_level"), b.alias("_bin")))
+
+    at = [placed(k, w) for k, w in enumerate(widths)]
+    # the last level is one bin: what is longer than any chromosome meets each of its genes
+    at.append(F.array(F.struct(F.lit(LEVELS).alias("_level"), F.lit(0).cast("bigint").alias("_bin"))))
+    spans = known.select("*", F.inline(F.concat(*at)))
+    meets = (start <= F.col("gene_end")) & (end >= F.col("gene_start"))
+    return sites.join(spans, ["reference_name", "_level", "_bin"], "inner").where(meets).select(*columns, "gene")
 
 
 def calls_with_population(

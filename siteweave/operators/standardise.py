@@ -13,6 +13,7 @@ from siteweave.functions.info import (
     POSITIONAL_AC_TERM,
     POSITIONAL_AF_TERM,
     after_last_dash,
+    keyed_entry,
     keyed_values,
     positional_values,
 )
@@ -145,8 +146,8 @@ def standardise_keyed_info(df: DataFrame, anchored: bool = False) -> Standardise
     skipped = same & F.exists("_af_text", lambda x: x == ".")
     parsed = listed.withColumns(
         {
-            "_afs": F.transform("_af_text", lambda x: x.try_cast("double")),
-            "_acs": F.transform("_ac_text", lambda x: x.try_cast("int").cast("bigint")),
+            "_afs": F.transform("_af_text", lambda x: keyed_entry(x, "AF", "double")),
+            "_acs": F.transform("_ac_text", lambda x: keyed_entry(x, "AC", "bigint")),
         }
     )
     rules = {

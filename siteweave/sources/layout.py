@@ -1,8 +1,8 @@
 """Stored layouts that later queries can prune.
 
 All of them range-partition by position, so that a file covers a short stretch of one
-chromosome and its statistics skip it. A random last range key lets Spark split a
-position that holds far more rows than others.
+chromosome and its statistics skip it. A hash of the row as last range key lets Spark split
+a position that holds far more rows than others; it is the same in every attempt of a task.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +15,7 @@ ORDER = ["reference_name", "start_position"]
 
 
 def _by_position(df: DataFrame, partitions: int | None) -> DataFrame:
-    salted = df.withColumn("_spread", F.rand(17))
+    salted = df.withColumn("_spread", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
     keys = [*ORDER, "_spread"]
     ranged = (
         salted.repartitionByRange(partitions, *keys)

@@ -125,12 +125,13 @@ def test_merge_keeps_right_only_rows_and_missing_calls(spark):
     }
 
 
-def test_merge_keeps_the_first_of_two_equal_sample_names(spark):
+def test_merge_keeps_every_call_of_a_shared_sample(spark):
     a = table(spark, [site(1) + ("0|1", "1|1")], ["s1", "s2"])
-    b = table(spark, [site(1) + ("0|0", "1|0")], ["s2", "s3"])
+    b = table(spark, [site(1) + ("0|0", "1|0"), site(2) + ("1|1", ".")], ["s2", "s3"])
     merged = op.merge_halves(a, b)
     assert op.packed_samples(merged) == ["s1", "s2", "s3"]
-    assert merged.first()["genotypes"] == ["0|1", "1|1", "1|0"]
+    calls = {r["start_position"]: r["genotypes"] for r in merged.collect()}
+    assert calls == {1: ["0|1", "1|1", "1|0"], 2: [None, "1|1", "."]}
 
 
 def test_merge_without_end(spark):
@@ -163,8 +164,10 @@ def test_hot_keys_are_joined_apart_with_the_same_result(spark, how, sizes):
         key_rows(sizes[1], "r") + [("2", 1, 2, "G", "T", "lone")], schema.format("b")
     )
     plain = left.join(right, KEY5, how).select(*KEY5, "a", "b")
-    split = op.join_variants(left, right, how, hot_rows=5)
-    assert sorted(map(repr, split.collect())) == sorted(map(repr, plain.collect()))
+    want = sorted(map(repr, plain.collect()))
+    for one_join in (False, True):
+        got = op.join_variants(left, right, how, plain=one_join)
+        assert sorted(map(repr, got.collect())) == want
 
 
 def test_duplicate_annotation_rows_multiply(spark):
@@ -194,6 +197,14 @@ def test_pooled_splits_alternates_first(spark):
     assert pooled == {"A": (1, 0.5, 2), "T": (3, 1.5, 2)}
 
 
+def test_pooled_counts_the_samples_of_a_table_once(spark):
+    a = table(spark, [site(1, alt="C") + ("1|0", "0|1"), site(1, alt="C,T") + ("1|2", ".")], ["s1", "s2"])
+    rows = {r["alternate_bases"]: r for r in op.pooled_frequencies({"a": a}).collect()}
+    assert rows["C"]["samples_present"] == 2 and rows["C"]["af"] == rows["C"]["af_present"] == 1.5
+    with pytest.raises(ValueError):
+        op.pooled_frequencies({"a": a, "b": a})
+
+
 def test_pooled_equals_counts_of_the_merge(spark):
     a = table(spark, [site(i) + ("0|1", "1|1") for i in range(6)], ["s1", "s2"])
     b = table(spark, [site(i) + ("1", ".") for i in range(3, 9)], ["s3", "s4"])
@@ -231,8 +242,7 @@ def test_gene_with_two_transcripts_and_wide_bins(spark):
     assert sorted(hits["G1"]) == [7, 100, 62_500, 300_000, 400_000] and hits["G2"] == [300_000]
     binned = op.with_bin(df, 1000)
     assert op.variants_by_gene(binned, genes).count() == 6
-    with pytest.raises(ValueError):
-        op.variants_by_gene(df, genes, ["bad name"])
+    assert op.variants_by_gene(df, genes, ["no-such gene"]).count() == 0
     assert [c.reference_name for c in op.gene_coordinates(genes, "G1")] == ["1", "X"]
     found = plans.variants({"t": df}, gene="G1", genes=genes).collect()
     assert len(found) == 5
@@ -279,22 +289,27 @@ def test_merge_of_different_bin_widths(spark):
 
 def test_rsid_rules(spark):
     dbsnp = spark.createDataFrame(
-        [("1", 5, 6, "A", "C", "rs5"), ("1", 7, 8, "A", "C", "rs7"), ("2", 7, 8, "A", "C", "rs7")],
+        [("1", 5, 6, "A", "C", "rs5"), ("1", 5, 6, "A", "G", "rs5"), ("1", 7, 8, "A", "C", "rs7"),
+         ("2", 7, 8, "A", "C", "rs7"), ("1", 9, 10, "A", "C", ".")],
         "chrm string, start long, end long, base string, alt string, ID string",
     )
     df = table(spark, [site(5), site(7), site(9, id="rs5")], [])
     assert op.rsid_location(dbsnp, "rs5") == ("1", 5, 6)
+    with pytest.raises(ValueError):
+        op.rsid_location(dbsnp, "rs5", strict=True)
     for bad in ("rs7", "rs404"):
         with pytest.raises(ValueError):
             op.rsid_location(dbsnp, bad)
     assert [r["start_position"] for r in op.variants_by_rsid(df, dbsnp, ["rs5", "rs7"]).collect()] == [5]
+    assert [r["start_position"] for r in op.variants_by_rsid(df, dbsnp).collect()] == [5]
     assert [r["id"] for r in op.ambiguous_rsids(dbsnp).collect()] == ["rs7"]
     assert plans.variants({"t": df}, rsid="rs5", dbsnp=dbsnp).count() == 1
 
 
 def test_filter_arguments_are_checked():
     for bad in (
-        {"reference_name": "chr1"}, {"reference_name": "MT"}, {"reference_bases": "N"},
+        {"reference_name": "1 OR 1"}, {"reference_name": ""}, {"reference_bases": "N"},
+        {"alternate_bases": "C,,T"}, {"alternate_bases": "<CN2"},
         {"start_position": "12"}, {"end_position": 2**63}, {"start_operator": "~"},
         {"minor_af": 0.1, "minor_af_margin": 2.0},
     ):
@@ -384,15 +399,16 @@ def test_keyed_info(spark):
             ("C", "AF=0.5"),
             ("C,T", "AC=1;AF=0.5,0.5"),
             ("C,T", "AC=1;AF=0.5"),
-            ("C", "AC=99999999999;AF=0.5"),
+            ("C", "AC=99999999999;AF=1.2E-05"),
             ("C", "AC=1;AF=1e"),
+            ("C", "AC=1;AF=1.2X-05;AN=3"),
         ],
     )
     result = op.standardise_keyed_info(df)
     assert records(result) == [
-        (0, "C", 0.0015, 3), (1, "C", 0.1, 3), (1, "T", 0.2, 4), (4, "C", 0.9, 1),
+        (0, "C", 0.0015, 3), (1, "C", 0.1, 3), (1, "T", 0.2, 4), (4, "C", 0.9, 1), (9, "C", 1.2e-05, 99999999999),
     ]
-    assert sorted(reasons(result)) == [5, 6, 7, 8, 9, 10]
+    assert sorted(reasons(result)) == [5, 6, 7, 8, 10, 11]
     assert (4, "C", 0.5, 1) in records(op.standardise_keyed_info(df, anchored=True))
 
 
@@ -437,7 +453,8 @@ def test_carriers_are_null_without_carriers(spark):
         "alternate_bases string, quality string, filters string, call_set_name string, "
         "SuperPopulation string, genotype string",
     )
-    rows = op.carriers_by_population(calls).collect()
+    assert op.carriers_by_population(calls).count() == 2
+    rows = op.carriers_by_population(calls, reference_name="Y").collect()
     assert len(rows) == 1 and rows[0]["EUR"] == [3] and rows[0]["AFR"] is None
 
 

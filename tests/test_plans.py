@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from checks.fixtures import fixture
 from conftest import plan_of
 from siteweave import operators as op
-from siteweave.operators.joins import has_hot_key
 from siteweave.schema import KEY5
 
 SF = "/root/testdata/sf0.001"
@@ -74,11 +73,21 @@ def test_pooling_shuffles_counts_only(stored):
     assert "genotypes" not in exchanged and "partial_sum" in plan
 
 
-def test_merge_without_hot_keys_is_one_join(stored, settings):
+def test_outer_joins_run_no_job_and_read_a_table_thrice_at_most(spark, stored, settings):
     settings(spark__sql__autoBroadcastJoinThreshold="-1")
-    plan = plan_of(op.merge_halves(stored["half1"], stored["half2"]), "simple")
-    assert plan.count("Join") == 1 and plan.count("Exchange") == 2
-    assert "Union" not in plan
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan", "plan")
+    try:
+        merged = op.merge_halves(stored["half1"], stored["half2"])
+        annotated = op.annotate_variants(stored["half1"], stored["ann"])
+        plans_ = [plan_of(merged, "simple"), plan_of(annotated, "simple")]
+        assert list(tracker.getJobIdsForGroup("plan")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert plans_[0].count("FileScan") <= 8 and plans_[1].count("FileScan") <= 6
+    assert all("Broadcast" not in p and "NestedLoop" not in p for p in plans_)
+    one = plan_of(op.merge_halves(stored["half1"], stored["half2"], plain=True), "simple")
+    assert one.count("Join") == 1 and one.count("Exchange") == 2 and "Union" not in one
 
 
 def test_large_sides_are_not_broadcast(stored, settings):
@@ -116,8 +125,7 @@ def test_hot_key_is_found_and_split(spark, stored, settings):
     third_is_one_key = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id"))
     hot = sites(ids, third_is_one_key, "note")
     few = sites(ids.where("id % 3 <> 0"), F.col("id"), "other")
-    assert has_hot_key(hot, KEY5, 10_000) and not has_hot_key(few, KEY5, 10_000)
-    joined = op.join_variants(few, hot, "full", hot_rows=10_000)
+    joined = op.join_variants(few, hot, "full")
     rows = joined.count()
     assert rows == few.join(hot, KEY5, "full").count() == 60_000
     joined.collect()
@@ -174,11 +182,8 @@ def test_hot_rsid_is_split(spark, settings):
     assert "skew=true" in plan_of(joined)
 
 
-def test_chained_joins_are_split_when_forced(spark, settings):
-    settings(
-        **SKEW,
-        spark__sql__adaptive__forceOptimizeSkewedJoin="true",
-    )
+def test_published_join_is_split(spark, settings):
+    settings(**SKEW)
     sites = crowded(spark)
     published = sites.select(
         "reference_name",
