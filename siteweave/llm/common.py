@@ -1,13 +1,11 @@
 """Helpers the operators share: saved tables, words, shingles, connected components."""
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
 #: The words of a text are the runs of these, as SQL patterns see them.
@@ -42,21 +40,6 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """The rows dealt over the tasks by a hash of columns that rarely repeat."""
-    return df.repartition(*[F.col(c) for c in columns])
-
-
-def map_batches(
-    df: DataFrame,
-    fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    schema: T.StructType | str,
-) -> DataFrame:
-    """`mapInArrow` with a small batch size kept by bytes, not by rows: a batch of long
-    texts stays bounded because Spark also closes a batch at a number of bytes."""
-    return df.mapInArrow(fn, schema)
-
-
 def texts_of(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.binary()).to_pylist()
@@ -135,6 +118,67 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(slices)) < int(slices * 0.95 * most / n))
 
 
-def crc_part(id_column: str, parts: int) -> "F.Column":
+def crc_part(id_column: str, parts: int) -> Column:
     """The remainder of crc32 of the id as text."""
     return F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(parts))
+
+
+def tiled(rows: DataFrame, groups: list[str], parts: Column, node: str) -> DataFrame:
+    """Deals rows of (groups, cell, node, ...) to tiles, in which every pair of rows of one
+    group meets whose cells are equal or next to each other, exactly once.
+
+    A cell is cut by hash into `parts` parts, an aggregate over its rows. A tile is a pair of
+    parts: (cell, i, step, j), of the cell itself (step 0) or of it and the next (step 1).
+    Its rows have side 0 or 1; where i and j are the same part, all have side 0.
+    """
+    cells = rows.groupBy(*groups, "cell").agg(parts.cast("int").alias("parts"))
+    beside = F.explode(F.array(F.col("cell"), F.col("cell") - 1, F.col("cell") + 1))
+    at = lambda step: F.max(F.when(F.col("cell") == F.col("of") + step, F.col("parts")))
+    near = (
+        cells.select(*groups, beside.alias("of"), "cell", "parts")
+        .groupBy(*groups, "of")
+        .agg(at(0).alias("own"), at(-1).alias("below"), at(1).alias("above"))
+        .where("own is not null")
+        .withColumnRenamed("of", "cell")
+    )
+    cell, part = F.col("cell"), F.col("part")
+
+    def upto(n):
+        n = F.coalesce(n, F.lit(0))
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def tile(first, i, step, j, side):
+        return F.struct(
+            first.alias("cell"), i.alias("i"), F.lit(step).alias("step"), j.alias("j"), F.lit(side).alias("side")
+        )
+
+    tiles = F.concat(
+        F.transform(F.sequence(part, F.col("own") - 1), lambda j: tile(cell, part, 0, j, 0)),
+        F.transform(upto(part), lambda i: tile(cell, i, 0, part, 1)),
+        F.transform(upto(F.col("above")), lambda j: tile(cell, part, 1, j, 0)),
+        F.transform(upto(F.col("below")), lambda i: tile(cell - 1, i, 1, part, 1)),
+    )
+    kept = [c for c in rows.columns if c != "cell"]
+    return (
+        rows.join(near, [*groups, "cell"])
+        .withColumn("part", F.pmod(F.xxhash64(node), F.col("own")).cast("int"))
+        .select(*kept, F.explode(tiles).alias("tile"))
+        .select(*kept, "tile.*")
+    )
+
+
+TILE_KEYS = ["cell", "i", "step", "j"]
+
+
+def roots_of(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest index that each of n nodes reaches by the links (i, j)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

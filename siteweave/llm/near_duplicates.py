@@ -1,13 +1,26 @@
 """Near duplicates by MinHash with tensored banding, confirmed on whole shingle sets."""
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm.common import connected, mixed, saved, shingles_of, table, texts_of, words_of
+from siteweave.llm.common import (
+    TILE_KEYS,
+    connected,
+    mixed,
+    roots_of,
+    saved,
+    shingles_of,
+    table,
+    texts_of,
+    tiled,
+    words_of,
+)
 
 #: Two collections of HALF sketches, each of ROWS minhashes. A table's key pairs a sketch of
 #: the first with one of the second: HALF**2 tables of 2 * ROWS rows from 2 * HALF * ROWS
@@ -16,17 +29,19 @@ from siteweave.llm.common import connected, mixed, saved, shingles_of, table, te
 ROWS = 3
 HALF = 24
 HASHES = 2 * HALF * ROWS
-#: One bit of each minhash. Sets of similarity 0.75 agree in 126 of the 144 on average, in
-#: fewer than LEAST_BITS with a probability of about 1e-8.
-WORDS = -(-HASHES // 64)
-LEAST_BITS = 102
+#: Sets of similarity 0.75 agree in 108 of the 144 minhashes on average, and in fewer than
+#: this part of the expected number with a probability of about 1e-8.
+LEAST_SHARE = 0.73
+#: Sets on each side of a tile, and shingles.
+TILE_SETS = 256
+TILE_SHINGLES = 2_000_000
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MUL = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _SALT = _RNG.integers(0, 1 << 63, 2 * HALF, dtype=np.uint64)
 
-SKETCH = "id long, n long, f1 long, f2 long, sketches array<long>, bits array<long>"
+SKETCH = "id long, n long, f1 long, f2 long, sketches array<long>"
 
 
 def minhashes(shingles: np.ndarray, block: int = 4096) -> np.ndarray:
@@ -41,7 +56,7 @@ def minhashes(shingles: np.ndarray, block: int = 4096) -> np.ndarray:
 def sketch_rows(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, f1, f2, subs, bits = [], [], [], [], []
+            n, f1, f2, subs = [], [], [], []
             for text in texts_of(batch.column(1)):
                 shingles = shingles_of(words_of(text), width)
                 n.append(len(shingles))
@@ -53,18 +68,14 @@ def sketch_rows(width: int):
                     key = _SALT.copy()
                     for k in range(ROWS):
                         key = mixed(key + rows[:, k])
-                    one = ((least * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
-                    packed = np.packbits(np.pad(one, (0, 64 * WORDS - HASHES)))
                     subs.append(key.view(np.int64))
-                    bits.append(packed.view(np.int64))
                 else:
                     subs.append(np.empty(0, np.int64))
-                    bits.append(np.empty(0, np.int64))
             longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             lists = lambda x: pa.array(x, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), longs(n), longs(f1), longs(f2), lists(subs), lists(bits)],
-                names=["id", "n", "f1", "f2", "sketches", "bits"],
+                [batch.column(0), longs(n), longs(f1), longs(f2), lists(subs)],
+                names=["id", "n", "f1", "f2", "sketches"],
             )
 
     return run
@@ -81,33 +92,20 @@ def set_rows(width: int):
     return run
 
 
-def agreeing_bits(a: Column, b: Column) -> Column:
-    return F.lit(64 * WORDS) - sum(
-        F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(WORDS)
+def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have at least `percent` % of their union in common."""
+    first = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    second = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return (
+        pairs.join(first, "a")
+        .join(second, "b")
+        .select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
+        .where(F.lit(100) * F.col("both") >= percent * (F.col("sum") - F.col("both")))
+        .select("a", "b")
     )
 
 
-class Linker:
-    """Confirms candidate pairs on the whole sets."""
-
-    def __init__(self, sets: DataFrame, percent: int):
-        self.sets, self.percent = sets, percent
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets have at least `percent` % of their union in common."""
-        first = self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-        second = self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        return (
-            pairs.select("a", "b")
-            .join(first, "a")
-            .join(second, "b")
-            .select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
-            .where(F.lit(100) * F.col("both") >= self.percent * (F.col("sum") - F.col("both")))
-            .select("a", "b")
-        )
-
-
 def shared_values(rows: DataFrame, value: str, holder: str) -> DataFrame:
     """The rows whose value has another holder."""
     several = (
@@ -150,12 +148,12 @@ def near_duplicates(
     1. One pass makes each text's shingle count, set fingerprint and sketches. Texts of
        equal sets form a class, which its smallest id stands for.
     2. Classes meet in tables whose keys pair two sketches.
-    3. A class is first compared with one class of its tables (the smallest id of a table,
-       from the table that gives the most such meetings), and links join into components.
-       A second round takes the classes that still share a table with another component.
-    4. All pairs that share a table and are still in different components are compared,
-       unless their sizes or minhash bits rule a link out. Pairs within a component need no
-       look: they can't change it. So a large group costs about one comparison a member.
+    3. Each class is compared with one class: the smallest id of the table that they meet in
+       most often. Links join into components. This costs one comparison a class and draws
+       large groups together; tables within one component are done with.
+    4. Classes that still share a table with another component form clusters. In a cluster
+       every two sets of different components and fitting sizes are compared, in tiles that
+       hold each set a few times and return links between components, not pairs.
     5. Comparisons use the whole shingle sets, made again for classes that share a table.
 
     Returns one row per row: doc_id, n_shingles, component_id (smallest doc_id reachable,
@@ -177,18 +175,9 @@ def near_duplicates(
     buckets = saved(shared_values(table_keys(reps), "key", "id"))
     wanted = saved(buckets.select("id").distinct())
     sets = saved(narrow.join(wanted, "id", "left_semi").mapInArrow(set_rows(width), "id long, shingles array<long>"))
-    linker = Linker(sets, percent)
-
-    links, tried = None, None
-    for _ in range(2):
-        open_ = unresolved(buckets, links)
-        nearest = saved(star_pairs(open_, tried))
-        found = saved(linker.links(nearest))
-        links = found if links is None else saved(links.union(found))
-        tried = nearest if tried is None else tried.union(nearest)
-    open_ = saved(unresolved(buckets, links))
-    rest = other_pairs(open_, filled.select("id", "n", "bits"), percent)
-    links = links.union(linker.links(saved(rest.join(tried, ["a", "b"], "left_anti"))))
+    near = saved(linked_pairs(star_pairs(buckets), sets, percent))
+    open_ = saved(unresolved(buckets, near))
+    links = near.union(cluster_links(open_, sets, percent))
     groups = saved(connected(saved(links.union(copies))))
     component = F.coalesce("component", "id")
     return (
@@ -217,10 +206,17 @@ def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_col
     return once.union(kept.join(again, id_column, "left_semi").dropDuplicates([id_column]))
 
 
-def unresolved(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
+def star_pairs(buckets: DataFrame) -> DataFrame:
+    """For each class the one it meets most often among its tables' smallest: at most one
+    pair (a, b), a < b, a class."""
+    low = buckets.groupBy("key").agg(F.min("id").alias("low"))
+    times = buckets.join(low, "key").where("id > low").groupBy("id", "low").count()
+    best = times.groupBy("id").agg(F.min_by("low", F.struct(-F.col("count"), "low")).alias("low"))
+    return best.select(F.col("low").alias("a"), F.col("id").alias("b"))
+
+
+def unresolved(buckets: DataFrame, links: DataFrame) -> DataFrame:
     """(key, id, comp) of the tables' buckets that hold more than one component."""
-    if links is None:
-        return buckets.withColumn("comp", F.col("id"))
     groups = connected(links).withColumnRenamed("node", "id")
     labelled = saved(
         buckets.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
@@ -228,40 +224,57 @@ def unresolved(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
     return shared_values(labelled, "key", "comp")
 
 
-def star_pairs(open_: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """For each class the one it meets most often among its buckets' smallest (comp, id) of
-    another component: at most one pair (a, b), a < b, a class."""
-    low = open_.groupBy("key").agg(F.min(F.struct("comp", "id")).alias("low"))
-    met = (
-        open_.join(low, "key")
-        .where("comp != low.comp")
-        .select(F.least("id", F.col("low.id")).alias("a"), F.greatest("id", F.col("low.id")).alias("b"), "id")
-    )
-    if tried is not None:
-        met = met.join(tried, ["a", "b"], "left_anti")
-    times = met.groupBy("a", "b", "id").count()
-    best = times.groupBy("id").agg(F.max(F.struct("count", -F.col("a"), "b")).alias("best"))
-    return best.select((-F.col("best.col2")).alias("a"), F.col("best.b").alias("b")).distinct()
-
-
-def other_pairs(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b), a < b, of different components that share a bucket and that neither
-    the sizes nor the minhash bits rule out."""
-    rows = saved(open_.join(sketches.dropDuplicates(["id"]), "id"))
-    side = lambda s: rows.select("key", *[F.col(c).alias(c + s) for c in ("id", "comp", "n", "bits")])
-    x, y = side("x"), side("y")
-    return (
-        x.join(
-            y,
-            (x["key"] == y["key"])
-            & (F.col("idx") < F.col("idy"))
-            & (F.col("compx") != F.col("compy"))
-            & (F.lit(100) * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-            & (agreeing_bits(F.col("bitsx"), F.col("bitsy")) >= 64 * WORDS - HASHES + LEAST_BITS),
-        )
-        .select(F.col("idx").alias("a"), F.col("idy").alias("b"))
-        .distinct()
+def cluster_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket, enough to join whatever links.
+
+    Buckets that share a class form a cluster. Sizes that can link lie in equal or
+    neighbouring classes of the logarithm, which are the tiles' cells.
+    """
+    low = open_.groupBy("key").agg(F.min("id").alias("low"))
+    edges = open_.join(low, "key").where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    clusters = connected(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    members = open_.select("id", "comp").distinct().join(clusters, "id")
+    step = math.log(100 / percent) * (1 + 1e-9)
+    placed = saved(
+        members.join(sets.dropDuplicates(["id"]), "id")
+        .withColumn("n", F.size("shingles"))
+        .withColumn("cell", F.floor(F.log("n") / F.lit(step)).cast("int"))
     )
+    parts = F.ceil(F.greatest(F.count("*") / TILE_SETS, F.sum("n") / TILE_SHINGLES))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = pdf[pdf["side"] == 0]
+        same = pdf["step"].iat[0] == 0 and pdf["i"].iat[0] == pdf["j"].iat[0]
+        b = a if same else pdf[pdf["side"] == 1]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        i, j = tile_links(list(a["shingles"]), list(b["shingles"]), a["comp"].to_numpy(), b["comp"].to_numpy(), percent, same)
+        node = a["id"].to_numpy() if same else np.concatenate([a["id"], b["id"]])
+        root = node[roots_of(len(node), i, j if same else j + len(a))]
+        return pd.DataFrame({"a": root, "b": node})[root != node]
+
+    dealt = tiled(placed, ["cluster"], parts, "id")
+    return dealt.groupBy("cluster", *TILE_KEYS).applyInPandas(compare, "a long, b long")
+
+
+def tile_links(xs: list, ys: list, cx: np.ndarray, cy: np.ndarray, percent: int, same: bool):
+    """Index pairs (i, j) of linked sets of different components. Sizes and the agreement of
+    minhashes rule most pairs out; the others are compared in full."""
+    nx, ny = (np.array(list(map(len, s))) for s in (xs, ys))
+    fits = (cx[:, None] != cy[None, :]) & (100 * np.minimum.outer(nx, ny) >= percent * np.maximum.outer(nx, ny))
+    if same:
+        fits = np.triu(fits, 1)
+    agree = np.zeros(fits.shape, np.uint8)
+    hx = np.stack([minhashes(np.asarray(s).view(np.uint64)) for s in xs], axis=1)
+    hy = hx if same else np.stack([minhashes(np.asarray(s).view(np.uint64)) for s in ys], axis=1)
+    for u, v in zip(hx, hy, strict=True):
+        agree += u[:, None] == v[None, :]
+    i, j = np.nonzero(fits & (agree >= LEAST_SHARE * HASHES * percent / 100))
+    wx = {k: set(xs[k].tolist()) for k in set(i.tolist())}
+    wy = {k: set(ys[k].tolist()) for k in set(j.tolist())}
+    both = np.fromiter((len(wx[p] & wy[q]) for p, q in zip(i.tolist(), j.tolist(), strict=True)), np.int64, len(i))
+    keep = 100 * both >= percent * (nx[i] + ny[j] - both)
+    return i[keep], j[keep]
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

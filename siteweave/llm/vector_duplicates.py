@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm.common import connected, saved, table
+from siteweave.llm.common import TILE_KEYS, connected, roots_of, saved, table, tiled
 
 #: Vectors on each side of a tile.
 TILE = 2048
@@ -113,20 +113,6 @@ def linked(x: np.ndarray, y: np.ndarray, ux: np.ndarray, uy: np.ndarray, least:
     return i[keep], j[keep]
 
 
-def roots_of(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index that each of n nodes reaches."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def near_vectors(
     vectors: DataFrame,
     least: float = 0.93,
@@ -178,33 +164,7 @@ def near_vectors(
     placed = saved(
         classes.select("label", "dim", "raw", "copies", "node").mapInArrow(celled, f"{kinds}, cell int")
     )
-    cells = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    # each vector with the number of parts of its own cell and of those beside it
-    sides = cells.select("label", "dim", F.explode(F.array(F.col("cell"), F.col("cell") - 1, F.col("cell") + 1)).alias("of"), "cell", "parts")
-    near = sides.groupBy("label", "dim", "of").agg(
-        F.max(F.when(F.col("cell") == F.col("of"), F.col("parts"))).alias("own"),
-        F.max(F.when(F.col("cell") == F.col("of") - 1, F.col("parts"))).alias("below"),
-        F.max(F.when(F.col("cell") == F.col("of") + 1, F.col("parts"))).alias("above"),
-    ).where("own is not null").withColumnRenamed("of", "cell")
-    part = F.pmod(F.xxhash64("node"), F.col("own")).cast("int")
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    tile = lambda cell, i, step, j, side: F.struct(
-        cell.alias("cell"), i.alias("i"), F.lit(step).alias("step"), j.alias("j"), F.lit(side).alias("side")
-    )
-    others = lambda n: upto(F.coalesce(n, F.lit(0)))
-    cell, own_part = F.col("cell"), F.col("part")
-    tiles = F.concat(
-        F.transform(F.sequence(own_part, F.col("own") - 1), lambda j: tile(cell, own_part, 0, j, 0)),
-        F.transform(upto(own_part), lambda i: tile(cell, i, 0, own_part, 1)),
-        F.transform(others(F.col("above")), lambda j: tile(cell, own_part, 1, j, 0)),
-        F.transform(others(F.col("below")), lambda i: tile(cell - 1, i, 1, own_part, 1)),
-    )
-    dealt = (
-        placed.join(near, ["label", "dim", "cell"])
-        .withColumn("part", part)
-        .select("label", "dim", "raw", "copies", "node", F.explode(tiles).alias("t"))
-        .select("label", "dim", "raw", "copies", "node", "t.*")
-    )
+    dealt = tiled(placed, ["label", "dim"], F.ceil(F.count("*") / TILE), "node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         a = pdf[pdf["side"] == 0]
@@ -224,8 +184,7 @@ def near_vectors(
         some = links > 0
         return pd.DataFrame({"node": node[some], "links": links[some].astype(np.int64), "root": root[some]})
 
-    keys = ["label", "dim", "cell", "i", "step", "j"]
-    met = saved(dealt.groupBy(*keys).applyInPandas(compare, "node long, links long, root long"))
+    met = saved(dealt.groupBy("label", "dim", *TILE_KEYS).applyInPandas(compare, "node long, links long, root long"))
     groups = connected(met.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = classes.select("node", "label", "dim", "raw", "copies", "low").join(groups, "node", "left")
     smallest = named.groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("low").alias("component_id"))

@@ -1,0 +1,79 @@
+import re
+
+from helpers import ALL, empty_documents, hard_documents, ids
+
+from siteweave.llm import surrogates
+from siteweave.llm.surrogates import FOUND, TRIGGER, assigned, found_in, luhn, op8_surrogates, rewritten, surrogate, with_surrogates
+
+KEY = b"k"
+
+
+def replaced(text):
+    return rewritten(text, lambda kind, canon: surrogate(KEY, kind, canon, 0))[0]
+
+
+def test_form_stays():
+    same = [
+        (r"\+1 \(\d{3}\) \d{3}-\d{4}", "+1 (017) 555-7713"), (r"\d{4} \d{4} \d{4} \d{4}", "4111 1111 1111 1111"),
+        (r"[a-z]{3}\.\d{2}@[a-z]{4}\d\.[a-z]{7}\.com", "und.34@mail7.example.com"), (r"[0-9A-F]{40}", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"),
+        (r"\d{3}-\d{2}-\d{4}", "123-45-6789"), (r'token = "[0-9a-f]{40}"', 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'),
+    ]
+    for pattern, given in same:
+        new = replaced(f"so {given}, yes")
+        assert re.fullmatch(f"so {pattern}, yes", new) and given not in new
+    assert luhn(re.sub(r"\D", "", replaced("4111 1111 1111 1111"))) == 0
+    assert all(0 < int(x) < 255 for x in replaced("10.20.30.40").split("."))
+
+
+def test_persons_keep_gender_script_and_coreference():
+    new = replaced("Mr. Smith met Anna Smith. Ольга Иванова и Иван Иванов. Frau Müller. Κυρία Μαρία Παππά")
+    m = re.fullmatch(r"Mr\. (\w+) met (\w+) (\w+)\. (\w+) (\w+)а и (\w+) (\w+)\. Frau (\w+)\. Κυρία (\w+) (\w+)", new)
+    assert m[1] == m[3] and m[5] == m[7] and m[2] in surrogates.NAMES["latin", "f"]
+    assert m[4] in surrogates.NAMES["cyrillic", "f"] and m[6] in surrogates.NAMES["cyrillic", "m"]
+    assert m[9] in surrogates.NAMES["greek", "f"] and "Smith" not in new and "Иванов" not in new
+
+
+def test_no_two_entities_share_a_surrogate(spark, monkeypatch):
+    """With three names to give, twelve names collide, and still end apart."""
+    monkeypatch.setitem(surrogates.NAMES, ("latin", "f"), ["Anna", "Maria", "Julia"])
+    names = ["Anna", "Maria", "Julia", *[f"N{k}" for k in range(9)]]
+    rows = [("given-latin-f", n) for n in names] + [("ip", f"1.1.1.{k}") for k in range(50)]
+    got = assigned(spark.createDataFrame(rows, "kind string, canon string"), KEY).collect()
+    assert len(got) == len(rows) == len({(r.kind, r.surrogate) for r in got})
+    assert not {r.surrogate for r in got} & {c for _, c in rows}
+
+
+def test_trigger_covers_the_patterns():
+    for text in ["a@b.de", "1.2.3.4", "1 2 3 4 5 6 7 8 9 0 1 2 3", "+1-23 45 67", "Иван Петров", "Mr Smith", 'token: "abcdefghijkl"', "f" * 32]:
+        assert FOUND.search(text) and re.search(TRIGGER, text)
+
+
+def test_query_removes_every_entity_and_leaves_the_rest(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in op8_surrogates(spark, sf).collect()}
+    assert got.keys() == docs.keys()
+    known = {f[:2] for t in docs.values() for f in found_in(t)}
+    assert len(known) > 50
+    to = {}
+    for i, text in docs.items():
+        old, new = found_in(text), found_in(got[i].text)
+        assert got[i].n_entities == len(old) and (old or got[i].text == text)
+        assert not {f[:2] for f in new} & known
+        # what lies between the entities is as it was
+        shape = lambda t, fs: [t[a:b] for a, b in zip([0, *[f[3] for f in fs]], [*[f[2] for f in fs], len(t)], strict=True)]
+        assert [f[0] for f in old] == [f[0] for f in new] and shape(text, old) == shape(got[i].text, new)
+        for a, b in zip(old, new, strict=True):
+            assert to.setdefault(a[:2], b[1]) == b[1]
+    assert len({(k, v) for (k, _), v in to.items()}) == len(to)
+
+
+def test_hard_rows(spark):
+    docs = hard_documents(spark)
+    more = docs.unionByName(docs.where("doc_id = 2 or doc_id is null").replace({docs.first().text: "call +1 (017) 555-7713"}, subset=["text"]))
+    got = with_surrogates(more, KEY)
+    assert len(ids(got)) == len(ALL) + 4
+    new = {r.text for r in got.where("n_entities = 1").collect()}
+    assert len(new) == 1 and "555-7713" not in new.pop()
+    assert got.where("doc_id = 4 and text is null and n_entities = 0").count() == 1
+    assert with_surrogates(empty_documents(spark), KEY).count() == 0
