@@ -9,17 +9,18 @@ after one warm-up.
 import json
 import os
 import statistics
-import tempfile
 import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from checks.fixtures import fixture
+from checks.fixtures import POPULATIONS, fixture
 from checks.registry import flat_calls
+from checks.scratch import new_path
 from siteweave import operators as op
 from siteweave import plans, sources
 from siteweave.operators.filters import VariantFilter
+from siteweave.schema import GENOTYPES, SAMPLES_KEY
 
 RUNS = 3
 WIDTH = 1252
@@ -74,24 +75,33 @@ def stored(spark: SparkSession, sf_dir: str, root: str) -> dict:
     sources.write_result(sources.read_variants(spark, f"{root}/wide"), f"{root}/packed")
     tables["wide"] = f"{root}/wide"
     tables["packed"] = sources.read_variants(spark, f"{root}/packed")
+    # The other half: the same sites under other sample names.
+    names = {SAMPLES_KEY: [f"q{j:04d}" for j in range(WIDTH)]}
+    sources.write_result(tables["packed"].withMetadata(GENOTYPES, names), f"{root}/packed2")
+    tables["packed2"] = sources.read_variants(spark, f"{root}/packed2")
+    people = [
+        (pop, ",".join(f"p{j:04d}" for j in range(i, WIDTH, 5)), ",".join(f"q{j:04d}" for j in range(i, WIDTH, 5)))
+        for i, pop in enumerate(POPULATIONS)
+    ]
+    tables["people"] = spark.createDataFrame(people, "SuperPopulation string, Half1 string, Half2 string")
     return tables
 
 
 def queries(spark: SparkSession, t: dict) -> dict:
     halves = {n: t[n] for n in ("half1", "half2")}
-    everything = VariantFilter("1", 0)
+    chromosome = VariantFilter("1", 0)
     return {
         "variants": lambda: plans.variants(halves, gene="GENE0", genes=t["genes"]),
-        "variants_of_chromosome": lambda: plans.variants(halves, everything),
-        "count": lambda: plans.count(halves, everything),
-        "annotate": lambda: plans.annotate(t["half1"], t["ann"], everything),
+        "variants_of_chromosome": lambda: plans.variants(halves, chromosome),
+        "count": lambda: plans.count(halves),
+        "annotate": lambda: plans.annotate(t["half1"], t["ann"], chromosome),
         "annotate_variants": lambda: op.annotate_variants(t["half1"], t["ann"]),
         "annotate_allele_match": lambda: op.annotate_allele_match(t["half1"], t["ann"], True),
         "allele_frequencies": lambda: op.allele_frequencies(t["half1"]),
         "merge_halves": lambda: op.merge_halves(t["half1"], t["half2"]),
         "pooled_frequencies": lambda: op.pooled_frequencies(halves),
         "superpopulation_counts": lambda: op.superpopulation_counts(t["half1"], t["metadata"]),
-        "carriers_by_population": lambda: op.carriers_by_population(t["flat"], None),
+        "carriers_by_population": lambda: op.carriers_by_population(t["flat"]),
         "reconcile_counts": lambda: op.reconcile_counts(t["pop_arrays"]),
         "variants_by_gene": lambda: op.variants_by_gene(t["half1"], t["genes"]),
         "variants_by_rsid": lambda: op.variants_by_rsid(t["half1"], t["dbsnp"]),
@@ -100,6 +110,8 @@ def queries(spark: SparkSession, t: dict) -> dict:
         "chromosome_profile": lambda: op.chromosome_profile(t["half1"]),
         "wide_pack_and_count": lambda: op.allele_counts(sources.read_variants(spark, t["wide"])),
         "wide_count_packed": lambda: op.allele_counts(t["packed"]),
+        "wide_superpopulation_counts": lambda: op.superpopulation_counts(t["packed"], t["people"]),
+        "wide_merge": lambda: op.merge_halves(t["packed"], t["packed2"]),
     }
 
 
@@ -115,7 +127,7 @@ def timed(build) -> float:
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = session(int(os.environ.get("BENCH_CPUS", "8")))
-    root = tempfile.mkdtemp(prefix="bench-")
+    root = new_path(spark)
     tables = stored(spark, sf_dir, root)
     seconds = {name: timed(build) for name, build in queries(spark, tables).items()}
     print(

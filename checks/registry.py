@@ -223,7 +223,10 @@ def _(spark, sf):
 def _(spark, sf):
     path, name = new_path(spark), new_table()
     sources.write_result(fixture(spark, sf, "ann"), name, "table", location=path)
-    return spark.table(name)
+    rows = spark.table(name)
+    # the files at the location stay
+    spark.sql(f"DROP TABLE {name}")
+    return rows
 
 
 BINNED = (
@@ -743,6 +746,12 @@ def _(spark, sf):
     return as_json(carriers, *POPULATIONS)
 
 
+@query("carriers_of_packed", CARRIERS)
+def _(spark, sf):
+    carriers = op.carriers_of_packed(fixture(spark, sf, "half2"), fixture(spark, sf, "metadata"))
+    return as_json(carriers, *POPULATIONS)
+
+
 @query(
     "join_published_counts",
     f"{ctes('half1', 'half2', 'metadata', 'published')}, "

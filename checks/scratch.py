@@ -1,19 +1,18 @@
 """Where the sink queries write before they read back."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def new_path(spark: SparkSession) -> str:
-    """A fresh folder name in the cluster's shared folder, or in a temporary one on a
-    local master that names none."""
+    """A fresh folder name in the cluster's shared folder (`spark.checkpoint.dir`), or, on a
+    local master that names none, beside the warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        return tempfile.mkdtemp(prefix="run-") + "/out"
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/results"
     return f"{shared.rstrip('/')}/siteweave-{uuid.uuid4().hex}"
 
 

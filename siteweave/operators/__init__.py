@@ -1,5 +1,6 @@
 from siteweave.operators.aggregates import (
     carriers_by_population,
+    carriers_of_packed,
     chromosome_profile,
     count_contained,
     count_variants,
@@ -36,6 +37,7 @@ from siteweave.operators.columns import (
 from siteweave.operators.filters import (
     VariantFilter,
     drop_copy_number,
+    filter_any,
     filter_carried,
     filter_contained,
     filter_overlap,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteweave.functions.genotypes import carried_by
-from siteweave.functions.literals import is_one_of
+from siteweave.functions.literals import is_one_of, literal_array
 from siteweave.operators.alleles import allele_counts
 from siteweave.operators.columns import packed, packed_samples, samples_by_population
 from siteweave.operators.filters import VariantFilter, filter_contained, filter_snp, filter_variants
@@ -127,6 +127,33 @@ def carriers_by_population(
     )
 
 
+def carriers_of_packed(
+    df: DataFrame,
+    metadata: DataFrame,
+    reference_name: str | None = None,
+    populations: list[str] = SUPERPOPULATIONS,
+) -> DataFrame:
+    """`carriers_by_population` for a variant table: each site is counted where it lies, at
+    the array positions of a population's samples, so no call is exploded and nothing is
+    shuffled. One row per site; a population without samples has no carrier."""
+    df = packed(df)
+    if reference_name is not None:
+        df = df.where(F.col("reference_name") == reference_name)
+    at = population_positions(df, metadata, populations)
+
+    def carriers(population: str):
+        calls = F.transform(literal_array(at.get(population, []), "int"), lambda i: F.get(GENOTYPES, i))
+        return F.size(F.filter(calls, lambda call: call == "1")).cast("bigint")
+
+    counted = df.select(
+        *KEY5,
+        F.col("qual").alias("quality"),
+        F.col("filter").alias("filters"),
+        *[carriers(p).alias(p) for p in populations],
+    )
+    return counted.withColumns({p: F.when(F.col(p) > 0, F.array(p)) for p in populations})
+
+
 def reconcile_counts(
     arrays: DataFrame, populations: list[str] = SUPERPOPULATIONS
 ) -> DataFrame:
