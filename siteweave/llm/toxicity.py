@@ -16,6 +16,7 @@ from siteweave.llm.common import bounded_sample, saved, table, texts_of
 SAMPLE = 20_000
 FOLDS = 3
 #: Features that pass the screening at the most, and the evidence (G squared) that one needs.
+#: Only features that speak for a category count: they are few in a text, unlike common words.
 FEATURES = 6_000
 EVIDENCE = 10.8
 PREFIXES = (3, 4, 5, 6)
@@ -99,7 +100,7 @@ def fit(sample: Sample, rows: np.ndarray, category: int, earlier: np.ndarray, st
     pos = np.bincount(sample.feature[inside], y[sample.row[inside]], minlength=sample.number)
     total, number = y[rows].sum(), int(rows.sum())
     scale = np.log((pos + 0.5) / (total + 1)) - np.log((n - pos + 0.5) / (number - total + 1))
-    scale = np.where(evidence(n, pos, number, total) >= EVIDENCE, scale, 0.0)
+    scale = np.where((evidence(n, pos, number, total) >= EVIDENCE) & (scale > 0), scale, 0.0)
     used = inside & (scale[sample.feature] != 0)
     # rows numbered within the training set
     to = np.cumsum(rows) - 1
@@ -176,10 +177,11 @@ def learn_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     for y in ys:
         share = min(max(tops[y] / max(1, tops["rows"]), 1e-6), 1 - 1e-6)
         got = sum(F.col(f"{name}{y}") for name, _ in groups)
-        far.append(F.pow(got - n * share, 2) / (n * share * (1 - share)))
+        far.append(F.pow(F.greatest(got - n * share, F.lit(0.0)), 2) / (n * share * (1 - share)))
     screened = (
         counts.where(n >= 3)
         .select("f", F.greatest(*far, F.lit(0.0)).alias("far"))
+        .where(F.col("far") >= EVIDENCE)
         .orderBy(F.desc("far"), "f")
         .limit(FEATURES)
         .toPandas()
@@ -202,9 +204,9 @@ def learn_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
 
     pdf = rows.mapInArrow(indexed, f"{kinds}, features array<long>").toPandas().sort_values("id", ignore_index=True)
     sizes = np.array([len(f) for f in pdf["features"]], np.int64)
-    flat = np.concatenate(list(pdf["features"])).astype(np.int64) if sizes.sum() else np.empty(0, np.int64)
+    flat = np.concatenate(list(pdf["features"])).astype(np.int32) if sizes.sum() else np.empty(0, np.int32)
     sample = Sample(
-        np.repeat(np.arange(len(pdf)), sizes), flat, pdf["fold"].to_numpy(), pdf[ys].to_numpy(float).reshape(-1, len(ys)), len(known)
+        np.repeat(np.arange(len(pdf), dtype=np.int32), sizes), flat, pdf["fold"].to_numpy(), pdf[ys].to_numpy(float).reshape(-1, len(ys)), len(known)
     )
     return known, [tuple(link) for link in fit_chain(sample)]
 
