@@ -40,7 +40,7 @@ _surname = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ][a-zß-öø-ÿа-яёα-ωά-ώ]+"
 #: What is looked for, the earlier kinds first where two begin at one place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9+/_-]{12,})|(?<![A-Za-z0-9])(?P<hex>[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])",
+    "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9+/_-]{12,})|(?<![A-Za-z0-9])(?P<hex>(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,}))(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -48,8 +48,11 @@ PATTERNS = {
     "person": rf"\b(?:(?P<title>{_title})\b\.? (?:(?P<given1>{_given}) )?|(?P<given2>{_given}) )(?P<surname>{_surname})\b",
 }
 FOUND = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
-#: Every text with something to find has this, in a form that Spark's patterns know too.
-TRIGGER = rf"[0-9]{{2}}|[0-9][. -][0-9]|@|[=:]\s*[\"']?[A-Za-z0-9+/_-]{{12}}|[0-9a-fA-F]{{32}}|({_given}|{_title})\.? "
+_first = "".join(sorted({name[0] for name in [*TITLES, *_given.split("|")]}))
+#: Every text with something to find has one of these, in a form that Spark's patterns know
+#: too: a sign that numbers, addresses and keys have, or the beginning of a name. The names are
+#: only tried at the capitals that they begin with.
+TRIGGERS = ("[0-9@=:]", rf"(?=[{_first}])(?:{_given}|{_title})[. ]")
 
 
 def script_of(word: str) -> str:
@@ -265,7 +268,7 @@ def with_surrogates(docs: DataFrame, key: bytes, id_column: str = "doc_id", text
     stay null with 0 entities; rows without id are rewritten like others; no rows give none.
     """
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    some = F.coalesce(F.col("text").rlike(TRIGGER), F.lit(False))
+    some = F.coalesce(F.col("text").rlike(TRIGGERS[0]) | F.col("text").rlike(TRIGGERS[1]), F.lit(False))
     mark = F.xxhash64("text").alias("mark")
     kept = narrow.where(some).select("doc_id", mark, "text")
     found = saved(kept.mapInArrow(detect, "doc_id long, mark long, kind string, canon string")).distinct()

@@ -3,7 +3,7 @@ import re
 from helpers import ALL, empty_documents, hard_documents, ids
 
 from siteweave.llm import surrogates
-from siteweave.llm.surrogates import FOUND, TRIGGER, assigned, found_in, luhn, op8_surrogates, rewritten, surrogate, with_surrogates
+from siteweave.llm.surrogates import FOUND, TRIGGERS, assigned, found_in, luhn, op8_surrogates, rewritten, surrogate, with_surrogates
 
 KEY = b"k"
 
@@ -44,8 +44,8 @@ def test_no_two_entities_share_a_surrogate(spark, monkeypatch):
 
 
 def test_trigger_covers_the_patterns():
-    for text in ["a@b.de", "1.2.3.4", "1 2 3 4 5 6 7 8 9 0 1 2 3", "+1-23 45 67", "Иван Петров", "Mr Smith", 'token: "abcdefghijkl"', "f" * 32]:
-        assert FOUND.search(text) and re.search(TRIGGER, text)
+    for text in ["a@b.de", "1.2.3.4", "1 2 3 4 5 6 7 8 9 0 1 2 3", "+1-23 45 67", "Иван Петров", "Mr Smith", 'token: "abcdefghijkl"', "f1" * 16]:
+        assert FOUND.search(text) and any(re.search(t, text) for t in TRIGGERS)
 
 
 def test_query_removes_every_entity_and_leaves_the_rest(spark):
