@@ -1,5 +1,7 @@
 """Language, toxicity and quality: held-out accuracy, and the hard rows."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from helpers import ALL, empty_documents, hard_documents, ids
@@ -106,3 +108,39 @@ def test_hard_rows(spark):
         assert by[4] == by[5] == by[6] and by[8] == by[9]
         assert quality.predict(empty, model).count() == 0
     assert ids(quality.predict(docs, quality.learn(empty, labels))) == ALL
+
+
+def test_language_model_leaves_no_entry_out(spark, monkeypatch):
+    """However little is broadcast, each row gets what the method on whole tables in memory says."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    learning, rest = docs.where("doc_id % 3 > 0"), docs.where("doc_id % 3 = 0")
+    words, totals, grams = {}, Counter(), Counter()
+    for r in learning.where("lang is not null and text is not null").collect():
+        words.setdefault(r.lang, Counter()).update(language_id.letter_words(r.text.encode()))
+    for lang, own in words.items():
+        totals[lang] = own.total()
+        grams.update((lang, g) for w in own for size in SIZES for g in grams_of(w, size))
+    flat = [(lang, w, n) for lang, own in words.items() for w, n in own.items()]
+    scorer = Scorer(Model(sorted(totals), flat, [(*k, n) for k, n in grams.items()], totals))
+    want = {r.doc_id: scorer.predict(None if r.text is None else r.text.encode()) for r in docs.collect()}
+    for most in (0, 4_000, 10**9):
+        monkeypatch.setattr(language_id, "BROADCAST", most)
+        for part in (learning, rest):
+            got = language_id.predict(part, language_id.learn(learning)).collect()
+            assert len(got) == part.count()
+            for r in got:
+                assert r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-3)
+
+
+def test_rare_word_of_a_large_language_counts(spark, monkeypatch):
+    """A word seen in both languages, once each, decides nothing; one seen in the large language
+    alone decides for it, though that language has more words than are broadcast."""
+    large = " ".join(f"aa{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(600))
+    rows = [(1, f"{large} {large} bank zyx", "en"), (2, "bank wurst " * 300, "de")]
+    learning = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "BROADCAST", 8)
+    model = language_id.learn(learning)
+    n = {r.entry: r.n for r in model.words.select("entry", "n").collect()}
+    assert len(n) == 603 and n["zyx"] == 1 and n["bank"] == 301
+    asked = spark.createDataFrame([(5, "zyx"), (6, "wurst"), (7, "123")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(asked, model).collect()} == {5: "en", 6: "de", 7: "und"}
