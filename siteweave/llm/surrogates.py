@@ -4,6 +4,8 @@ import hashlib
 import hmac
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from siteweave.llm.common import saved, table, texts_of
 
 # --- fixed values: given names by script and gender, titles, syllables ----------------
+#: Given names that surrogates are taken from.
 NAMES = {
     ("latin", "f"): ["Anna", "Maria", "Julia", "Emma", "Laura", "Clara", "Elena", "Sarah", "Claire", "Carmen"],
     ("latin", "m"): ["John", "Peter", "Paul", "Thomas", "Martin", "David", "Lucas", "Daniel", "Pierre", "Carlos"],
@@ -20,9 +23,28 @@ NAMES = {
     ("greek", "f"): ["Μαρία", "Ελένη", "Κατερίνα", "Σοφία", "Άννα", "Ιωάννα"],
     ("greek", "m"): ["Γιώργος", "Νίκος", "Δημήτρης", "Κώστας", "Γιάννης", "Παύλος"],
 }
+#: More given names that are looked for.
+FURTHER = {
+    ("latin", "f"): """Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Karen Lisa Nancy Betty Margaret Sandra
+        Ashley Emily Michelle Amanda Melissa Deborah Stephanie Rebecca Sharon Cynthia Kathleen Amy Angela Helen Rachel
+        Olivia Sophia Sophie Charlotte Amelia Isabella Hannah Alice Jane Kate Lucy Grace Victoria Katharina Sabine Petra
+        Monika Ursula Heike Birgit Ingrid Greta Lena Lea Mia Marie Camille Chloé Élodie Isabelle Juliette Amélie Nathalie
+        Isabel Lucía Sofía Paula Marta Teresa Rosa Pilar Ana Inés Giulia Francesca Chiara Fatima Aisha Priya""",
+    ("latin", "m"): """James Robert Michael William Richard Joseph Charles Christopher Matthew Anthony Mark Steven Andrew
+        Kenneth George Joshua Kevin Brian Edward Ronald Timothy Jason Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Stephen
+        Larry Justin Scott Brandon Benjamin Samuel Gregory Patrick Frank Jack Henry Oliver Harry Noah Liam Hans Klaus Jürgen
+        Wolfgang Stefan Andreas Michel Jean Jacques François Antoine Louis Philippe Nicolas Julien Felix Max Maximilian Jonas
+        Leon Lukas Karl Friedrich Heinrich Günter Werner Uwe José Juan Luis Miguel Javier Antonio Francisco Manuel Pedro Diego
+        Alejandro Pablo Marco Giovanni Giuseppe Luca Mohammed Ahmed Ali Omar Raj""",
+    ("cyrillic", "f"): "Екатерина Анастасия Юлия Людмила Галина Валентина Надежда Вера Любовь Дарья Ксения Алина Полина Марина Оксана София",
+    ("cyrillic", "m"): "Александр Владимир Виктор Юрий Евгений Игорь Олег Павел Антон Максим Роман Борис Денис Константин Василий Григорий Петр",
+    ("greek", "f"): "Βασιλική Δήμητρα Γεωργία Ευαγγελία Αγγελική Χριστίνα Παρασκευή Ειρήνη Αναστασία",
+    ("greek", "m"): "Γεώργιος Ιωάννης Κωνσταντίνος Δημήτριος Νικόλαος Παναγιώτης Βασίλης Χρήστος Αθανάσιος Μιχάλης Σπύρος",
+}
 TITLES = {
     "Mr": "m", "Herr": "m", "Señor": "m", "Monsieur": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f",
-    "Señora": "f", "Madame": "f", "Dr": "", "Prof": "",
+    "Señora": "f", "Madame": "f", "Dr": "", "Prof": "", "Sir": "m", "Signor": "m", "Signora": "f", "Professor": "", "Doctor": "",
+    "Κύριος": "m", "Κυρία": "f", "Господин": "m", "Госпожа": "f",
 }
 SYLLABLES = {
     "latin": ["ba", "den", "ful", "gor", "han", "kel", "lin", "mor", "nev", "pas", "ros", "tam", "vil", "wes", "zim", "cot"],
@@ -32,27 +54,48 @@ SYLLABLES = {
 ENDINGS = {"latin": "", "cyrillic": "ов", "greek": "ης"}
 # ---------------------------------------------------------------------------------------
 
-GENDER = {(script, name): gender for (script, gender), names in NAMES.items() for name in names}
-_given = "|".join(sorted({name for names in NAMES.values() for name in names}, key=len, reverse=True))
-_title = "|".join(TITLES)
-_surname = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ][a-zß-öø-ÿа-яёα-ωά-ώ]+"
+GIVEN = {of: list(dict.fromkeys([*names, *FURTHER[of].split()])) for of, names in NAMES.items()}
+GENDER = {(script, name): gender for (script, gender), names in GIVEN.items() for name in names}
+
+
+def any_of(words: Iterable[str]) -> str:
+    """A pattern of the words, longest first, that looks at their first letters first."""
+    by_first: dict[str, list[str]] = {}
+    for word in sorted(set(words), key=len, reverse=True):
+        by_first.setdefault(word[0], []).append(word[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(by_first.items()))
+
+
+_given = any_of(name for names in GIVEN.values() for name in names)
+_title = any_of(TITLES)
+_capital, _small = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ", "a-zß-öø-ÿа-яёα-ωά-ώ"
+_surname = rf"(?:[{_capital}]['’])?[{_capital}][{_small}]+(?:[{_capital}][{_small}]+)?(?:-[{_capital}][{_small}]+)*"
+_first = "".join(sorted({name[0] for name in [*TITLES, *(n for names in GIVEN.values() for n in names)]}))
+_hex = "[0-9A-Fa-f]{1,4}"
+#: How keys of some vendors begin.
+_vendor = r"A[KS]IA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_live_|sk-|AIza"
 
 #: What is looked for, the earlier kinds first where two begin at one place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9+/_-]{12,})|(?<![A-Za-z0-9])(?P<hex>(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,}))(?![A-Za-z0-9])",
+    "secret": r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:(?:token|secret(?:[_-]?(?:access[_-]?)?key)?|password|passwd|passphrase|pwd|(?:api|access|private|auth|account|encryption)[_-]?key)[\"']?\s*(?:=>|:=|[=:])\s*[\"']?)(?P<value>[A-Za-z0-9+/_-]{12,}|(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{6,})"
+    rf"|(?<![A-Za-z0-9])(?:{_vendor}|[Bb]earer )(?P<keyed>[A-Za-z0-9_-]{{16,}})"
+    r"|(?<![A-Za-z0-9])(?P<hex>(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,}))(?![A-Za-z0-9])",
+    "ip6": rf"(?<![\w:.])(?=[A-Fa-f:]*[0-9])(?:(?:{_hex}:){{7}}{_hex}|[0-9A-Fa-f]{{3,4}}(?::{_hex}){{0,5}}::(?:{_hex}(?::{_hex}){{0,5}})?)(?![\w:])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2} ?(?:[A-Z]{4} ?|[A-Z])?\d{3,4}(?: ?\d{4}){1,6}(?: ?\d{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
-    "person": rf"\b(?:(?P<title>{_title})\b\.? (?:(?P<given1>{_given}) )?|(?P<given2>{_given}) )(?P<surname>{_surname})\b",
+    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
+    r"|(?<![\w.+-])(?:\d{3}[-. ]\d{3}[-. ]\d{4}|\(0[1-9]\d{1,3}\) ?\d{3,4}[ -]?\d{2,5}|0[1-9]\d{1,3}(?:[ /-]\d{5,8}|[ /-]\d{3,4}[ -]\d{3,5})|0[1-9](?:[ .-]\d{2}){4})(?![\w-]|[.]\d)",
+    "person": rf"\b(?=[{_first}])(?:(?P<title>{_title})\b\.? (?:(?P<given1>{_given}) )?|(?P<given2>{_given}) )(?:(?P<given3>{_given}) )?(?:[{_capital}]\. )?(?P<surname>{_surname})\b",
 }
 FOUND = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
-_first = "".join(sorted({name[0] for name in [*TITLES, *_given.split("|")]}))
+NAME = re.compile(rf"\b{_surname}\b")
 #: Every text with something to find has one of these, in a form that Spark's patterns know
 #: too: a sign that numbers, addresses and keys have, or the beginning of a name. The names are
 #: only tried at the capitals that they begin with.
-TRIGGERS = ("[0-9@=:]", rf"(?=[{_first}])(?:{_given}|{_title})[. ]")
+TRIGGERS = ("[0-9@=:]", rf"(?=[{_first}])(?:{_given}|{_title})[. ]", rf"(?:{_vendor}|[Bb]earer )[A-Za-z_-]{{16}}")
 
 
 def script_of(word: str) -> str:
@@ -72,7 +115,7 @@ def parts_of(match: re.Match) -> list[tuple[str, str, int, int]]:
     if kind == "person":
         out = []
 
-        for group in ("given1", "given2"):
+        for group in ("given1", "given2", "given3"):
             if name := match[group]:
                 script = script_of(name)
                 out.append((f"given-{script}-{GENDER[script, name]}", name, *match.span(group)))
@@ -81,10 +124,12 @@ def parts_of(match: re.Match) -> list[tuple[str, str, int, int]]:
 
         return out
     if kind == "secret":
-        group = "value" if match["value"] is not None else "hex"
+        group = next(g for g in ("value", "keyed", "hex") if match[g] is not None)
         return [(kind, match[group].lower() if is_hex(match[group]) else match[group], *match.span(group))]
-    if kind == "email":
+    if kind in ("email", "ip6"):
         return [(kind, match[0].lower(), *match.span())]
+    if kind == "iban":
+        return [(kind, match[0].replace(" ", ""), *match.span())]
     if kind == "ip":
         return [(kind, match[0], *match.span())]
     return [(kind, re.sub(r"\D", "", match[0]), *match.span())]
@@ -95,7 +140,20 @@ def is_hex(text: str) -> bool:
 
 
 def found_in(text: str) -> list[tuple[str, str, int, int]]:
-    return [part for match in FOUND.finditer(text) for part in parts_of(match)]
+    """The finds in their order, and every further mention of the names among them."""
+    found = [part for match in FOUND.finditer(text) for part in parts_of(match)]
+    names = {canon: kind for kind, canon, *_ in found if kind.startswith("given-")}
+    names |= {canon: kind for kind, canon, *_ in found if kind.startswith("surname-")}
+    if not names:
+        return found
+    spans, k, more = [f[2:] for f in found], 0, []
+    for match in NAME.finditer(text):
+        while k < len(spans) and spans[k][1] <= match.start():
+            k += 1
+        name = match[0] if match[0] in names else stem_of(match[0])
+        if name in names and (k == len(spans) or match.end() <= spans[k][0]):
+            more.append((names[name], name, match.start(), match.start() + len(name)))
+    return sorted([*found, *more], key=lambda f: f[2]) if more else found
 
 
 def numbers(key: bytes, *about: str) -> Iterator[int]:
@@ -126,6 +184,10 @@ def luhn(digits: str) -> int:
     return sum(sum(divmod(2 * int(d), 10)) if k % 2 else int(d) for k, d in enumerate(reversed(digits))) % 10
 
 
+def iban_rest(iban: str) -> int:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
 def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
     """The canonical form of what stands for an entity, at an attempt. Later attempts may be
     longer, so there is always one that is free."""
@@ -139,10 +201,15 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
         return like(local + "x" * longer, stream) + "@" + host + "." + top
     if kind == "secret":
         return "".join(f"{next(stream) % 16:x}" for _ in canon) if is_hex(canon) else like(canon, stream)
+    if kind == "ip6":
+        return like(canon, stream, "abcdef")
+    if kind == "iban":
+        out = canon[:4] + like(canon[4:], stream)
+        return f"{out[:2]}{98 - iban_rest(out[:2] + '00' + out[4:]):02}{out[4:]}" if iban_rest(canon) == 1 else out
     if kind == "ip":
         return ".".join(str(1 + next(stream) % 254) for _ in range(4))
     if kind == "phone":
-        keep = max(0, len(canon) - 10)  # the country's code
+        keep = 1 if canon[0] == "0" else max(0, len(canon) - 10)  # the trunk's 0 or the country's code
         return canon[:keep] + like("1" + canon[keep + 1 :], stream)
     if kind == "card":
         out = like(canon, stream)
@@ -169,7 +236,10 @@ def in_form_of(kind: str, given: str, new: str) -> str:
     if kind in ("card", "ssn", "phone"):
         digits = iter(new)
         return "".join(next(digits) if c.isdigit() else c for c in given)
-    if kind in ("email", "secret") and given.isupper():
+    if kind == "iban":
+        signs = iter(new)
+        return "".join(c if c == " " else next(signs) for c in given)
+    if kind in ("email", "secret", "ip6") and given.isupper():
         return new.upper()
     return new
 
@@ -253,8 +323,9 @@ def replaced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_surrogates(docs: DataFrame, key: bytes, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Texts with their personal data replaced: e-mail addresses, secrets, IP, card, social
-    security and telephone numbers, and names of persons after a title or with a given name.
+    """Texts with their personal data replaced: e-mail addresses, secrets, IP addresses, bank
+    accounts, card, social security and telephone numbers, and names of persons after a title
+    or with a given name, with all further mentions of a name in the text it was found in.
 
     A surrogate comes from a keyed hash, so it can't be traced without the key, and has the
     form of what it replaces: separators, case, lengths, country code, check digit, script,
@@ -268,7 +339,7 @@ def with_surrogates(docs: DataFrame, key: bytes, id_column: str = "doc_id", text
     stay null with 0 entities; rows without id are rewritten like others; no rows give none.
     """
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    some = F.coalesce(F.col("text").rlike(TRIGGERS[0]) | F.col("text").rlike(TRIGGERS[1]), F.lit(False))
+    some = F.coalesce(reduce(or_, [F.col("text").rlike(t) for t in TRIGGERS]), F.lit(False))
     mark = F.xxhash64("text").alias("mark")
     kept = narrow.where(some).select("doc_id", mark, "text")
     found = saved(kept.mapInArrow(detect, "doc_id long, mark long, kind string, canon string")).distinct()
