@@ -1,7 +1,9 @@
 """The operators' queries and their SQL."""
 
 from siteweave.llm.decontaminate import OP10_SQL, op10_decontamination
+from siteweave.llm.exact_duplicates import OP11_SQL, op11_exact_duplicates
 from siteweave.llm.language_id import op2_language_id
+from siteweave.llm.manifest import OP13_SQL, op13_manifest
 from siteweave.llm.mixture import op1_mixture
 from siteweave.llm.near_duplicates import OP7_SQL, op7_near_duplicates
 from siteweave.llm.quality import op4_quality
@@ -22,9 +24,13 @@ QUERIES = {
     "op8_surrogates": op8_surrogates,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op11_exact_duplicates": op11_exact_duplicates,
+    "op13_manifest": op13_manifest,
 }
 ORACLES = {
     "op5_vector_duplicates": OP5_SQL,
     "op7_near_duplicates": OP7_SQL,
     "op10_decontamination": OP10_SQL,
+    "op11_exact_duplicates": OP11_SQL,
+    "op13_manifest": OP13_SQL,
 }
