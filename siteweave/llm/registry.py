@@ -3,6 +3,7 @@
 from siteweave.llm.decontaminate import OP10_SQL, op10_decontamination
 from siteweave.llm.exact_duplicates import OP11_SQL, op11_exact_duplicates
 from siteweave.llm.language_id import op2_language_id
+from siteweave.llm.lexical_search import OP12_SQL, op12_lexical_search
 from siteweave.llm.manifest import OP13_SQL, op13_manifest
 from siteweave.llm.mixture import op1_mixture
 from siteweave.llm.near_duplicates import OP7_SQL, op7_near_duplicates
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
     "op11_exact_duplicates": op11_exact_duplicates,
+    "op12_lexical_search": op12_lexical_search,
     "op13_manifest": op13_manifest,
 }
 ORACLES = {
@@ -32,5 +34,6 @@ ORACLES = {
     "op7_near_duplicates": OP7_SQL,
     "op10_decontamination": OP10_SQL,
     "op11_exact_duplicates": OP11_SQL,
+    "op12_lexical_search": OP12_SQL,
     "op13_manifest": OP13_SQL,
 }
