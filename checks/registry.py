@@ -793,6 +793,31 @@ def _(spark, sf):
     return op.variants_by_rsid(half1(spark, sf), fixture(spark, sf, "dbsnp"))
 
 
+def sql_rsid_set(ids: str) -> str:
+    return (
+        f"{ctes('half1', 'dbsnp', 'site')} SELECT v.* FROM half1 v JOIN ({PLACES}) d ON d.\"ID\" = v.id "
+        "AND d.chrm = v.reference_name AND v.start_position BETWEEN d.\"start\" AND d.\"end\" "
+        f"WHERE d.\"ID\" IN (SELECT \"ID\" FROM ({PLACES}) GROUP BY \"ID\" HAVING count(*) = 1) AND d.\"ID\" IN ({ids})"
+    )
+
+
+@query("variants_by_rsid_list", sql_rsid_set("SELECT 'rs' || x FROM range(100000) AS r(x)"))
+def _(spark, sf):
+    """A list of 100,000 rsids; the variants are stored in bins."""
+    path = new_path(spark)
+    sources.write_binned(half1(spark, sf), path)
+    stored = sources.read_variants(spark, path, pack=False)
+    found = op.variants_by_rsid(stored, fixture(spark, sf, "dbsnp"), [f"rs{k}" for k in range(100_000)])
+    return found.select(*half1(spark, sf).columns).withColumn("bin_id", F.col("bin_id").cast("int"))
+
+
+@query("variants_by_rsid_table", sql_rsid_set("SELECT id FROM site WHERE status = 'P'"))
+def _(spark, sf):
+    """The rsids are a column of another table."""
+    ids = fixture(spark, sf, "site").where("status = 'P'")
+    return op.variants_by_rsid(half1(spark, sf), fixture(spark, sf, "dbsnp"), ids)
+
+
 @query(
     "ambiguous_rsids",
     f"{ctes('dbsnp')} SELECT \"ID\" AS id, count(*) AS locations FROM ({PLACES}) GROUP BY \"ID\" HAVING count(*) > 1",
@@ -1171,6 +1196,40 @@ def _(spark, sf):
     return op.variants_by_gene(fixture(spark, sf, "long"), fixture(spark, sf, "genes"), overlap=True)
 
 
+GENE_COLUMN = "(SELECT *, concat('own', id) AS gene, bin_id AS _bin FROM half1)"
+# Each gene of the list once more, with an end that no chromosome has.
+FAR_GENES = (
+    "(SELECT * FROM genes UNION ALL SELECT name2 || '-far', reference_name, start_position, 1152921504606846976 FROM genes)"
+)
+
+
+@query(
+    "variants_by_gene_named",
+    f"{ctes('half1', 'genes')} SELECT v.*, g.gene AS lookup_gene FROM {GENE_COLUMN} v JOIN "
+    f"({SPANS.replace('FROM genes', 'FROM ' + FAR_GENES)}) g "
+    "ON g.chrom = v.reference_name AND v.start_position BETWEEN lo AND hi",
+)
+def _(spark, sf):
+    """The table has columns `gene` and `_bin` of its own, and some genes have absurd ends."""
+    df = half1(spark, sf).withColumns({"gene": F.concat(F.lit("own"), "id"), "_bin": F.col("bin_id")})
+    return op.variants_by_gene(df, far_genes(spark, sf))
+
+
+@query(
+    "variants_by_gene_overlap_far",
+    f"{ctes('long', 'genes')} SELECT v.*, gene FROM long v JOIN ({SPANS.replace('FROM genes', 'FROM ' + FAR_GENES)}) g "
+    "ON g.chrom = v.reference_name AND v.start_position <= hi AND v.end_position >= lo",
+)
+def _(spark, sf):
+    return op.variants_by_gene(fixture(spark, sf, "long"), far_genes(spark, sf), overlap=True)
+
+
+def far_genes(spark, sf):
+    genes = fixture(spark, sf, "genes")
+    far = {"name2": F.concat("name2", F.lit("-far")), "end_position": F.lit(1 << 60)}
+    return genes.unionByName(genes.withColumns(far))
+
+
 # --- workflows ---------------------------------------------------------------------
 
 IN_GENE0 = "reference_name = '1' AND start_position BETWEEN 0 AND 3999999"

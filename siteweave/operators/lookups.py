@@ -4,7 +4,8 @@ import operator
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteweave.operators.columns import (
@@ -24,6 +25,19 @@ MISSING_ID = "."
 LEVEL_FACTOR = 16
 LEVELS = 4
 
+# A gene of more bins than this, longer than any chromosome at the usual width, is not dealt
+# to bins.
+MOST_BINS = 16_384
+
+# Pruning by a set of places: the most ranges in one filter, the bases of a stretch whose
+# places are put together before that, and the most stretches that are looked at.
+MOST_RANGES = 64
+STRETCH = 1 << 20
+MOST_STRETCHES = 20_000
+
+# Up to so many rsids are a list in the filter of the dbSNP scan, which its files can prune by.
+LISTED_RSIDS = 100
+
 
 class Coordinate(NamedTuple):
     reference_name: str
@@ -31,12 +45,24 @@ class Coordinate(NamedTuple):
     end_position: int
 
 
-def rsid_locations(dbsnp: DataFrame, rsids: list[str] | None = None) -> DataFrame:
+def _id_table(spark: SparkSession, rsids: list[str]) -> DataFrame:
+    return spark.createDataFrame(pa.table({"id": pa.array(list(rsids), pa.string())}))
+
+
+def rsid_locations(dbsnp: DataFrame, rsids: list[str] | DataFrame | None = None) -> DataFrame:
     """One row per rsid with its coordinates, `locations`, how many different places it has,
-    and `rows`, how many rows name it. Several alternates at one place are one location."""
+    and `rows`, how many rows name it. Several alternates at one place are one location.
+
+    `rsids` restricts them to a list or to the `id` column of a table, of any length: what
+    does not fit a filter is joined.
+    """
     known = lookup_columns(dbsnp).where(F.col("id") != MISSING_ID)
-    if rsids is not None:
+    if isinstance(rsids, DataFrame):
+        known = known.join(rsids.select("id"), "id", "left_semi")
+    elif rsids is not None and len(rsids) <= LISTED_RSIDS:
         known = known.where(F.col("id").isin(list(rsids)))
+    elif rsids is not None:
+        known = known.join(_id_table(dbsnp.sparkSession, rsids), "id", "left_semi")
     place = ["reference_name", "start_position", "end_position"]
     places = known.groupBy("id", *place).agg(F.count("*").alias("rows"))
     return places.groupBy("id").agg(
@@ -48,7 +74,7 @@ def rsid_locations(dbsnp: DataFrame, rsids: list[str] | None = None) -> DataFram
     )
 
 
-def ambiguous_rsids(dbsnp: DataFrame, rsids: list[str] | None = None) -> DataFrame:
+def ambiguous_rsids(dbsnp: DataFrame, rsids: list[str] | DataFrame | None = None) -> DataFrame:
     """rsids with more than one location, which no lookup answers."""
     return rsid_locations(dbsnp, rsids).where("locations > 1").select("id", "locations")
 
@@ -65,28 +91,92 @@ def rsid_location(dbsnp: DataFrame, rsid: str, strict: bool = False) -> Coordina
     return Coordinate(row["reference_name"], row["lookup_start"], row["lookup_end"])
 
 
+def covering_ranges(
+    places: DataFrame, start: str, end: str, most: int = MOST_RANGES
+) -> list[Coordinate] | None:
+    """At most `most` ranges that hold every place of (reference_name, start, end), or None if
+    the places are on too many chromosomes for that.
+
+    One aggregation by chromosome and stretch of a megabase; its rows are bounded by the
+    genome's length (and cut at MOST_STRETCHES, beyond which whole chromosomes are taken).
+    Ranges meet where the gaps between them are smallest.
+    """
+    span = [F.min(start).alias("start_position"), F.max(end).alias("end_position")]
+    known = places.where(F.col(start).isNotNull() & F.col(end).isNotNull() & F.col("reference_name").isNotNull())
+    by_stretch = known.groupBy("reference_name", bin_of(F.col(start), STRETCH).alias("stretch"))
+    rows = by_stretch.agg(*span).limit(MOST_STRETCHES + 1).collect()
+    if len(rows) > MOST_STRETCHES:
+        rows = known.groupBy("reference_name").agg(*span).limit(most + 1).collect()
+    found = sorted((r["reference_name"], r["start_position"], r["end_position"]) for r in rows)
+    chromosomes = {name for name, _, _ in found}
+    if len(chromosomes) > most:
+        return None
+    # overlapping stretches become one, then the smallest gaps are closed
+    ranges: list[Coordinate] = []
+    for name, low, high in found:
+        last = ranges[-1] if ranges else None
+        if last and last.reference_name == name and low <= last.end_position + 1:
+            ranges[-1] = Coordinate(name, last.start_position, max(high, last.end_position))
+        else:
+            ranges.append(Coordinate(name, low, high))
+    pairs = zip(ranges, ranges[1:], strict=False)
+    gaps = [(b.start_position - a.end_position, k) for k, (a, b) in enumerate(pairs) if a.reference_name == b.reference_name]
+    closed = {k for _, k in sorted(gaps)[: max(0, len(ranges) - most)]}
+    out: list[Coordinate] = []
+    for k, own in enumerate(ranges):
+        out.append(Coordinate(own.reference_name, out.pop().start_position, own.end_position) if k - 1 in closed else own)
+    return out
+
+
+def starts_in_ranges(df: DataFrame, ranges: list[Coordinate]) -> Column:
+    """Whether a variant starts inside one of the ranges, in clauses that a scan can prune by:
+    chromosome, position and, where their width is known, bins."""
+    width = bin_width(df)
+
+    def inside(r: Coordinate) -> Column:
+        clause = F.col("start_position").between(r.start_position, r.end_position)
+        if width:
+            clause &= F.col(BIN).between(bin_of(r.start_position, width), bin_of(r.end_position, width))
+        return clause
+
+    def any_of(clauses: list[Column]) -> Column:
+        # halves, so that the condition is as deep as the logarithm of their number
+        if len(clauses) < 2:
+            return clauses[0] if clauses else F.lit(False)
+        half = len(clauses) // 2
+        return any_of(clauses[:half]) | any_of(clauses[half:])
+
+    by_name: dict[str, list[Column]] = {}
+    for r in ranges:
+        by_name.setdefault(r.reference_name, []).append(inside(r))
+    return any_of([(F.col("reference_name") == name) & any_of(own) for name, own in by_name.items()])
+
+
 def variants_by_rsid(
-    df: DataFrame, dbsnp: DataFrame, rsids: list[str] | None = None
+    df: DataFrame, dbsnp: DataFrame, rsids: list[str] | DataFrame | None = None
 ) -> DataFrame:
     """Variants of a set of rsids, or of every rsid with exactly one location.
 
     A variant must carry the rsid and start inside the looked-up location. Variants without
-    an id stay out of the join. A set of rsids is small: its places are looked up first and
-    become a filter by position that the scan can prune with.
+    an id stay out of the join. The set is a list or the `id` column of a table, of any size:
+    its places are a table that is joined, and the scan of the variants is pruned by a
+    bounded number of ranges that cover the places, so the plan does not grow with the set.
     """
     places = rsid_locations(dbsnp, rsids).where("locations = 1").drop("locations", "rows")
+    known = df.where(F.col("id") != MISSING_ID)
     if rsids is not None:
-        found = places.collect()  # at most one row for each of the rsids
-        spots = [
-            (F.col("reference_name") == r["reference_name"])
-            & F.col("start_position").between(r["lookup_start"], r["lookup_end"])
-            & (F.col("id") == r["id"])
-            for r in found
-        ]
-        return df.where(reduce(operator.or_, spots, F.lit(False)))
-    joined = df.where(F.col("id") != MISSING_ID).join(places, ["reference_name", "id"], "inner")
-    inside = joined.where(F.col("start_position").between(F.col("lookup_start"), F.col("lookup_end")))
-    return inside.select(*[F.col(f"`{c}`") for c in df.columns])
+        ranges = covering_ranges(places, "lookup_start", "lookup_end")
+        if ranges is not None:
+            known = known.where(starts_in_ranges(df, ranges))
+    places = places.select(
+        F.col("reference_name").alias("_lookup_name"),
+        F.col("id").alias("_lookup_id"),
+        F.col("lookup_start").alias("_lookup_start"),
+        F.col("lookup_end").alias("_lookup_end"),
+    )
+    same = (F.col("reference_name") == F.col("_lookup_name")) & (F.col("id") == F.col("_lookup_id"))
+    inside = F.col("start_position").between(F.col("_lookup_start"), F.col("_lookup_end"))
+    return known.join(places, same, "inner").where(inside).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def gene_intervals(genes: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -108,13 +198,8 @@ def gene_coordinates(genes: DataFrame, name: str) -> list[Coordinate]:
     return sorted(Coordinate(*row[1:]) for row in rows)
 
 
-def _with_bins(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    """One row per bin of the interval, `_bin`. The ends may come in either order, as the
-    comparisons that follow do not care."""
-    low = bin_of(F.least(start, end), width)
-    high = bin_of(F.greatest(start, end), width)
-    both = F.col(start).isNotNull() & F.col(end).isNotNull()
-    return df.where(both).select("*", F.explode(F.sequence(low, high)).alias("_bin"))
+def _gene_bins(low: Column, high: Column, width: int) -> Column:
+    return bin_of(high, width) - bin_of(low, width)
 
 
 def variants_by_gene(
@@ -122,45 +207,92 @@ def variants_by_gene(
     genes: DataFrame,
     names: list[str] | None = None,
     overlap: bool = False,
+    gene_column: str | None = None,
 ) -> DataFrame:
-    """Variants inside a set of genes, each with its `gene`.
+    """Variants inside a set of genes, each with its gene.
 
     A variant belongs to a gene when it starts inside it, or, with `overlap`, when the
     two intervals share a position. Both sides meet on (chromosome, bin), so the interval
     condition never compares a whole chromosome. For overlaps the bins come in levels,
     LEVEL_FACTOR times wider each: a variant lies in the first level whose bin is as wide as
-    itself, in one row, and only a gene is repeated, for the bins that it may reach.
+    itself, in one row, and only a gene is repeated, for the bins that it may reach. A gene
+    of more than MOST_BINS bins holds whole chromosomes and meets them by name alone; one
+    small job over the genes tells whether there is any.
+
+    The gene's name is in `gene_column`: `gene`, or `lookup_gene` where the table has a
+    column `gene` itself.
     """
+    taken = {c.lower() for c in df.columns}
+    if gene_column is None:
+        gene_column = "lookup_gene" if "gene" in taken else "gene"
+    if gene_column.lower() in taken:
+        raise ValueError(f"the table has a column {gene_column} already")
     width = bin_width(df) or BIN_WIDTH
-    columns = [F.col(f"`{c}`") for c in df.columns]
+    low, high = F.least("gene_start", "gene_end"), F.greatest("gene_start", "gene_end")
+    known = (
+        gene_intervals(genes, names)
+        .where("gene_start IS NOT NULL AND gene_end IS NOT NULL")
+        .select(
+            F.col("gene").alias("_gene"),
+            F.col("reference_name").alias("_gene_name"),
+            F.col("gene_start").alias("_gene_start"),
+            F.col("gene_end").alias("_gene_end"),
+            low.alias("_gene_low"),
+            high.alias("_gene_high"),
+            (_gene_bins(low, high, width) > MOST_BINS).alias("_gene_huge"),
+        )
+    )
+    huge = known.where("_gene_huge")
+    find = _overlapping if overlap else _starting_inside
+    found = find(df, known.where("NOT _gene_huge"), width)
+    start, end = F.col("start_position"), F.col("end_position")
+    if not huge.isEmpty():
+        meets = (start <= F.col("_gene_end")) & (end >= F.col("_gene_start"))
+        if not overlap:
+            meets = start.between(F.col("_gene_start"), F.col("_gene_end"))
+        met = df.join(huge, F.col("reference_name") == F.col("_gene_name"), "inner").where(meets)
+        found = found.unionByName(met.select(*[F.col(f"`{c}`") for c in df.columns], "_gene"))
+    return found.withColumnRenamed("_gene", gene_column)
+
+
+def _starting_inside(df: DataFrame, genes: DataFrame, width: int) -> DataFrame:
+    start = F.col("start_position")
+    bins = F.sequence(bin_of(F.col("_gene_low"), width), bin_of(F.col("_gene_high"), width))
+    spans = genes.select("*", F.explode(bins).alias("_gene_bin"))
+    known = F.col(BIN) if bin_width(df) else bin_of(start, width)
+    inside = start.between(F.col("_gene_start"), F.col("_gene_end"))
+    same = (F.col("reference_name") == F.col("_gene_name")) & (F.col("_variant_bin") == F.col("_gene_bin"))
+    met = df.withColumn("_variant_bin", known.cast("bigint")).join(spans, same, "inner").where(inside)
+    return met.select(*[F.col(f"`{c}`") for c in df.columns], "_gene")
+
+
+def _overlapping(df: DataFrame, genes: DataFrame, width: int) -> DataFrame:
     start, end = F.col("start_position"), F.col("end_position")
-    if not overlap:
-        spans = _with_bins(gene_intervals(genes, names), "gene_start", "gene_end", width)
-        known = F.col(BIN) if bin_width(df) else bin_of(start, width)
-        inside = start.between(F.col("gene_start"), F.col("gene_end"))
-        met = df.withColumn("_bin", known.cast("bigint")).join(spans, ["reference_name", "_bin"], "inner")
-        return met.where(inside).select(*columns, "gene")
     widths = [width * LEVEL_FACTOR**k for k in range(LEVELS)]
     low, span = F.least(start, end), F.abs(end - start)
     level, first = F.lit(LEVELS), F.lit(0).cast("bigint")
     for k in reversed(range(LEVELS)):
         level = F.when(span < widths[k], F.lit(k)).otherwise(level)
         first = F.when(span < widths[k], bin_of(low, widths[k])).otherwise(first)
-    sites = df.where(start.isNotNull() & end.isNotNull()).withColumns({"_level": level, "_bin": first})
-    known = gene_intervals(genes, names).where("gene_start IS NOT NULL AND gene_end IS NOT NULL")
-    gene_low, gene_high = F.least("gene_start", "gene_end"), F.greatest("gene_start", "gene_end")
+    sites = df.where(start.isNotNull() & end.isNotNull()).withColumns({"_variant_level": level, "_variant_bin": first})
 
     def placed(k: int, w: int):
         # a variant of this level begins in the gene's bins or in the one before them
-        bins = F.sequence(bin_of(gene_low, w) - 1, bin_of(gene_high, w))
-        return F.transform(bins, lambda b: F.struct(F.lit(k).alias("_level"), b.alias("_bin")))
+        bins = F.sequence(bin_of(F.col("_gene_low"), w) - 1, bin_of(F.col("_gene_high"), w))
+        return F.transform(bins, lambda b: F.struct(F.lit(k).alias("_gene_level"), b.alias("_gene_bin")))
 
     at = [placed(k, w) for k, w in enumerate(widths)]
     # the last level is one bin: what is longer than any chromosome meets each of its genes
-    at.append(F.array(F.struct(F.lit(LEVELS).alias("_level"), F.lit(0).cast("bigint").alias("_bin"))))
-    spans = known.select("*", F.inline(F.concat(*at)))
-    meets = (start <= F.col("gene_end")) & (end >= F.col("gene_start"))
-    return sites.join(spans, ["reference_name", "_level", "_bin"], "inner").where(meets).select(*columns, "gene")
+    last = F.struct(F.lit(LEVELS).alias("_gene_level"), F.lit(0).cast("bigint").alias("_gene_bin"))
+    spans = genes.select("*", F.inline(F.concat(*at, F.array(last))))
+    same = [
+        F.col("reference_name") == F.col("_gene_name"),
+        F.col("_variant_level") == F.col("_gene_level"),
+        F.col("_variant_bin") == F.col("_gene_bin"),
+    ]
+    meets = (start <= F.col("_gene_end")) & (end >= F.col("_gene_start"))
+    met = sites.join(spans, reduce(operator.and_, same), "inner").where(meets)
+    return met.select(*[F.col(f"`{c}`") for c in df.columns], "_gene")
 
 
 def calls_with_population(

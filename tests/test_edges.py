@@ -8,10 +8,12 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from conftest import plan_of
 from siteweave import operators as op
 from siteweave import plans
 from siteweave.functions.genotypes import CARRIED
 from siteweave.operators.filters import VariantFilter
+from siteweave.operators.lookups import covering_ranges
 from siteweave.schema import KEY5
 
 SITE = (
@@ -306,6 +308,51 @@ def test_rsid_rules(spark):
     assert plans.variants({"t": df}, rsid="rs5", dbsnp=dbsnp).count() == 1
 
 
+def test_large_set_of_rsids(spark):
+    places = [("1", k * 1000, k * 1000 + 1, "A", "C", f"rs{k}") for k in range(0, 3000)]
+    dbsnp = spark.createDataFrame(places, "chrm string, start long, end long, base string, alt string, ID string")
+    df = table(spark, [site(k * 1000, id=f"rs{k}") for k in range(0, 3000, 3)] + [site(7, id="rs1")], [])
+    wanted = [f"rs{k}" for k in range(0, 3000, 2)]
+    small = op.variants_by_rsid(df, dbsnp, wanted[:150])
+    large = op.variants_by_rsid(df, dbsnp, wanted)
+    assert sorted(r["start_position"] for r in large.collect()) == [k * 1000 for k in range(0, 3000, 6)]
+    assert sorted(r["start_position"] for r in small.collect()) == [k * 1000 for k in range(0, 300, 6)]
+    sizes = [len(plan_of(x, "simple").splitlines()) for x in (small, large)]
+    assert sizes[0] == sizes[1]
+    assert op.variants_by_rsid(df, dbsnp, []).count() == 0
+    ids = spark.createDataFrame([("rs3",), ("rs3",), (None,), ("rs404",)], "id string")
+    assert [r["id"] for r in op.variants_by_rsid(df, dbsnp, ids).collect()] == ["rs3"]
+    named = df.withColumns({c: F.lit("x") for c in ("lookup_start", "lookup_end", "locations")})
+    assert op.variants_by_rsid(named, dbsnp, wanted).count() == 500
+
+
+def test_covering_ranges(spark):
+    rows = [("1", k, k + 2) for k in (5, 6, 9_000_000, 90_000_000)] + [("2", 7, 8), ("X", None, 3), (None, 4, 5)]
+    places = spark.createDataFrame(rows, "reference_name string, a long, b long")
+    assert covering_ranges(places, "a", "b") == [
+        ("1", 5, 8), ("1", 9_000_000, 9_000_002), ("1", 90_000_000, 90_000_002), ("2", 7, 8),
+    ]
+    assert covering_ranges(places, "a", "b", 3) == [("1", 5, 9_000_002), ("1", 90_000_000, 90_000_002), ("2", 7, 8)]
+    assert covering_ranges(places, "a", "b", 1) is None
+    assert covering_ranges(places.limit(0), "a", "b") == []
+
+
+def test_gene_names_and_absurd_genes(spark):
+    genes = spark.createDataFrame(
+        [("G1", "1", 50, 2**60), ("G2", "1", 50, 60), ("G3", None, 5, 9), ("G4", "1", None, None)],
+        "name2 string, reference_name string, start_position long, end_position long",
+    )
+    df = table(spark, [site(49), site(55), site(2**59)], []).withColumn("gene", F.lit("mine"))
+    for overlap in (False, True):
+        found = op.variants_by_gene(df, genes, overlap=overlap).collect()
+        got = sorted((r["start_position"], r["gene"], r["lookup_gene"]) for r in found)
+        first = [(49, "mine", "G1"), (49, "mine", "G2")] if overlap else []
+        assert got == first + [(55, "mine", "G1"), (55, "mine", "G2"), (2**59, "mine", "G1")]
+    assert "symbol" in op.variants_by_gene(df, genes, gene_column="symbol").columns
+    with pytest.raises(ValueError):
+        op.variants_by_gene(df, genes, gene_column="Gene")
+
+
 def test_filter_arguments_are_checked():
     for bad in (
         {"reference_name": "1 OR 1"}, {"reference_name": ""}, {"reference_bases": "N"},
