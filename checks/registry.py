@@ -1144,6 +1144,15 @@ for how in ("left", "right", "full"):
         return op.join_variants(fixture(spark, sf, "hot_left"), fixture(spark, sf, "hot_right"), how)
 
 
+for how in ("left", "right", "full"):
+
+    @query(f"join_salted_{how}", ORACLES[f"join_hot_{how}"])
+    def _(spark, sf, how=how):
+        """As join_hot, with keys dealt out from a hundred rows on."""
+        left, right = fixture(spark, sf, "hot_left"), fixture(spark, sf, "hot_right")
+        return op.join_variants(left, right, how, hot_rows=100)
+
+
 @query(
     "merge_halves_shared_sample",
     f"{ctes('half1', 'half2_shared')} "

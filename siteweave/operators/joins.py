@@ -2,11 +2,14 @@
 
 Spark splits a hot key of an inner join on both sides (AQE skew join), but in an outer
 join only the preserved side of a one-sided join: one key that fills much of the other
-side would end in one task. An outer join is therefore put together from an inner join and
-the rows of a preserved side that the other's distinct keys leave over (an anti join, whose
-preserved side Spark can split, and whose keys combine before the shuffle). Rows with a null
-key match nothing and take no part in the joins. The plan depends on no sizes and no job
-runs before it is used; a caller who knows that no key is hot may ask for the plain join.
+side would end in one task. An outer join therefore counts the keys of both tables first,
+inside the same query, and takes the HOT_KEYS heaviest of those with HOT_ROWS rows or more.
+The rows of such a key are dealt out by a salt on the side that has more of them and
+repeated for every salt on the other side; a repeated row that meets nothing under its salt
+met others under another one and is dropped. Each table is read twice, once for its keys
+alone, and shuffled as a whole once. Rows with a null key match nothing and are dealt out by
+hash. No job runs while the plan is built; a caller who knows that no key is hot may ask for
+the plain join.
 """
 
 from functools import reduce
@@ -27,6 +30,14 @@ from siteweave.schema import BIN, GENOTYPES, KEY3, KEY4, KEY5, SAMPLES_KEY, requ
 
 JOIN_TYPES = ("inner", "left", "right", "full")
 
+# Rows of one key that make it hot, and the most keys that are treated so.
+HOT_ROWS = 10_000
+HOT_KEYS = 1_000
+# The most parts that a hot key and the rows with null keys are dealt into.
+MOST_SALTS = 10_000
+NULL_SALTS = 4_096
+
+
 def _prefixed(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     return df.select(
         *keys,
@@ -34,43 +45,73 @@ def _prefixed(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     )
 
 
-def _with_nulls(df: DataFrame, like: DataFrame, keys: list[str]) -> DataFrame:
-    missing = {
-        f.name: F.lit(None).cast(f.dataType)
-        for f in like.schema.fields
-        if f.name not in keys
-    }
-    return df.withColumns(missing) if missing else df
-
-
 def _plain_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """One join; `_side` tells which table a row comes from."""
-    side = (
-        F.when(F.col("_on_right").isNull(), "left")
-        .when(F.col("_on_left").isNull(), "right")
-        .otherwise("both")
+    flagged = left.selectExpr("*", "true AS _on_left").join(right.selectExpr("*", "true AS _on_right"), keys, how)
+    return flagged.selectExpr(
+        "*", "CASE WHEN _on_right IS NULL THEN 'left' WHEN _on_left IS NULL THEN 'right' ELSE 'both' END AS _side"
     )
-    flagged = left.withColumn("_on_left", F.lit(True)).join(
-        right.withColumn("_on_right", F.lit(True)), keys, how
-    )
-    return flagged.withColumn("_side", side).drop("_on_left", "_on_right")
+
+
+def _no_null(keys: list[str]) -> str:
+    return " AND ".join(f"{k} IS NOT NULL" for k in keys)
+
+
+def _key_hashes(keys: list[str]) -> tuple[str, str]:
+    """SQL for the key in 128 bits, which are fewer to group by than its columns."""
+    return f"xxhash64({', '.join(keys)})", f"xxhash64('second', {', '.join(keys)})"
+
+
+def _hot_keys(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
+    """The heaviest keys with their rows on both sides: HOT_KEYS at most, so that they can go
+    to every task. Any key that is left out has fewer rows than `hot_rows`, or than each
+    of these."""
+    first, second = _key_hashes(keys)
+    hashes = [f"{first} AS _hot_1", f"{second} AS _hot_2"]
+    counts = [
+        df.where(_no_null(keys)).selectExpr(*hashes, f"{a} AS _n_left", f"{b} AS _n_right")
+        for df, a, b in ((left, 1, 0), (right, 0, 1))
+    ]
+    both = counts[0].union(counts[1]).groupBy("_hot_1", "_hot_2")
+    found = both.agg(F.expr("sum(_n_left) AS _n_left"), F.expr("sum(_n_right) AS _n_right"))
+    rows = "greatest(_n_left, _n_right)"
+    order = F.expr(rows).desc()
+    return found.where(f"{rows} >= {hot_rows}").orderBy(order, "_hot_1", "_hot_2").limit(HOT_KEYS)
+
+
+def _salted(
+    df: DataFrame, hot: DataFrame, keys: list[str], hot_rows: int, spread: str, repeated: str
+) -> DataFrame:
+    """`df` with `_salt`, and whether the row is there once for each salt. Where `spread`
+    holds, this side deals its rows of a hot key out; equal rows of several partitions part
+    as well, and every attempt of a task deals alike."""
+    first, second = _key_hashes(keys)
+    is_hot = f"{_no_null(keys)} AND {first} = _hot_1 AND {second} = _hot_2"
+    names = [f"`{c}`" for c in df.columns]
+    row = f"xxhash64({', '.join(names)}, spark_partition_id())"
+    salts = f"least(ceil(greatest(_n_left, _n_right) / {hot_rows}), {MOST_SALTS})"
+    salt = f"""CASE WHEN NOT ({_no_null(keys)}) THEN array(pmod({row}, {NULL_SALTS}L))
+        WHEN _hot_1 IS NULL THEN array(0L)
+        WHEN {spread} THEN array(pmod({row}, {salts}))
+        ELSE sequence(0L, {salts} - 1) END"""
+    found = df.join(F.broadcast(hot), F.expr(is_hot), "left")
+    is_repeated = f"_hot_1 IS NOT NULL AND NOT ({spread}) AS {repeated}"
+    return found.selectExpr(*names, is_repeated, f"explode({salt}) AS _salt")
 
 
 def _key_join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str, plain: bool
+    left: DataFrame, right: DataFrame, keys: list[str], how: str, plain: bool, hot_rows: int
 ) -> DataFrame:
-    """Join prefixed tables; outer joins in parts that Spark can split, unless `plain`."""
+    """Join prefixed tables; outer joins with hot keys dealt out, unless `plain`."""
     if plain or how == "inner":
         return _plain_join(left, right, keys, how)
-    parts = [left.join(right, keys, "inner").withColumn("_side", F.lit("both"))]
-    no_null = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
-    for side, df, other in (("left", left, right), ("right", right, left)):
-        if how not in (side, "full"):
-            continue
-        known = other.where(no_null).select(*keys).distinct()
-        alone = df.where(no_null).join(known, keys, "left_anti").unionByName(df.where(~no_null))
-        parts.append(_with_nulls(alone, other, keys).withColumn("_side", F.lit(side)))
-    return reduce(DataFrame.unionByName, parts)
+    hot = _hot_keys(left, right, keys, hot_rows)
+    a = _salted(left, hot, keys, hot_rows, "_n_left >= _n_right", "_left_repeated")
+    b = _salted(right, hot, keys, hot_rows, "_n_left < _n_right", "_right_repeated")
+    joined = _plain_join(a, b, [*keys, "_salt"], how)
+    # under another salt a repeated row has met the rows that its key is hot for
+    twin = "(_side = 'left' AND _left_repeated) OR (_side = 'right' AND _right_repeated)"
+    return joined.where(f"NOT coalesce({twin}, false)")
 
 
 def _same_bins(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -93,6 +134,7 @@ def join_variants(
     coalesce: bool = False,
     parity_keys: bool = False,
     plain: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Equi-join on the variant key with the merged column list.
 
@@ -100,7 +142,8 @@ def join_variants(
     left value, or the right one on rows that have no left part; `coalesce` also lets
     the right value stand in for a null on the left. Keys are filled from either side
     unless `parity_keys` asks for the left side's alone. `plain` makes an outer join one
-    join, which suits keys that never repeat much.
+    join, which suits keys that never repeat much; else keys with `hot_rows` rows or more on
+    a side are dealt out to several tasks.
     """
     if how not in JOIN_TYPES:
         raise ValueError(f"how must be one of {JOIN_TYPES}, not {how!r}")
@@ -111,7 +154,7 @@ def join_variants(
     on_left = {c.lower() for c in left.columns}
     on_right = {c.lower() for c in right.columns}
     joined = _key_join(
-        _prefixed(left, keys, "l_"), _prefixed(right, keys, "r_"), keys, how, plain
+        _prefixed(left, keys, "l_"), _prefixed(right, keys, "r_"), keys, how, plain, hot_rows
     )
 
     def column(side: str, name: str) -> Column:

@@ -537,3 +537,24 @@ def test_json_round_trip(spark):
 def test_rank_orders_ties_by_key(spark):
     df = table(spark, [site(s) for s in (3, 1, 2)], []).withColumn("n", F.col("start_position") % 2)
     assert [r["start_position"] for r in op.rank_by_population_count(df, "n").collect()] == [1, 3]
+
+
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+def test_salted_joins_equal_plain_ones(spark, how):
+    """Keys hot on either side, on both, without a partner, repeated as whole rows, and null."""
+    def rows(parts, note):
+        out = [
+            (chrom, start, start + 1, "A", "C", f"{note}{k % distinct}")
+            for chrom, start, n, distinct in parts
+            for k in range(n)
+        ]
+        df = spark.createDataFrame(out, f"{', '.join(c + (' long' if 'position' in c else ' string') for c in KEY5)}, {note} string")
+        return df.repartition(5)
+
+    a = rows([("1", 1, 90, 90), ("1", 2, 3, 3), ("1", 3, 40, 40), ("1", 4, 70, 1), (None, 5, 60, 60), ("2", 6, 1, 1)], "x")
+    b = rows([("1", 1, 2, 2), ("1", 2, 80, 80), ("1", 3, 30, 1), ("1", 7, 50, 50), (None, 5, 45, 1), ("2", 6, 1, 1)], "y")
+    salted = op.join_variants(a, b, how, hot_rows=20)
+    plain = op.join_variants(a, b, how, plain=True)
+    assert salted.count() == plain.count()
+    assert salted.exceptAll(plain).count() == 0
+    assert op.join_variants(a.limit(0), b, how, hot_rows=20).count() == (0 if how == "left" else 208)

@@ -73,19 +73,25 @@ def test_pooling_shuffles_counts_only(stored):
     assert "genotypes" not in exchanged and "partial_sum" in plan
 
 
-def test_outer_joins_run_no_job_and_read_a_table_thrice_at_most(spark, stored, settings):
+def test_outer_joins_run_no_job_and_shuffle_a_table_once(spark, stored, settings):
     settings(spark__sql__autoBroadcastJoinThreshold="-1")
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("plan", "plan")
     try:
         merged = op.merge_halves(stored["half1"], stored["half2"])
         annotated = op.annotate_variants(stored["half1"], stored["ann"])
-        plans_ = [plan_of(merged, "simple"), plan_of(annotated, "simple")]
+        for df in (merged, annotated):
+            plan_of(df, "simple")
         assert list(tracker.getJobIdsForGroup("plan")) == []
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    assert plans_[0].count("FileScan") <= 8 and plans_[1].count("FileScan") <= 6
-    assert all("Broadcast" not in p and "NestedLoop" not in p for p in plans_)
+    for df in (merged, annotated):
+        df.collect()
+        final, first = plan_of(df, "simple").split("Initial Plan")
+        # without a hot key nothing is left of the search for them
+        assert final.count("SortMergeJoin") == 1 and final.count("FileScan") <= 4
+        assert first.count("Exchange hashpartitioning(reference_name") == 2 and first.count("SortMergeJoin") == 1
+        assert "NestedLoop" not in first and first.count("BroadcastExchange") == first.count("limit=1000")
     one = plan_of(op.merge_halves(stored["half1"], stored["half2"], plain=True), "simple")
     assert one.count("Join") == 1 and one.count("Exchange") == 2 and "Union" not in one
 
@@ -94,7 +100,6 @@ def test_large_sides_are_not_broadcast(stored, settings):
     settings(spark__sql__autoBroadcastJoinThreshold="-1")
     genes = stored["ann"].select(F.lit("G").alias("name2"), *KEY5[:3])
     for df in (
-        op.annotate_variants(stored["half1"], stored["ann"]),
         op.variants_by_gene(stored["half1"], genes),
         op.annotate_allele_match(stored["half1"], stored["ann"], insertion=True),
     ):
@@ -108,7 +113,7 @@ def test_gene_join_meets_on_bins(stored):
     assert "NestedLoop" not in plan and "_bin" in plan
 
 
-def test_hot_key_is_found_and_split(spark, stored, settings):
+def test_hot_key_is_dealt_out(spark, stored, settings):
     settings(**SKEW)
 
     def sites(ids, start, note):
@@ -125,14 +130,17 @@ def test_hot_key_is_found_and_split(spark, stored, settings):
     third_is_one_key = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id"))
     hot = sites(ids, third_is_one_key, "note")
     few = sites(ids.where("id % 3 <> 0"), F.col("id"), "other")
-    joined = op.join_variants(few, hot, "full")
-    rows = joined.count()
-    assert rows == few.join(hot, KEY5, "full").count() == 60_000
+    joined = op.join_variants(few, hot, "full", hot_rows=1_000)
     joined.collect()
-    assert "skew=true" in plan_of(joined)
-    annotated = op.annotate_variants(hot, few)
-    annotated.collect()
-    assert "skew=true" in plan_of(annotated)
+    final = plan_of(joined, "simple").split("Initial Plan")[0]
+    # what the two tables are told of hot keys comes from one search
+    assert final.count("ReusedExchange") == 1 and final.count("Exchange hashpartitioning(start_position") == 2
+    for left, right, how in ((few, hot, "full"), (hot, few, "full"), (few, hot, "left"), (hot, few, "left"), (hot, few, "right")):
+        joined = op.join_variants(left, right, how, hot_rows=1_000)
+        plain = op.join_variants(left, right, how, plain=True)
+        assert joined.exceptAll(plain).count() == plain.exceptAll(joined).count() == 0
+        sizes = joined.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+        assert sizes[1] == plain.count() and (how == "right" or sizes[0] < 20_000)
 
 
 def chromosome(hot):
