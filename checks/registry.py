@@ -1407,3 +1407,77 @@ def _(spark, sf):
     return plans.superpopulation_counts_by_gene(
         tables, fixture(spark, sf, "metadata"), "GENE0", fixture(spark, sf, "genes")
     )
+
+
+# --- compact genotypes, bucketed tables, levels, inserts -----------------------------
+
+
+@query("allele_counts_compact", ORACLES["allele_counts"])
+def _(spark, sf):
+    """Compact genotypes, stored and read."""
+    path = new_path(spark)
+    sources.write_result(op.compact_genotypes(op.drop_layout(half1(spark, sf))), path)
+    return op.allele_counts(sources.read_variants(spark, path))
+
+
+@query("compact_genotypes", WIDE1)
+def _(spark, sf):
+    return op.wide(op.compact_genotypes(half1(spark, sf)))
+
+
+@query("merge_halves_compact", ORACLES["merge_halves"])
+def _(spark, sf):
+    return op.wide(op.merge_halves(op.compact_genotypes(half1(spark, sf)), fixture(spark, sf, "half2")))
+
+
+@query("pooled_frequencies_compact", ORACLES["pooled_frequencies"])
+def _(spark, sf):
+    return op.pooled_frequencies({n: op.compact_genotypes(df) for n, df in both(spark, sf).items()})
+
+
+@query("merge_halves_bucketed", ORACLES["merge_halves"])
+def _(spark, sf):
+    """Both halves bucketed by key, so that the merge shuffles neither."""
+    names = [new_table(), new_table()]
+    for name, df in zip(names, both(spark, sf).values(), strict=True):
+        sources.write_bucketed(op.pack_samples(df), name, 4)
+    return op.wide(op.merge_halves(*[sources.read_bucketed(spark, n) for n in names], plain=True))
+
+
+@query("annotate_variants_bucketed", ORACLES["annotate_variants"])
+def _(spark, sf):
+    names = [new_table(), new_table()]
+    for name, df in zip(names, (half1(spark, sf), fixture(spark, sf, "ann")), strict=True):
+        sources.write_bucketed(df, name, 4)
+    return op.annotate_variants(*[sources.read_bucketed(spark, n) for n in names], plain=True)
+
+
+@query(
+    "filter_overlap_levels",
+    f"{ctes('long')} SELECT * FROM long WHERE reference_name = '1' AND start_position <= 40000000 AND end_position >= 190056",
+)
+def _(spark, sf):
+    """A layout with levels, whose rows are as long as a chromosome or longer."""
+    path = new_path(spark)
+    df = fixture(spark, sf, "long")
+    sources.write_binned(df, path, levels=True)
+    stored = sources.read_variants(spark, path, pack=False)
+    return op.filter_overlap(stored, "1", 190_056, 40_000_000).select(*df.columns)
+
+
+CORRECTED = "reference_bases = 'AC' OR alternate_bases = 'GA,T'"
+
+
+@query(
+    "append_chromosome_delta",
+    f"{ctes('half1')} SELECT * REPLACE (CASE WHEN {CORRECTED} THEN '200' ELSE qual END AS qual) FROM half1",
+)
+def _(spark, sf):
+    """New and corrected rows go into a stored table, twice."""
+    path = new_path(spark)
+    df = half1(spark, sf)
+    sources.append_chromosome(df.where("reference_bases <> 'AC'"), path)
+    delta = df.where(CORRECTED).withColumn("qual", F.lit("200"))
+    for _ in range(2):
+        sources.append_chromosome(delta, path)
+    return op.wide(sources.read_variants(spark, path)).select(*df.columns)

@@ -84,3 +84,36 @@ def carried_by(genotypes: Column, positions: list[int], every_index: bool = Fals
         lambda total, at: total
         + carried_alleles(F.get(genotypes, at)).cast("bigint"),
     )
+
+
+# The compact code of each common call. `-` is a null, `?` any other text.
+CODES = {"0|0": "0", "0|1": "1", "1|0": "2", "1|1": "3", "0": "a", "1": "b", ".": "."}
+NULL_CODE, OTHER_CODE = "-", "?"
+
+
+def encoded(genotypes: str) -> str:
+    """SQL for the codes of an array of calls, as one text."""
+    cases = " ".join(f"WHEN g = '{text}' THEN '{code}'" for text, code in CODES.items())
+    each = f"CASE {cases} WHEN g IS NULL THEN '{NULL_CODE}' ELSE '{OTHER_CODE}' END"
+    return f"array_join(transform({genotypes}, g -> {each}), '')"
+
+
+def others(genotypes: str) -> str:
+    """SQL for the calls without a code, in order."""
+    known = ", ".join(f"'{text}'" for text in CODES)
+    return f"filter({genotypes}, g -> g IS NOT NULL AND g NOT IN ({known}))"
+
+
+def decoded(codes: str, rest: str) -> str:
+    """SQL for the array of calls, the inverse of `encoded` and `others`."""
+    cases = " ".join(f"WHEN c = '{code}' THEN '{text}'" for text, code in CODES.items())
+    # how many `?` there are up to here
+    seen = f"i + 1 - length(replace(substring({codes}, 1, i + 1), '{OTHER_CODE}', ''))"
+    each = f"CASE {cases} WHEN c = '{OTHER_CODE}' THEN element_at({rest}, {seen}) END"
+    return f"CASE WHEN {codes} = '' THEN CAST(array() AS array<string>) ELSE transform(split({codes}, ''), (c, i) -> {each}) END"
+
+
+def code_count(codes: str, texts: list[str]) -> str:
+    """SQL for how many calls of these texts there are, without a lambda."""
+    lengths = [f"length(replace({codes}, '{CODES[t]}', ''))" for t in texts]
+    return f"CAST({len(texts)} * length({codes}) - ({' + '.join(lengths)}) AS bigint)"

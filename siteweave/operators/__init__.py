@@ -19,8 +19,10 @@ from siteweave.operators.alleles import (
     tally_alleles,
 )
 from siteweave.operators.columns import (
+    compact_genotypes,
     drop_by_suffix,
     drop_layout,
+    expand_genotypes,
     lookup_columns,
     merge_columns,
     normalise_raw,
@@ -33,6 +35,7 @@ from siteweave.operators.columns import (
     variant_columns,
     wide,
     with_bin,
+    with_level,
 )
 from siteweave.operators.filters import (
     VariantFilter,

@@ -11,7 +11,7 @@ from siteweave.operators.alleles import allele_counts
 from siteweave.operators.columns import packed, packed_samples, samples_by_population
 from siteweave.operators.filters import VariantFilter, filter_contained, filter_snp, filter_variants
 from siteweave.operators.joins import SUPERPOPULATIONS
-from siteweave.schema import GENOTYPES, KEY5
+from siteweave.schema import COMPACT, GENOTYPES, KEY5
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -195,7 +195,7 @@ def pooled_frequencies(sources: dict[str, DataFrame]) -> DataFrame:
     however many of its rows give the alternate. `allele_number` sums the alleles called in
     all rows that give it. Tables that share a sample can't be pooled.
     """
-    tables = {name: packed(df) for name, df in sources.items()}
+    tables = {name: df if COMPACT in df.columns else packed(df) for name, df in sources.items()}
     names = [s for df in tables.values() for s in packed_samples(df)]
     everyone = len(names)
     if len(set(names)) < everyone:
@@ -203,7 +203,7 @@ def pooled_frequencies(sources: dict[str, DataFrame]) -> DataFrame:
     pooled = (
         _union(
             [
-                allele_counts(df.select(*KEY5, GENOTYPES)).select(
+                allele_counts(df.select(*KEY5, COMPACT if COMPACT in df.columns else GENOTYPES)).select(
                     *KEY5, "allele_count", "allele_number", "n_samples", F.lit(i).alias("_table")
                 )
                 for i, df in enumerate(tables.values())

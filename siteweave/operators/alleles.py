@@ -4,10 +4,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteweave.functions.alternates import alternates
-from siteweave.functions.genotypes import allele_indices, count_equal, not_hom_ref
+from siteweave.functions.genotypes import allele_indices, code_count, count_equal, not_hom_ref
 from siteweave.functions.literals import quoted_name
 from siteweave.operators.columns import packed, packed_samples
-from siteweave.schema import GENOTYPES
+from siteweave.schema import COMPACT, GENOTYPES
 
 
 def _names(columns: list[str]) -> list[str]:
@@ -31,29 +31,37 @@ def tally_alleles(df: DataFrame) -> DataFrame:
     reference alleles, `allele_number` the sum of both, `bad_calls` the indices that
     name no allele of the site, and `n_samples` the sample columns of the table.
     """
-    df = packed(df)
+    is_compact = COMPACT in df.columns
+    df = df if is_compact else packed(df)
     n_samples = len(packed_samples(df))
-    site = _names([c for c in df.columns if c != GENOTYPES])
-    # In steps, so that each array is computed once and then used several times.
-    calls = df.selectExpr(
-        *site,
-        f"size({GENOTYPES}) AS _calls",
-        f"{not_hom_ref(GENOTYPES)} AS _rest",
-        f"size({alternates()}) AS _n",
-    )
-    parsed = calls.selectExpr(
-        *site,
-        "CAST(2 * (_calls - size(_rest)) AS bigint) AS _hom_ref",
-        f"{allele_indices('_rest')} AS _indices",
-        "_n",
-    )
+    site = _names([c for c in df.columns if c not in (GENOTYPES, COMPACT)])
+    # In steps, so that each array is computed once and then used several times. `_zeros` and
+    # `_ones` are the alleles 0 and 1 of calls that need not be taken apart.
+    if is_compact:
+        codes = f"{COMPACT}.codes"
+        one_each = code_count(codes, ["0|1", "1|0"])
+        calls = df.selectExpr(
+            *site,
+            f"{COMPACT}.rare AS _rest",
+            f"2 * {code_count(codes, ['0|0'])} + {one_each} + {code_count(codes, ['0'])} AS _zeros",
+            f"{one_each} + 2 * {code_count(codes, ['1|1'])} + {code_count(codes, ['1'])} AS _ones",
+            f"size({alternates()}) AS _n",
+        )
+    else:
+        calls = df.selectExpr(
+            *site,
+            f"size({GENOTYPES}) AS _calls",
+            f"{not_hom_ref(GENOTYPES)} AS _rest",
+            f"size({alternates()}) AS _n",
+        ).selectExpr(*site, "_rest", "CAST(2 * (_calls - size(_rest)) AS bigint) AS _zeros", "0L AS _ones", "_n")
+    parsed = calls.selectExpr(*site, "_zeros", "_ones", f"{allele_indices('_rest')} AS _indices", "_n")
     counted = parsed.selectExpr(
         *site,
         "CASE WHEN _n = 0 THEN CAST(array() AS array<bigint>) ELSE "
-        f"transform(sequence(1, _n), i -> {count_equal('_indices', 'i')}) END AS allele_counts",
-        f"_hom_ref + {count_equal('_indices', '0')} AS reference_count",
-        "_hom_ref + size(_indices) AS _parsed",
-        "CAST(size(filter(_indices, i -> i < 0 OR i > _n)) AS bigint) AS bad_calls",
+        f"transform(sequence(1, _n), i -> {count_equal('_indices', 'i')} + IF(i = 1, _ones, 0L)) END AS allele_counts",
+        f"_zeros + {count_equal('_indices', '0')} AS reference_count",
+        "_zeros + _ones + size(_indices) AS _parsed",
+        "CAST(size(filter(_indices, i -> i < 0 OR i > _n)) AS bigint) + IF(_n < 1, _ones, 0L) AS bad_calls",
     )
     return counted.selectExpr(
         *site,

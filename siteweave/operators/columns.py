@@ -3,14 +3,20 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteweave.functions.genotypes import decoded, encoded, others
 from siteweave.functions.literals import literal_array, quoted_name, string_array
 from siteweave.schema import (
     BIN,
     BIN_WIDTH,
     BIN_WIDTH_KEY,
+    COMPACT,
     GENOTYPES,
     IGNORED_SUFFIXES,
     KEY5,
+    LEVEL,
+    LEVEL_FACTOR,
+    LEVEL_WIDTH_KEY,
+    LEVELS,
     POSITIONS,
     SAMPLES_KEY,
     VCF_COLUMNS,
@@ -20,7 +26,7 @@ from siteweave.schema import (
 
 def sample_columns(df: DataFrame) -> list[str]:
     """Every column that is neither a VCF column nor a layout column."""
-    known = {c.lower() for c in VCF_COLUMNS} | {BIN, GENOTYPES}
+    known = {c.lower() for c in VCF_COLUMNS} | {BIN, LEVEL, GENOTYPES, COMPACT}
     return [
         c
         for c in df.columns
@@ -42,21 +48,50 @@ def pack_samples(df: DataFrame, samples: list[str] | None = None) -> DataFrame:
 
 
 def packed_samples(df: DataFrame) -> list[str]:
-    """Sample names of a packed table, in array order."""
-    require(df, [GENOTYPES])
-    metadata = df.schema[GENOTYPES].metadata
+    """Sample names of a packed or compact table, in the order of the calls."""
+    column = COMPACT if COMPACT in df.columns else GENOTYPES
+    require(df, [column])
+    metadata = df.schema[column].metadata
     if SAMPLES_KEY not in metadata:
-        raise ValueError(f"column {GENOTYPES} carries no sample names; pack it again")
+        raise ValueError(f"column {column} carries no sample names; pack it again")
     return list(metadata[SAMPLES_KEY])
 
 
 def packed(df: DataFrame) -> DataFrame:
-    """The packed form of a table, which may be wide or packed already."""
+    """The packed form of a table, which may be wide, compact or packed already."""
+    if COMPACT in df.columns:
+        return expand_genotypes(df)
     return df if GENOTYPES in df.columns else pack_samples(df)
 
 
+def compact_genotypes(df: DataFrame) -> DataFrame:
+    """The compact form of a table: a character per call and the texts of the rare ones, in
+    `compact_genotypes` instead of `genotypes`. An array costs 16 bytes a call in memory and
+    in a shuffle, this form one. Counting, merging and pooling work on it as it is; other
+    operators expand it first."""
+    if COMPACT in df.columns:
+        return df
+    df = packed(df)
+    samples = packed_samples(df)
+    site = [quoted_name(c) for c in df.columns if c != GENOTYPES]
+    calls = f"named_struct('codes', {encoded(GENOTYPES)}, 'rare', {others(GENOTYPES)})"
+    # a row without an array stays without one
+    column = f"CASE WHEN {GENOTYPES} IS NOT NULL THEN {calls} END AS {COMPACT}"
+    return df.selectExpr(*site, column).withMetadata(COMPACT, {SAMPLES_KEY: samples})
+
+
+def expand_genotypes(df: DataFrame) -> DataFrame:
+    """The packed form of a compact table."""
+    samples = packed_samples(df)
+    site = [quoted_name(c) for c in df.columns if c != COMPACT]
+    calls = decoded(f"{COMPACT}.codes", f"{COMPACT}.rare")
+    column = f"CASE WHEN {COMPACT} IS NOT NULL THEN {calls} END AS {GENOTYPES}"
+    return df.selectExpr(*site, column).withMetadata(GENOTYPES, {SAMPLES_KEY: samples})
+
+
 def wide(df: DataFrame) -> DataFrame:
-    """Packed table -> wide table, the inverse of `pack_samples`."""
+    """Packed or compact table -> wide table, the inverse of `pack_samples`."""
+    df = packed(df)
     samples = packed_samples(df)
     site = [quoted_name(c) for c in df.columns if c != GENOTYPES]
     cells = [f"get({GENOTYPES}, {i}) AS {quoted_name(s)}" for i, s in enumerate(samples)]
@@ -70,8 +105,8 @@ def variant_columns(df: DataFrame) -> DataFrame:
 
 
 def drop_layout(df: DataFrame) -> DataFrame:
-    """All columns but the position bin."""
-    return df.drop(BIN)
+    """All columns but the position bin and the level."""
+    return df.drop(BIN, LEVEL)
 
 
 def drop_by_suffix(
@@ -145,6 +180,35 @@ def bin_width(df: DataFrame) -> int | None:
     return df.schema[BIN].metadata.get(BIN_WIDTH_KEY)
 
 
+def level_widths(width: int) -> list[int]:
+    """Bin widths of the levels, the last level aside."""
+    return [width * LEVEL_FACTOR**k for k in range(LEVELS)]
+
+
+def level_of(start, end, width: int):
+    """The level of an interval, whose ends may come in either order."""
+    level = F.lit(LEVELS)
+    span = F.abs(end - start)
+    for k, w in reversed(list(enumerate(level_widths(width)))):
+        level = F.when(span < w, F.lit(k)).otherwise(level)
+    return F.when(span.isNotNull(), level)
+
+
+def with_level(df: DataFrame, width: int = BIN_WIDTH) -> DataFrame:
+    """Add the level of each variant's span; its width is kept in the column's metadata."""
+    if width <= 0:
+        raise ValueError("bin width must be positive")
+    column = level_of(F.col("start_position"), F.col("end_position"), width)
+    return df.withColumn(LEVEL, column).withMetadata(LEVEL, {LEVEL_WIDTH_KEY: width})
+
+
+def level_width(df: DataFrame) -> int | None:
+    """Width of the table's levels, or None when it has none or it is not known."""
+    if LEVEL not in df.columns:
+        return None
+    return df.schema[LEVEL].metadata.get(LEVEL_WIDTH_KEY)
+
+
 def merge_columns(left: list[str], right: list[str]) -> list[tuple[str, str]]:
     """Merged column list as (side, name), left first.
 

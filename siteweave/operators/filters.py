@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteweave.functions.alternates import is_copy_number
-from siteweave.operators.columns import bin_of, bin_width
-from siteweave.schema import BIN
+from siteweave.operators.columns import bin_of, bin_width, level_width, level_widths
+from siteweave.schema import BIN, LEVEL, LEVELS
 
 COMPARE = {
     ">": operator.gt,
@@ -143,12 +143,23 @@ def filter_any(
 
 
 def filter_overlap(df: DataFrame, reference_name: str, start: int, end: int) -> DataFrame:
-    """Variants whose interval shares a position with [start, end]."""
-    return df.where(
+    """Variants whose interval shares a position with [start, end].
+
+    Where the table has levels (`with_level`), each level bounds the start from below by its
+    width, so that a scan of the layout skips what begins too far away.
+    """
+    found = df.where(
         (F.col("reference_name") == reference_name)
         & (F.col("start_position") <= end)
         & (F.col("end_position") >= start)
     )
+    width = level_width(df)
+    if width is None:
+        return found
+    near = [
+        (F.col(LEVEL) == k) & (F.col("start_position") > start - w) for k, w in enumerate(level_widths(width))
+    ]
+    return found.where(reduce(operator.or_, near, F.col(LEVEL) == LEVELS))
 
 
 def filter_contained(

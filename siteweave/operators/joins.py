@@ -17,16 +17,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteweave.functions.genotypes import NULL_CODE
 from siteweave.functions.literals import literal_array
 from siteweave.operators.columns import (
     bin_width,
+    compact_genotypes,
     merge_columns,
     packed,
     packed_samples,
     star_except,
     with_bin,
 )
-from siteweave.schema import BIN, GENOTYPES, KEY3, KEY4, KEY5, SAMPLES_KEY, require
+from siteweave.schema import BIN, COMPACT, GENOTYPES, KEY3, KEY4, KEY5, SAMPLES_KEY, require
 
 JOIN_TYPES = ("inner", "left", "right", "full")
 
@@ -191,8 +193,14 @@ def merge_halves(
     Takes wide or packed tables and gives a packed one: the genotypes of `a`, then
     those of the samples that only `b` has, null where a half has no such site. A sample
     named in both halves has the call of `a`, or that of `b` where `a` has none. With
-    `keys=KEY4` the end position is not compared.
+    `keys=KEY4` the end position is not compared. If one of the tables is compact, the merged
+    one is, and the join moves a byte a call.
     """
+    if COMPACT in a.columns or COMPACT in b.columns:
+        a, b = compact_genotypes(a), compact_genotypes(b)
+        if not set(packed_samples(a)) & set(packed_samples(b)):
+            return _merge_compact(a, b, keys, parity_keys, plain)
+        return compact_genotypes(merge_halves(packed(a), packed(b), keys, parity_keys, plain))
     a, b = packed(a), packed(b)
     first, second = packed_samples(a), packed_samples(b)
     at = {s: i for i, s in enumerate(second)}
@@ -220,6 +228,24 @@ def merge_halves(
     ).drop("_first", "_second")
 
 
+def _merge_compact(a: DataFrame, b: DataFrame, keys: list[str], parity_keys: bool, plain: bool) -> DataFrame:
+    samples = packed_samples(a) + packed_samples(b)
+    sides = []
+    for df, name in ((a, "_first"), (b, "_second")):
+        sides.append(df.withColumnsRenamed({COMPACT: name}))
+    merged = join_variants(*sides, "full", keys, not parity_keys, parity_keys, plain)
+
+    def part(column: str, df: DataFrame) -> tuple[str, str]:
+        missing = NULL_CODE * len(packed_samples(df))
+        return f"coalesce({column}.codes, '{missing}')", f"coalesce({column}.rare, CAST(array() AS array<string>))"
+
+    (codes_a, rare_a), (codes_b, rare_b) = part("_first", a), part("_second", b)
+    calls = f"named_struct('codes', concat({codes_a}, {codes_b}), 'rare', concat({rare_a}, {rare_b}))"
+    return (
+        merged.withColumn(COMPACT, F.expr(calls)).withMetadata(COMPACT, {SAMPLES_KEY: samples}).drop("_first", "_second")
+    )
+
+
 def merge_halves_without_end(a: DataFrame, b: DataFrame) -> DataFrame:
     """`merge_halves` that does not compare end positions; the first known one stays."""
     return merge_halves(a, b, keys=KEY4)

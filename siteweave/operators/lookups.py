@@ -11,20 +11,18 @@ from pyspark.sql import functions as F
 from siteweave.operators.columns import (
     bin_of,
     bin_width,
+    level_of,
+    level_widths,
     lookup_columns,
     samples_by_population,
     unpivot_calls,
 )
-from siteweave.schema import BIN, BIN_WIDTH, require
+from siteweave.schema import BIN, BIN_WIDTH, LEVELS, require
 
 
 # Fixed value: the id of a variant that has none.
 MISSING_ID = "."
 
-# Bin levels of overlap joins: the widest holds the longest chromosome.
-LEVEL_FACTOR = 16
-LEVELS = 4
-
 # A gene of more bins than this, longer than any chromosome at the usual width, is not dealt
 # to bins.
 MOST_BINS = 16_384
@@ -268,12 +266,11 @@ def _starting_inside(df: DataFrame, genes: DataFrame, width: int) -> DataFrame:
 
 def _overlapping(df: DataFrame, genes: DataFrame, width: int) -> DataFrame:
     start, end = F.col("start_position"), F.col("end_position")
-    widths = [width * LEVEL_FACTOR**k for k in range(LEVELS)]
-    low, span = F.least(start, end), F.abs(end - start)
-    level, first = F.lit(LEVELS), F.lit(0).cast("bigint")
-    for k in reversed(range(LEVELS)):
-        level = F.when(span < widths[k], F.lit(k)).otherwise(level)
-        first = F.when(span < widths[k], bin_of(low, widths[k])).otherwise(first)
+    widths = level_widths(width)
+    level, low = level_of(start, end, width), F.least(start, end)
+    first = F.lit(0).cast("bigint")
+    for k, w in enumerate(widths):
+        first = F.when(level == k, bin_of(low, w)).otherwise(first)
     sites = df.where(start.isNotNull() & end.isNotNull()).withColumns({"_variant_level": level, "_variant_bin": first})
 
     def placed(k: int, w: int):

@@ -40,6 +40,18 @@ GENOTYPES = "genotypes"
 SAMPLES_KEY = "samples"
 BIN_WIDTH_KEY = "bin_width"
 
+# The compact form of that column: a struct of one character per call and, for the `?` among
+# them, their texts in order.
+COMPACT = "compact_genotypes"
+
+# Level of a variant by its span, for overlaps: the first whose bins are as wide as it is.
+# Each level's are LEVEL_FACTOR times wider; the widest hold the longest chromosome, and what
+# is longer is in a level of its own.
+LEVEL = "span_level"
+LEVEL_WIDTH_KEY = "level_width"
+LEVEL_FACTOR = 16
+LEVELS = 4
+
 STANDARD = T.StructType(
     [
         T.StructField("reference_name", T.StringType()),

@@ -1,6 +1,14 @@
-from siteweave.sources.layout import append_chromosome, rebin, write_binned, write_clustered
+from siteweave.sources.layout import (
+    append_chromosome,
+    rebin,
+    replace_chromosome,
+    write_binned,
+    write_bucketed,
+    write_clustered,
+)
 from siteweave.sources.readers import (
     read_annotation,
+    read_bucketed,
     read_import_csv,
     read_import_parquet,
     read_lookup,
@@ -22,6 +30,7 @@ from siteweave.sources.sinks import (
 __all__ = [
     "append_chromosome",
     "read_annotation",
+    "read_bucketed",
     "read_import_csv",
     "read_import_parquet",
     "read_lookup",
@@ -31,9 +40,11 @@ __all__ = [
     "read_variants",
     "read_variants_csv",
     "rebin",
+    "replace_chromosome",
     "result_envelope",
     "variant_envelope",
     "write_binned",
+    "write_bucketed",
     "write_clustered",
     "write_result",
     "write_standard_csv",

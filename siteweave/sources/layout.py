@@ -5,24 +5,28 @@ chromosome and its statistics skip it. A hash of the row as last range key lets
 a position that holds far more rows than others; it is the same in every attempt of a task.
 """
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siteweave.operators.columns import bin_width, normalise_raw, with_bin
-from siteweave.schema import BIN, BIN_WIDTH, BIN_WIDTH_KEY
+from siteweave.operators.columns import bin_width, level_width, normalise_raw, with_bin, with_level
+from siteweave.schema import BIN, BIN_WIDTH, BIN_WIDTH_KEY, KEY5, LEVEL, require
 
 ORDER = ["reference_name", "start_position"]
 
 
-def _by_position(df: DataFrame, partitions: int | None) -> DataFrame:
+def _by_position(df: DataFrame, partitions: int | None, order: list[str] = ORDER) -> DataFrame:
     salted = df.withColumn("_spread", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    keys = [*ORDER, "_spread"]
+    keys = [*order, "_spread"]
     ranged = (
         salted.repartitionByRange(partitions, *keys)
         if partitions
         else salted.repartitionByRange(*keys)
     )
-    return ranged.sortWithinPartitions(*ORDER).drop("_spread")
+    return ranged.sortWithinPartitions(*order).drop("_spread")
 
 
 def write_binned(
@@ -32,32 +36,81 @@ def write_binned(
     partitions: int | None = None,
     partition_by_bin: bool = False,
     mode: str = "errorifexists",
+    levels: bool = False,
 ):
     """Position-binned Parquet with one directory per chromosome.
 
     The bin is an ordinary column unless `partition_by_bin`, which makes one directory
-    per bin and suits only tables that are dense at that width.
+    per bin and suits only tables that are dense at that width. With `levels` each row has the
+    level of its span as well and rows are sorted by it first, so that overlaps with a
+    stretch prune files and row groups by start although some variants are very long.
     """
     if bin_width(df) != width:
         df = with_bin(df, width)
+    if levels and level_width(df) != width:
+        df = with_level(df, width)
+    order = ["reference_name", LEVEL, "start_position"] if levels else ORDER
     df = df.withMetadata(
         "start_position", {**df.schema["start_position"].metadata, BIN_WIDTH_KEY: width}
     )
     by = ["reference_name", BIN] if partition_by_bin else ["reference_name"]
-    _by_position(df, partitions).write.mode(mode).partitionBy(*by).parquet(path)
-
+    _by_position(df, partitions, order).write.mode(mode).partitionBy(*by).parquet(path)
 
-def append_chromosome(df: DataFrame, path: str, partitions: int | None = None):
-    """Copy every chromosome of `df` into a per-chromosome table, in one job.
 
-    A chromosome that is there already is replaced, so a repeated run changes nothing;
-    the other chromosomes stay.
-    """
+def replace_chromosome(df: DataFrame, path: str, partitions: int | None = None):
+    """Copy every chromosome of `df` into a per-chromosome table, in one job, in the place of
+    what the table has of it; the other chromosomes stay."""
     _by_position(df, partitions).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("reference_name").parquet(path)
 
 
+def append_chromosome(df: DataFrame, path: str, partitions: int | None = None, keys: list[str] = KEY5):
+    """Insert the rows of `df` into a per-chromosome table, by key and safe to repeat.
+
+    The rows that the table has under keys of `df` make way for those of `df`; all its
+    others stay, and so do chromosomes that `df` has nothing of. The new content of the
+    chromosomes concerned is written beside the table first and takes the place of the old
+    one in one job then: a run that fails or is repeated leaves nothing out and nothing twice.
+    """
+    require(df, keys)
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        return replace_chromosome(df, path, partitions)
+    schema = spark.read.parquet(path).schema
+    name = T.StructField("reference_name", df.schema["reference_name"].dataType)
+    fields = [name if f.name == name.name else f for f in schema.fields]
+    have = spark.read.schema(T.StructType(fields)).parquet(path)
+    delta = df.select(*[F.col(k).alias(f"_new_{k}") for k in keys]).distinct()
+    touched = df.select(F.col("reference_name").alias("_new_name")).distinct()
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys])
+    kept = have.join(touched, F.col("reference_name").eqNullSafe(F.col("_new_name")), "left_semi").join(
+        delta, same, "left_anti"
+    )
+    # a folder that readers of the table pass over
+    staged = f"{path.rstrip('/')}/_staged-{uuid.uuid4().hex}"
+    kept.unionByName(df, allowMissingColumns=True).write.parquet(staged)
+    replace_chromosome(spark.read.parquet(staged), path, partitions)
+    files.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
+
+
+def write_bucketed(
+    df: DataFrame, table: str, buckets: int, keys: list[str] = KEY5, mode: str = "errorifexists"
+):
+    """A catalog table bucketed and sorted by the variant key, one file a bucket.
+
+    Two tables of equally many buckets by the same keys are merged or annotated without
+    a shuffle: `merge_halves(a, b, plain=True)`, `annotate_variants(a, b, plain=True)`. A key
+    stays in one bucket however many rows it has.
+    """
+    require(df, keys)
+    dealt = df.repartition(buckets, *[F.col(k) for k in keys])
+    dealt.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+
+
 def write_clustered(
     raw: DataFrame, target: str, partitions: int | None = None, mode: str = "errorifexists"
 ):

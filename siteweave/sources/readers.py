@@ -8,6 +8,7 @@ from siteweave.operators.columns import pack_samples
 from siteweave.schema import (
     BIN,
     BIN_WIDTH_KEY,
+    COMPACT,
     GENOTYPES,
     POSITIONS,
     import_schema,
@@ -65,7 +66,12 @@ def read_variants(
     """A variant table in Parquet, wide or packed, plain or partitioned by bin or by
     chromosome. `bin_width` names the width of bins written by someone else."""
     df = _with_width(_typed(_partitioned(spark, path, schema)), bin_width)
-    return pack_samples(df) if pack and GENOTYPES not in df.columns else df
+    return pack_samples(df) if pack and not {GENOTYPES, COMPACT} & set(df.columns) else df
+
+
+def read_bucketed(spark: SparkSession, table: str) -> DataFrame:
+    """A table of `write_bucketed`, as it was written."""
+    return _with_width(spark.table(table), None)
 
 
 def read_annotation(

@@ -558,3 +558,41 @@ def test_salted_joins_equal_plain_ones(spark, how):
     assert salted.count() == plain.count()
     assert salted.exceptAll(plain).count() == 0
     assert op.join_variants(a.limit(0), b, how, hot_rows=20).count() == (0 if how == "left" else 208)
+
+
+CALLS = ["0|0", "0|1", "1|0", "1|1", ".", "0", "1", None, "2|3", ".|1", "0/1", "", "?", "-", "10|1", "+1|-1", "1|2"]
+
+
+def test_compact_genotypes_keep_every_call(spark):
+    samples = [f"s{k}" for k in range(len(CALLS))]
+    turns = [CALLS[k:] + CALLS[:k] for k in range(len(CALLS))] + [["0|0"] * len(CALLS), [None] * len(CALLS)]
+    rows = [site(k, alt=("A", "A,T", "", ",", "<CN0>,G,T")[k % 5]) + tuple(own) for k, own in enumerate(turns)]
+    df = op.pack_samples(table(spark, rows, samples)).withColumn("note", F.lit(1))
+    nothing = op.packed_samples(df)
+    df = df.unionByName(df.limit(1).withColumn("genotypes", F.lit(None).cast("array<string>")).withColumn("id", F.lit("n")))
+    df = df.withMetadata("genotypes", {"samples": nothing})
+    compact = op.compact_genotypes(df)
+    assert op.packed_samples(compact) == samples and "genotypes" not in compact.columns
+    columns = df.columns
+    key = lambda r: repr(r)
+    assert sorted(op.expand_genotypes(compact).select(*columns).collect(), key=key) == sorted(df.collect(), key=key)
+    known = df.where("genotypes IS NOT NULL")
+    for of in (op.tally_alleles, op.allele_frequencies):
+        want = of(known)
+        got = of(op.compact_genotypes(known)).select(*want.columns)
+        assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    some = spark.createDataFrame([site(1) + ("0|0", "9|9"), site(99) + (None, "1")], SITE + ", s1 string, z string")
+    shared = op.merge_halves(compact.drop("note"), some)
+    plain = op.merge_halves(df.drop("note"), some)
+    for other in ("z", "y"):
+        own = some.withColumnsRenamed({"s1": "x", "z": other})
+        a, b = op.merge_halves(compact.drop("note"), own), op.merge_halves(df.drop("note"), own)
+        assert op.packed_samples(a) == op.packed_samples(b) and "compact_genotypes" in a.columns
+        assert sorted(op.wide(a).collect(), key=key) == sorted(op.wide(b).collect(), key=key)
+    assert sorted(op.wide(shared).collect(), key=key) == sorted(op.wide(plain).collect(), key=key)
+
+
+def test_compact_counts_have_no_lambda_over_calls(spark):
+    df = op.compact_genotypes(table(spark, [site(1) + ("0|0", "9|9")], ["s1", "s2"]))
+    plan = plan_of(op.allele_counts(df))
+    assert "Exchange" not in plan and "length(replace(" in plan

@@ -11,6 +11,7 @@ from siteweave import operators as op
 from siteweave import sources
 from siteweave.operators.columns import bin_width
 from siteweave.operators.filters import VariantFilter
+from siteweave.schema import KEY5
 
 SCHEMA = (
     "reference_name string, start_position long, end_position long, id string, "
@@ -91,6 +92,64 @@ def test_append_replaces_and_keeps_other_chromosomes(spark, tmp_path):
     assert same(op.wide(sources.read_variants(spark, path)), df)
 
 
+def test_append_inserts_by_key(spark, tmp_path):
+    path = str(tmp_path / "v")
+    df = variants(spark)
+    sources.append_chromosome(df, path)
+    some = df.where("start_position % 2 = 0 AND reference_name <> '7'").withColumn("qual", F.lit("7"))
+    fresh = df.limit(3).withColumns({"start_position": F.col("start_position") + 1, "id": F.lit(None).cast("string")})
+    delta = some.unionByName(fresh).unionByName(fresh)
+    want = df.join(some.select(*KEY5), KEY5, "left_anti").select(*df.columns).unionByName(delta)
+    for _ in range(2):
+        sources.append_chromosome(delta, path)
+        assert same(op.wide(sources.read_variants(spark, path)).select(*df.columns), want)
+    assert not glob.glob(f"{path}/_staged*")
+    # the old way: what comes takes the place of the chromosome
+    sources.replace_chromosome(some.where("reference_name = '1'"), path)
+    left = op.wide(sources.read_variants(spark, path)).where("reference_name = '1'")
+    assert left.count() == some.where("reference_name = '1'").count()
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    df = variants(spark)
+    other = df.select(*KEY5, F.col("id").alias("note"))
+    for name, rows in (("bucketed_a", op.pack_samples(df)), ("bucketed_b", other)):
+        sources.write_bucketed(rows, name, 4)
+    a, b = (sources.read_bucketed(spark, n) for n in ("bucketed_a", "bucketed_b"))
+    assert op.packed_samples(a) == op.sample_columns(df)
+    annotated = op.annotate_variants(a, b, plain=True)
+    merged = op.join_variants(a, b, "full", plain=True)
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (annotated, merged):
+            plan = plan_of(found, "simple")
+            assert "Exchange" not in plan and plan.count("SortMergeJoin") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert annotated.where("note = id").count() == df.count() == merged.count()
+    for n in ("bucketed_a", "bucketed_b"):
+        spark.sql(f"DROP TABLE {n}")
+
+
+def test_levels_prune_what_begins_too_far_away(spark, tmp_path):
+    path = str(tmp_path / "v")
+    rows = [("1", k * 1000, k * 1000 + (250_000_000 if k == 5 else 1 << 60 if k == 6 else 1)) for k in range(20_000)]
+    rows += [("1", 19_900_000, 19_899_000), ("1", None, 5), ("1", 5, None)]
+    df = spark.createDataFrame(rows, "reference_name string, start_position long, end_position long")
+    sources.write_binned(df, path, partitions=40, levels=True)
+    stored = sources.read_variants(spark, path, pack=False)
+    found = op.filter_overlap(stored, "1", 19_899_500, 19_901_000)
+    want = op.filter_overlap(df, "1", 19_899_500, 19_901_000)
+    starts = lambda x: sorted(r["start_position"] for r in x.collect())
+    assert starts(found) == starts(want) == [5_000, 6_000, 19_900_000, 19_901_000]
+    plan = found._jdf.queryExecution().executedPlan()
+    leaf = plan.collectLeaves().apply(0)
+    assert leaf.metrics().apply("numOutputRows").value() < 2_500
+    assert "span_level" in plan_of(found).split("PushedFilters:")[1].split("\n")[0]
+    assert "span_level" not in op.drop_layout(stored).columns
+
+
 def test_one_hot_position_fills_several_files(spark, tmp_path):
     path = str(tmp_path / "v")
     hot = variants(spark, 4000, ("1",)).withColumn("start_position", F.lit(5).cast("long"))
