@@ -1481,3 +1481,75 @@ def _(spark, sf):
     for _ in range(2):
         sources.append_chromosome(delta, path)
     return op.wide(sources.read_variants(spark, path)).select(*df.columns)
+
+
+# --- one pass for two answers, pruned scans, footers ----------------------------------
+
+
+def outcomes_of(spark, outcomes: DataFrame) -> str:
+    path = new_path(spark)
+    sources.write_outcomes(outcomes, path)
+    return path
+
+
+@query("standardise_outcomes_records", ORACLES["standardise_keyed_info_odd"])
+def _(spark, sf):
+    """Records and rejected rows written in one pass over the export."""
+    outcomes = op.standardise_keyed_info(fixture(spark, sf, "gnomad_odd")).outcomes
+    return sources.read_records(spark, outcomes_of(spark, outcomes))
+
+
+@query("standardise_outcomes_rejected", ORACLES["standardise_keyed_info_odd_rejected"])
+def _(spark, sf):
+    outcomes = op.standardise_keyed_info(fixture(spark, sf, "gnomad_odd")).outcomes
+    return sources.read_rejected(spark, outcomes_of(spark, outcomes))
+
+
+@query("validate_outcomes_clean", ORACLES["validate_variants"])
+def _(spark, sf):
+    return sources.read_clean(spark, outcomes_of(spark, op.validate_outcomes(raw_text(spark, sf))))
+
+
+@query("validate_outcomes_rejected", ORACLES["validate_quarantine"])
+def _(spark, sf):
+    found = sources.read_rejected(spark, outcomes_of(spark, op.validate_outcomes(raw_text(spark, sf))))
+    return as_json(found, "errors")
+
+
+@query("write_variants_envelope", ORACLES["variants_envelope"])
+def _(spark, sf):
+    """The envelope of an answer, counted while its rows are written."""
+    found = plans.write_variants(both(spark, sf), new_path(spark), gene="GENE0", genes=fixture(spark, sf, "genes"))
+    return as_json(found, "headers")
+
+
+@query("write_variants_rows", ORACLES["variants"])
+def _(spark, sf):
+    """The rows of that answer."""
+    path, halves = new_path(spark), both(spark, sf)
+    plans.write_variants(halves, path, gene="GENE0", genes=fixture(spark, sf, "genes"))
+    schema = op.allele_report(halves["half1"]).schema
+    rows = [
+        spark.read.schema(schema).json(f"{path}/{name}").select(F.lit(name).alias("source"), "*") for name in halves
+    ]
+    return rows[0].unionByName(rows[1])
+
+
+@query("annotate_variants_pruned", ORACLES["annotate_variants"])
+def _(spark, sf):
+    """The annotation is stored in bins and read where there are variants."""
+    path = new_path(spark)
+    sources.write_binned(fixture(spark, sf, "ann"), path)
+    stored = sources.read_annotation(spark, path)
+    half = half1(spark, sf)
+    return op.annotate_variants(half, stored.drop("bin_id"), prune=True).select(
+        *op.annotate_variants(half, fixture(spark, sf, "ann")).columns
+    )
+
+
+@query("chromosome_profile_stored", ORACLES["chromosome_profile"])
+def _(spark, sf):
+    """From the footers of a stored table."""
+    path = new_path(spark)
+    sources.write_binned(half1(spark, sf), path)
+    return sources.stored_profile(spark, path)

@@ -73,6 +73,6 @@ from siteweave.operators.standardise import (
     standardise_keyed_info,
     standardise_positional_info,
 )
-from siteweave.operators.validate import validate_variants, with_errors
+from siteweave.operators.validate import validate_outcomes, validate_variants, with_errors
 
 __all__ = [name for name in dir() if not name.startswith("_")]

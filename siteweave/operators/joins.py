@@ -28,6 +28,7 @@ from siteweave.operators.columns import (
     star_except,
     with_bin,
 )
+from siteweave.operators.ranges import covering_ranges, starts_in_ranges
 from siteweave.schema import BIN, COMPACT, GENOTYPES, KEY3, KEY4, KEY5, SAMPLES_KEY, require
 
 JOIN_TYPES = ("inner", "left", "right", "full")
@@ -252,12 +253,19 @@ def merge_halves_without_end(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def annotate_variants(
-    variants: DataFrame, annotation: DataFrame, plain: bool = False
+    variants: DataFrame, annotation: DataFrame, plain: bool = False, prune: bool = False
 ) -> DataFrame:
     """Left join of variants with their annotation rows.
 
-    Several annotation rows for one key give several output rows.
+    Several annotation rows for one key give several output rows. With `prune` a small job
+    over the variants' positions finds a bounded number of ranges that cover them, and the
+    scan of the annotation leaves out the chromosomes, bins and row groups outside of these:
+    for few variants against an annotation table of the whole genome.
     """
+    if prune:
+        ranges = covering_ranges(variants, "start_position", "start_position")
+        if ranges is not None:
+            annotation = annotation.where(starts_in_ranges(annotation, ranges))
     return join_variants(variants, annotation, "left", plain=plain)
 
 

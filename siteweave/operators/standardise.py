@@ -1,7 +1,8 @@
 """Variant exports of three shapes -> standardised records.
 
 Each function returns the records and the input rows it could not read, with a
-`reason`; only rows the rules say to skip are in neither.
+`reason`; only rows the rules say to skip are in neither. `outcomes` has both in one plan,
+for a writer that parses the export once.
 """
 
 from typing import NamedTuple
@@ -25,6 +26,12 @@ from siteweave.schema import KEY5, POSITIONS, STANDARD, require
 class Standardised(NamedTuple):
     records: DataFrame
     rejected: DataFrame
+    #: `outcome` (RECORD or REJECTED), `record` or `row` as a struct, and `reason`
+    outcomes: DataFrame
+
+
+# What becomes of a row.
+RECORD, REJECTED = "record", "rejected"
 
 
 def _first_reason(rules: dict[str, Column]) -> Column:
@@ -58,16 +65,35 @@ def _split_records(
     entries = F.arrays_zip(
         F.col("_alts").alias("alt"), F.col("_afs").alias("af"), F.col("_acs").alias("ac")
     )
+    good = F.col("_kept") & F.col("reason").isNull()
+    bad = F.col("_kept") & F.col("reason").isNotNull()
     records = judged.select(
         "reference_name",
         *[F.col(p).try_cast("bigint").alias(p) for p in POSITIONS],
         "reference_bases",
-        F.inline(F.when(F.col("_kept") & F.col("reason").isNull(), entries)).alias(
-            "alternate_bases", "minor_af", "allele_count"
-        ),
+        F.inline(F.when(good, entries)).alias("alternate_bases", "minor_af", "allele_count"),
     ).select(*STANDARD.names)
-    wrong = F.when(F.col("_kept") & F.col("reason").isNotNull(), F.array("reason"))
-    return Standardised(records, judged.select(*raw, F.explode(wrong).alias("reason")))
+    rejected = judged.select(*raw, F.explode(F.when(bad, F.array("reason"))).alias("reason"))
+
+    def record(entry: Column) -> Column:
+        values = {"alternate_bases": entry["alt"], "minor_af": entry["af"], "allele_count": entry["ac"]}
+        for p in POSITIONS:
+            values[p] = F.col(p).try_cast("bigint")
+        return F.struct(*[values.get(n, F.col(n)).alias(n) for n in STANDARD.names]).cast(STANDARD)
+
+    row = F.struct(*[F.col(f"`{c}`") for c in raw])
+    no_row = F.when(F.lit(False), row)
+
+    def outcome(name: str, own_record: Column, own_row: Column, reason: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("outcome"), own_record.alias("record"), own_row.alias("row"), reason.alias("reason")
+        )
+
+    no_reason = F.lit(None).cast("string")
+    both = F.when(
+        good, F.transform(entries, lambda e: outcome(RECORD, record(e), no_row, no_reason))
+    ).when(bad, F.array(outcome(REJECTED, F.lit(None).cast(STANDARD), row, F.col("reason"))))
+    return Standardised(records, rejected, judged.select(F.inline(both)))
 
 
 def _lengths_differ(first: str, second: str) -> Column:

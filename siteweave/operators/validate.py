@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 from siteweave.schema import POSITIONS, REFERENCE_NAMES, require
 
 
+# What becomes of a row.
+CLEAN, REJECTED = "clean", "rejected"
+
+
 class Checked(NamedTuple):
     clean: DataFrame
     rejected: DataFrame
@@ -54,3 +58,9 @@ def validate_variants(df: DataFrame) -> Checked:
     clean = df.where(~wrong)
     clean = clean.withColumns({p: F.col(p).try_cast("bigint") for p in POSITIONS})
     return Checked(clean, with_errors(df.where(wrong)))
+
+
+def validate_outcomes(df: DataFrame) -> DataFrame:
+    """Every row as it came with `errors` and its `outcome`, CLEAN or REJECTED, in one plan."""
+    clean = F.when(F.size("errors") == 0, F.lit(CLEAN)).otherwise(F.lit(REJECTED))
+    return with_errors(df).withColumn("outcome", clean)

@@ -5,6 +5,7 @@ from siteweave.plans.workflows import (
     superpopulation_counts_by_gene,
     variants,
     variants_envelope,
+    write_variants,
 )
 
-__all__ = ["annotate", "count", "stat", "superpopulation_counts_by_gene", "variants", "variants_envelope"]
+__all__ = ["annotate", "count", "stat", "superpopulation_counts_by_gene", "variants", "variants_envelope", "write_variants"]

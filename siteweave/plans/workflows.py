@@ -15,7 +15,7 @@ from siteweave.operators.alleles import allele_report
 from siteweave.operators.filters import VariantFilter, filter_any
 from siteweave.operators.joins import annotate_variants
 from siteweave.operators.lookups import gene_coordinates, rsid_location
-from siteweave.sources.sinks import variant_envelope
+from siteweave.sources.sinks import variant_envelope, write_counted_json
 
 
 
@@ -148,6 +148,27 @@ def variants_envelope(
     )
 
 
+def write_variants(
+    sources: dict[str, DataFrame],
+    path: str,
+    where: VariantFilter = VariantFilter(),
+    gene: str | None = None,
+    rsid: str | None = None,
+    genes: DataFrame | None = None,
+    dbsnp: DataFrame | None = None,
+) -> DataFrame:
+    """Write what `variants` answers as JSON lines, a folder per source under `path`, and
+    return what `variants_envelope` does: each source is read once for both."""
+    wheres = _variant_filters(where, gene, rsid, genes, dbsnp)
+    return reduce(
+        DataFrame.unionByName,
+        [
+            write_counted_json(_filtered(df, wheres), f"{path}/{name}", name, "variants")
+            for name, df in sources.items()
+        ],
+    )
+
+
 def annotate(
     variants: DataFrame,
     annotation: DataFrame,
@@ -156,10 +177,12 @@ def annotate(
     rsid: str | None = None,
     genes: DataFrame | None = None,
     dbsnp: DataFrame | None = None,
+    prune: bool = False,
 ) -> DataFrame:
     """Variants that match, each with its annotation rows or nulls.
 
-    Both tables are filtered before they meet. An annotation table without rsids is
+    Both tables are filtered before they meet; with `prune` the annotation is also read only
+    where there are variants (see `annotate_variants`). An annotation table without rsids is
     filtered by the rsid's coordinates alone.
     """
     rsid = rsid or where.rsid
@@ -178,7 +201,7 @@ def annotate(
     wheres = _resolve(where, gene, genes, rsid, dbsnp)
     has_id = "id" in {c.lower() for c in annotation.columns}
     sides = wheres if has_id else [replace(w, rsid=None) for w in wheres]
-    return annotate_variants(_filtered(variants, wheres), _filtered(annotation, sides))
+    return annotate_variants(_filtered(variants, wheres), _filtered(annotation, sides), prune=prune)
 
 
 def superpopulation_counts_by_gene(

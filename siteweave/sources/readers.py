@@ -4,7 +4,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siteweave.operators.aggregates import chromosome_profile
 from siteweave.operators.columns import pack_samples
+from siteweave.operators.standardise import RECORD, REJECTED
+from siteweave.operators.validate import CLEAN
 from siteweave.schema import (
     BIN,
     BIN_WIDTH_KEY,
@@ -142,6 +145,40 @@ def read_lookup(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _outcome(spark: SparkSession, path: str, outcome: str) -> DataFrame:
+    return spark.read.parquet(path).where(F.col("outcome") == outcome).drop("outcome")
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The standardised records of `write_outcomes`."""
+    return _outcome(spark, path, RECORD).select("record.*")
+
+
+def read_rejected(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that `write_outcomes` stored as rejected, as they came, with `reason` or
+    `errors`."""
+    rows = _outcome(spark, path, REJECTED)
+    return rows.select("row.*", "reason") if "row" in rows.columns else rows
+
+
+def read_clean(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that `write_outcomes` stored as clean, positions as bigint."""
+    return _typed(_outcome(spark, path, CLEAN).drop("errors"))
+
+
+def stored_profile(spark: SparkSession, path: str) -> DataFrame:
+    """`chromosome_profile` of a per-chromosome layout from the footers of its files: counts
+    and maxima per partition, which the Parquet reader answers without reading a column.
+
+    It reads in a session of its own, as this needs the reader's second version.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    own.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+    return chromosome_profile(own.read.parquet(path))
+
+
 def read_sharded_dir(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     """All shards of a result directory as one table; gzip text is unpacked."""
     if fmt == "csv":

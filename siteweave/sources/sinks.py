@@ -1,6 +1,6 @@
 """Writers of results."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siteweave.functions.info import plain_decimal
@@ -38,6 +38,27 @@ def write_vcf_json(df: DataFrame, path: str, mode: str = "errorifexists"):
     ).json(path)
 
 
+def write_counted_json(df: DataFrame, path: str, source: str, table: str, mode: str = "errorifexists") -> DataFrame:
+    """`write_vcf_json`, and the answer's `variant_envelope`, from one run over the source: its
+    rows are counted while they are written."""
+    seen = Observation()
+    write_vcf_json(df.observe(seen, F.count(F.lit(1)).alias("data_count")), path, mode)
+    count = seen.get["data_count"]
+    one = df.sparkSession.range(1).select(
+        F.lit(source).alias("source"),
+        F.lit(table).alias("table"),
+        F.lit(count).cast("long").alias("data_count"),
+        F.lit(REPORT_COLUMNS).alias("headers"),
+    )
+    return one
+
+
+def write_outcomes(outcomes: DataFrame, path: str, mode: str = "errorifexists"):
+    """The rows of `outcomes` (of a standardiser or `validate_outcomes`) with a directory for
+    what was accepted and one for what was rejected, in one pass over the export."""
+    outcomes.write.mode(mode).partitionBy("outcome").parquet(path)
+
+
 def write_table_json(df: DataFrame, path: str, mode: str = "errorifexists"):
     """Any table as JSON lines, values typed by the schema."""
     df.write.mode(mode).option("ignoreNullFields", False).json(path)

@@ -13,7 +13,7 @@ from siteweave import operators as op
 from siteweave import plans
 from siteweave.functions.genotypes import CARRIED
 from siteweave.operators.filters import VariantFilter
-from siteweave.operators.lookups import covering_ranges
+from siteweave.operators.ranges import covering_ranges
 from siteweave.schema import KEY5
 
 SITE = (

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from checks.fixtures import fixture
 from conftest import plan_of
 from siteweave import operators as op
+from siteweave import sources
+from siteweave.operators.ranges import covering_ranges, starts_in_ranges
 from siteweave.schema import KEY5
 
 SF = "/root/testdata/sf0.001"
@@ -212,3 +214,65 @@ def test_published_join_is_split(spark, settings):
     joined = op.join_published_counts(published, half, half)
     assert len(joined.collect()) == 60_000
     assert "skew=true" in plan_of(joined)
+
+
+def scans_of_last_write(spark, write):
+    """File scans in the plan of what `write` writes."""
+    seen = []
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    write()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    rows = store.executionsList(before, 100)
+    for k in range(rows.size()):
+        seen.append(rows.apply(k).physicalPlanDescription())
+    return [text for text in seen if "InsertIntoHadoopFsRelationCommand" in text]
+
+
+def test_outcomes_and_counted_answers_read_their_source_once(spark, stored, tmp_path):
+    raw = str(tmp_path / "raw")
+    fixture(spark, SF, "gnomad_odd").write.parquet(raw)
+    outcomes = op.standardise_keyed_info(spark.read.parquet(raw)).outcomes
+    plans_ = scans_of_last_write(spark, lambda: sources.write_outcomes(outcomes, f"{tmp_path}/out"))
+    assert len(plans_) == 1 and plans_[0].split("(1)")[0].count("Scan parquet") == 1
+    assert sources.read_records(spark, f"{tmp_path}/out").count() > 0
+    assert sources.read_rejected(spark, f"{tmp_path}/out").count() > 0
+    answer = []
+    half = stored["half1"]
+    write = lambda: answer.append(sources.write_counted_json(half, f"{tmp_path}/json", "h", "t"))
+    plans_ = scans_of_last_write(spark, write)
+    assert len(plans_) == 1 and plans_[0].split("(1)")[0].count("Scan parquet") == 1
+    assert "Scan parquet" not in plan_of(answer[0]) and answer[0].first()["data_count"] == half.count()
+    empty = sources.write_counted_json(half.limit(0), f"{tmp_path}/none", "h", "t")
+    assert empty.first()["data_count"] == 0
+
+
+def test_pruned_annotation_reads_fewer_files(spark, stored, tmp_path):
+    path = f"{tmp_path}/ann"
+    sources.write_binned(stored["ann"], path, partitions=12)
+    table = sources.read_annotation(spark, path)
+    few = stored["half1"].where("reference_name IN ('3', '5') AND start_position < 5000000")
+    pruned, full = (op.annotate_variants(few, table, plain=True, prune=p) for p in (True, False))
+    assert pruned.exceptAll(full).count() == full.exceptAll(pruned).count() == 0
+
+    def files(df):
+        df.collect()
+        leaf = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        return leaf.metrics().apply("numFiles").value()
+
+    near = table.where(starts_in_ranges(table, covering_ranges(few, "start_position", "start_position")))
+    assert 0 < files(near) <= files(table) / 4
+    clauses = plan_of(pruned).split("score")[1]
+    assert "reference_name" in clauses.split("PartitionFilters:")[1].split("\n")[0]
+    assert "start_position" in clauses.split("PushedFilters:")[1].split("\n")[0]
+
+
+def test_stored_profile_reads_footers_only(spark, stored, tmp_path):
+    path = f"{tmp_path}/v"
+    sources.write_binned(stored["half1"], path)
+    found = sources.stored_profile(spark, path)
+    plan = plan_of(found)
+    assert "PushedAggregation: [COUNT(*), MAX(start_position)]" in plan and "PushedGroupBy: [reference_name]" in plan
+    assert sorted(found.collect()) == sorted(op.chromosome_profile(stored["half1"]).collect())
+    # the session that asked reads as before
+    assert "PushedAggregation" not in plan_of(op.chromosome_profile(spark.read.parquet(path)))
