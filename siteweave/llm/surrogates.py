@@ -4,12 +4,12 @@ import hashlib
 import hmac
 import re
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
-from operator import or_
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from siteweave.llm.common import saved, table, texts_of
 
@@ -52,6 +52,21 @@ SYLLABLES = {
     "greek": ["βαρ", "γαλ", "δημ", "ζαν", "θεο", "καλ", "λαμ", "μαρ", "νικ", "παν", "ραλ", "σταμ", "ταρ", "φιλ", "χαρ", "ψαρ"],
 }
 ENDINGS = {"latin": "", "cyrillic": "ов", "greek": "ης"}
+#: How a made-up given name ends.
+GIVEN_ENDINGS = {
+    ("latin", "f"): "ina", ("latin", "m"): "us", ("cyrillic", "f"): "ина", ("cyrillic", "m"): "ан", ("greek", "f"): "ία", ("greek", "m"): "ος",
+}
+#: Country codes of telephone numbers: these have one digit, these two, all others three.
+CODES_1 = {"1", "7"}
+CODES_2 = {
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54",
+    "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+}
+#: How keys of some vendors begin.
+VENDORS = [
+    "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-",
+    "sk_live_", "rk_live_", "sk-", "AIza",
+]
 # ---------------------------------------------------------------------------------------
 
 GIVEN = {of: list(dict.fromkeys([*names, *FURTHER[of].split()])) for of, names in NAMES.items()}
@@ -72,8 +87,7 @@ _capital, _small = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ", "a-zß-öø-ÿа-яёα-ω
 _surname = rf"(?:[{_capital}]['’])?[{_capital}][{_small}]+(?:[{_capital}][{_small}]+)?(?:-[{_capital}][{_small}]+)*"
 _first = "".join(sorted({name[0] for name in [*TITLES, *(n for names in GIVEN.values() for n in names)]}))
 _hex = "[0-9A-Fa-f]{1,4}"
-#: How keys of some vendors begin.
-_vendor = r"A[KS]IA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_live_|sk-|AIza"
+_vendor = any_of(VENDORS)
 
 #: What is looked for, the earlier kinds first where two begin at one place.
 PATTERNS = {
@@ -92,10 +106,32 @@ PATTERNS = {
 }
 FOUND = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
 NAME = re.compile(rf"\b{_surname}\b")
-#: Every text with something to find has one of these, in a form that Spark's patterns know
-#: too: a sign that numbers, addresses and keys have, or the beginning of a name. The names are
-#: only tried at the capitals that they begin with.
-TRIGGERS = ("[0-9@=:]", rf"(?=[{_first}])(?:{_given}|{_title})[. ]", rf"(?:{_vendor}|[Bb]earer )[A-Za-z_-]{{16}}")
+#: Every text with something to find has one of these bytes, or one of BEGINNINGS where no word
+#: goes on.
+SIGNS = b"0123456789@=:"
+_others = bytes(set(range(256)) - set(SIGNS))
+BEGINNINGS = [
+    *[f"{name} " for names in GIVEN.values() for name in names],
+    *[f"{title}{dot} " for title in TITLES for dot in ("", ".")],
+    *VENDORS, "Bearer ", "bearer ",
+]
+
+
+def tracer() -> Callable[[bytes], bool]:
+    """Whether a text may hold something to find, by its bytes and one automaton."""
+    automaton = ahocorasick.Automaton()
+    for text in BEGINNINGS:
+        automaton.add_word(text, len(text))
+    automaton.make_automaton()
+
+    def may_hold(raw: bytes) -> bool:
+        if raw.translate(None, _others):
+            return True
+        text = raw.decode("utf-8", "replace")
+        starts = (end + 1 - length for end, length in automaton.iter(text))
+        return any(start == 0 or not text[start - 1].isalnum() for start in starts)
+
+    return may_hold
 
 
 def script_of(word: str) -> str:
@@ -132,7 +168,10 @@ def parts_of(match: re.Match) -> list[tuple[str, str, int, int]]:
         return [(kind, match[0].replace(" ", ""), *match.span())]
     if kind == "ip":
         return [(kind, match[0], *match.span())]
-    return [(kind, re.sub(r"\D", "", match[0]), *match.span())]
+    digits = re.sub(r"\D", "", match[0])
+    if kind == "card" and luhn(digits) != 0:
+        return []  # a number of some other kind
+    return [(kind, "+" * (match[0][0] == "+") + digits, *match.span())]
 
 
 def is_hex(text: str) -> bool:
@@ -184,6 +223,11 @@ def luhn(digits: str) -> int:
     return sum(sum(divmod(2 * int(d), 10)) if k % 2 else int(d) for k, d in enumerate(reversed(digits))) % 10
 
 
+def code_length(digits: str) -> int:
+    """Digits of the country's code that a telephone number begins with."""
+    return 1 if digits[:1] in CODES_1 else 2 if digits[:2] in CODES_2 else 3
+
+
 def iban_rest(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
@@ -209,17 +253,18 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
     if kind == "ip":
         return ".".join(str(1 + next(stream) % 254) for _ in range(4))
     if kind == "phone":
-        keep = 1 if canon[0] == "0" else max(0, len(canon) - 10)  # the trunk's 0 or the country's code
+        # the country's code or the trunk's 0
+        keep = 1 + code_length(canon[1:]) if canon[0] == "+" else int(canon[0] == "0")
         return canon[:keep] + like("1" + canon[keep + 1 :], stream)
     if kind == "card":
         out = like(canon, stream)
-        return out[:-1] + str((10 - luhn(out[:-1] + "0")) % 10) if luhn(canon) == 0 else out
+        return out[:-1] + str((10 - luhn(out[:-1] + "0")) % 10)
     if kind.startswith("given-"):
         _, script, gender = kind.split("-")
         names = NAMES[script, gender]
         if attempt < len(names):
             return names[(next(numbers(key, kind, canon)) + attempt) % len(names)]
-        return made_name(script, stream, 2 + longer)
+        return made_name(script, stream, 2 + longer) + GIVEN_ENDINGS[script, gender]
     if kind.startswith("surname-"):
         script = kind.split("-")[1]
         return made_name(script, stream, 2 + longer) + ENDINGS[script]
@@ -234,7 +279,7 @@ def made_name(script: str, stream: Iterator[int], length: int) -> str:
 def in_form_of(kind: str, given: str, new: str) -> str:
     """The canonical surrogate with the separators and the case of what it replaces."""
     if kind in ("card", "ssn", "phone"):
-        digits = iter(new)
+        digits = iter(new.lstrip("+"))
         return "".join(next(digits) if c.isdigit() else c for c in given)
     if kind == "iban":
         signs = iter(new)
@@ -287,21 +332,34 @@ def assigned(entities: DataFrame, key: bytes) -> DataFrame:
 
 
 def detect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct entities of each text that has any."""
+    """The texts that hold entities, with the distinct ones of each."""
+    may_hold = tracer()
     for batch in batches:
-        ids, marks, kinds, canons = [], [], [], []
-        for i, mark, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
-            for kind, canon in sorted({f[:2] for f in found_in(raw.decode("utf-8", "replace"))}):
-                ids.append(i)
-                marks.append(mark)
-                kinds.append(kind)
-                canons.append(canon)
+        at, marks, finds = [], [], []
+        for k, raw in enumerate(texts_of(batch.column(1))):
+            if raw and may_hold(raw) and (found := {f[:2] for f in found_in(raw.decode("utf-8", "replace"))}):
+                at.append(k)
+                marks.append(xxh3_64_intdigest(raw) >> 1)
+                finds.append([{"kind": kind, "canon": canon} for kind, canon in sorted(found)])
+        some = batch.take(pa.array(at, pa.int64()))
+        pair = pa.struct([("kind", pa.string()), ("canon", pa.string())])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(kinds, pa.string()), pa.array(canons, pa.string())],
-            names=["doc_id", "mark", "kind", "canon"],
+            [some.column(0), pa.array(marks, pa.int64()), some.column(1), pa.array(finds, pa.list_(pair))],
+            names=["doc_id", "mark", "text", "finds"],
         )
 
 
+def untouched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts that hold none, as they are."""
+    may_hold = tracer()
+    for batch in batches:
+        keep = [
+            not raw or not may_hold(raw) or not found_in(raw.decode("utf-8", "replace"))
+            for raw in texts_of(batch.column(1))
+        ]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def replaced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, numbers_, kinds = [], [], []
@@ -333,16 +391,17 @@ def with_surrogates(docs: DataFrame, key: bytes, id_column: str = "doc_id", text
     entities never share one (see `assigned`). Equal rows give equal texts.
 
     The entities of all texts meet in one table; a text gets only its own ones back. Texts
-    without any trace of an entity are not moved at all.
+    without entities are not moved at all. Numbers of a card's length count as cards when
+    their check digit is right.
 
     Returns one row per row: doc_id, text, n_entities (places replaced), kinds. Null texts
     stay null with 0 entities; rows without id are rewritten like others; no rows give none.
     """
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    some = F.coalesce(reduce(or_, [F.col("text").rlike(t) for t in TRIGGERS]), F.lit(False))
-    mark = F.xxhash64("text").alias("mark")
-    kept = narrow.where(some).select("doc_id", mark, "text")
-    found = saved(kept.mapInArrow(detect, "doc_id long, mark long, kind string, canon string")).distinct()
+    kept = saved(
+        narrow.mapInArrow(detect, "doc_id long, mark long, text string, finds array<struct<kind: string, canon: string>>")
+    )
+    found = kept.select("doc_id", "mark", F.inline("finds")).distinct()
     entities = saved(found.select("kind", "canon").distinct())
     chosen = assigned(entities, key)
     pairs = (
@@ -356,7 +415,7 @@ def with_surrogates(docs: DataFrame, key: bytes, id_column: str = "doc_id", text
     moved = joined.select("doc_id", "text", "pairs").mapInArrow(
         replaced, "doc_id long, text string, n_entities int, kinds array<string>"
     )
-    unmoved = narrow.where(~some).select(
+    unmoved = narrow.mapInArrow(untouched, "doc_id long, text string").select(
         "doc_id", "text", F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("kinds")
     )
     return moved.union(unmoved)

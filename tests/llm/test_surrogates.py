@@ -3,7 +3,9 @@ import re
 from helpers import ALL, empty_documents, hard_documents, ids
 
 from siteweave.llm import surrogates
-from siteweave.llm.surrogates import FOUND, TRIGGERS, assigned, found_in, luhn, op8_surrogates, rewritten, surrogate, with_surrogates
+from siteweave.llm.surrogates import (
+    FOUND, GENDER, assigned, found_in, luhn, op8_surrogates, rewritten, surrogate, tracer, with_surrogates,
+)
 
 KEY = b"k"
 
@@ -44,8 +46,8 @@ def test_no_two_entities_share_a_surrogate(spark, monkeypatch):
 
 
 def test_trigger_covers_the_patterns():
-    for text in ["a@b.de", "1.2.3.4", "1 2 3 4 5 6 7 8 9 0 1 2 3", "+1-23 45 67", "Иван Петров", "Mr Smith", 'token: "abcdefghijkl"', "f1" * 16]:
-        assert FOUND.search(text) and any(re.search(t, text) for t in TRIGGERS)
+    for text in ["a@b.de", "1.2.3.4", "1 2 3 4 5 6 7 8 9 0 1 2 3", "+1-23 45 67", "Иван Петров", "Mr Smith", 'token: "abcdefghijkl"', "f1" * 16, "(Mr. Smith", "«Anna Smith", "key sk-abcdefghijklmnopqrst"]:
+        assert FOUND.search(text) and tracer()(text.encode())
 
 
 def test_query_removes_every_entity_and_leaves_the_rest(spark):
@@ -90,7 +92,7 @@ def test_more_forms_are_found_and_keep_their_form():
         new = replaced(f"so {given}, yes")
         assert re.fullmatch(f"so {pattern}, yes", new) and given not in new, (given, new)
         assert [f[0] for f in found_in(new)] == [f[0] for f in found_in(given)]
-        assert any(re.search(t, given) for t in TRIGGERS)
+        assert tracer()(given.encode())
     assert surrogates.iban_rest(replaced("DE89 3704 0044 0532 0130 00").replace(" ", "")) == 1
     for text in ["on 01-02-2024 at 12:30:45", "std::vector", "pages 100-200", "version 1.22.333", "Password required: sometimes"]:
         assert replaced(text) == text
@@ -101,3 +103,43 @@ def test_further_mentions_and_more_names():
     m = re.fullmatch(r"(\w+) (\w+) met Mr\. (\w+)\. (\w+) left; (\w+) stayed\. (\w+) and (\w+) (\w+) (\w+) too, said (\w+)\. (\w+) (\w+)а, (\w+)", new)
     assert m[2] == m[4] and m[1] == m[5] and m[3] == m[6] and m[9] == m[10] and m[12] == m[13]
     assert not re.search("James|Miller|Brien|Lopez|Иванов", new)
+
+
+def test_what_holds_nothing_is_not_searched():
+    for text in ["plain words", "Analysis, Maximum pAnna x", "the task-force asks", "Alice", "Ünder Änna"]:
+        assert not tracer()(text.encode()) and not found_in(text)
+
+
+def test_country_codes_stay():
+    for given, code in [("+49 30 1234567", "+49 "), ("+1 (017) 555-7713", "+1 ("), ("+7 495 123 45 67", "+7 "), ("+420 123 456 789", "+420 ")]:
+        new = replaced(f"at {given} now")[3:-4]
+        assert new.startswith(code) and new != given and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", given)
+
+
+def test_numbers_that_are_no_cards_stay():
+    for text in ["978-3-16-148410-0", "1700000000001", "4111 1111 1111 1112"]:
+        assert replaced(f"so {text}, yes") == f"so {text}, yes"
+
+
+def test_all_known_names_get_distinct_names_of_their_gender(spark):
+    """Each name of the list is an original somewhere, so none may be given."""
+    rows = [(f"given-{script}-{gender}", name) for (script, name), gender in GENDER.items()]
+    got = assigned(spark.createDataFrame(rows, "kind string, canon string"), KEY).collect()
+    assert len(got) == len(rows) == len({r.surrogate for r in got})
+    assert not {r.surrogate for r in got} & {name for _, name in rows}
+    for r in got:
+        _, script, gender = r.kind.split("-")
+        assert r.surrogate.endswith(surrogates.GIVEN_ENDINGS[script, gender])
+
+
+def test_texts_by_hand(spark):
+    """Forms written out here, not found by the operator's own patterns."""
+    secret = ["susan.miller@mail.example", "4111 1111 1111 1111", "+49 30 1234567", "10.1.2.3", "hunter2abc", "Susan", "Kowalski"]
+    text = f"Susan Kowalski <{secret[0]}> paid by {secret[1]}, call {secret[2]} from {secret[3]}; password={secret[4]}. Kowalski agreed."
+    clean = "Order 66 shipped on 2024-01-02, ISBN 978-3-16-148410-0, at 12:30; version 1.2"
+    docs = spark.createDataFrame([(1, text), (2, clean), (3, "Kowalski is a stranger here")], "doc_id long, text string")
+    got = {r.doc_id: r for r in with_surrogates(docs, KEY).collect()}
+    assert not [x for x in secret if x in got[1].text] and got[1].n_entities == 8
+    assert got[1].kinds == ["card", "email", "given", "ip", "phone", "secret", "surname"]
+    assert re.search(r"^(\w+) (\w+) <.*> paid by .*; password=\w{10}\. \2 agreed\.$", got[1].text)
+    assert got[2].text == clean and got[3].text == "Kowalski is a stranger here" and got[2].n_entities == 0
