@@ -1553,3 +1553,10 @@ def _(spark, sf):
     path = new_path(spark)
     sources.write_binned(half1(spark, sf), path)
     return sources.stored_profile(spark, path)
+
+
+@query("superpopulation_counts_phased", ORACLES["superpopulation_counts"].replace("'1','2','3',", ""))
+def _(spark, sf):
+    """Haploid calls count nothing."""
+    df = op.drop_layout(half1(spark, sf))
+    return op.superpopulation_counts(df, fixture(spark, sf, "metadata"), haploid=False)

@@ -49,9 +49,9 @@ CARRIED = {
 }
 
 
-def carried_alleles(genotype: Column) -> Column:
-    """Non-reference alleles of one call by the fixed table."""
-    once = [g for g, n in CARRIED.items() if n == 1]
+def carried_alleles(genotype: Column, haploid: bool = True) -> Column:
+    """Non-reference alleles of one call by the fixed table, or by its phased part alone."""
+    once = [g for g, n in CARRIED.items() if n == 1 and (haploid or "|" in g)]
     twice = [g for g, n in CARRIED.items() if n == 2]
     return (
         F.when(genotype == HOM_REF, 0)
@@ -67,7 +67,9 @@ def carried_indices(genotype: Column) -> Column:
     return F.coalesce(F.size(parts), F.lit(0))
 
 
-def carried_by(genotypes: Column, positions: list[int], every_index: bool = False) -> Column:
+def carried_by(
+    genotypes: Column, positions: list[int], every_index: bool = False, haploid: bool = True
+) -> Column:
     """Alleles carried by the calls at the given array positions: `carried_alleles`, or
     `carried_indices` with `every_index`."""
     if every_index:
@@ -82,7 +84,7 @@ def carried_by(genotypes: Column, positions: list[int], every_index: bool = Fals
         literal_array(positions, "int"),
         F.lit(0).cast("bigint"),
         lambda total, at: total
-        + carried_alleles(F.get(genotypes, at)).cast("bigint"),
+        + carried_alleles(F.get(genotypes, at), haploid).cast("bigint"),
     )
 
 

@@ -81,14 +81,15 @@ def superpopulation_counts(
     populations: list[str] | None = None,
     snp_only: bool = True,
     suffix: str = "",
+    haploid: bool = True,
 ) -> DataFrame:
     """Non-reference alleles per site and superpopulation, as columns
     `<population>_alleleCount<suffix>`.
 
     The sample lists become array positions, so every site is counted where it lies:
     no call is exploded and nothing is shuffled. A SNP's calls are looked up in a table of
-    known texts; with `snp_only=False` a call carries as many alleles as it has indices
-    above 0.
+    known texts, which has haploid calls unless `haploid=False`; with `snp_only=False` a call
+    carries as many alleles as it has indices above 0.
     """
     df = packed(df)
     positions = population_positions(df, metadata, populations)
@@ -96,7 +97,7 @@ def superpopulation_counts(
     return sites.select(
         *[F.col(f"`{c}`") for c in df.columns if c != GENOTYPES],
         *[
-            carried_by(F.col(GENOTYPES), at, every_index=not snp_only).alias(f"{p}_alleleCount{suffix}")
+            carried_by(F.col(GENOTYPES), at, not snp_only, haploid).alias(f"{p}_alleleCount{suffix}")
             for p, at in positions.items()
         ],
     )

@@ -23,13 +23,21 @@ from siteweave.schema import (
 CSV_QUOTING = {"escape": '"'}
 
 
-def _typed(df: DataFrame) -> DataFrame:
-    """Positions as bigint, whatever the files hold."""
-    casts = {
-        c: F.col(c).try_cast("bigint")
-        for c in df.columns
-        if c.lower() in POSITIONS and df.schema[c].dataType != T.LongType()
-    }
+def _typed(df: DataFrame, bad_positions: str = "null") -> DataFrame:
+    """Positions as bigint, whatever the files hold. Text that is no number becomes null, or
+    stops the read with `bad_positions="raise"`."""
+    if bad_positions not in ("raise", "null"):
+        raise ValueError(f"bad_positions must be raise or null, not {bad_positions!r}")
+
+    def typed(name: str):
+        given = F.col(name)
+        number = given.try_cast("bigint")
+        if bad_positions == "null" or not isinstance(df.schema[name].dataType, T.StringType):
+            return number
+        wrong = F.concat(F.lit(f"{name} is no number: "), given)
+        return F.when(given.isNotNull() & number.isNull(), F.raise_error(wrong)).otherwise(number)
+
+    casts = {c: typed(c) for c in df.columns if c.lower() in POSITIONS and df.schema[c].dataType != T.LongType()}
     return df.withColumns(casts) if casts else df
 
 
@@ -65,10 +73,13 @@ def read_variants(
     schema: T.StructType | None = None,
     bin_width: int | None = None,
     pack: bool = True,
+    bad_positions: str = "null",
 ) -> DataFrame:
-    """A variant table in Parquet, wide or packed, plain or partitioned by bin or by
-    chromosome. `bin_width` names the width of bins written by someone else."""
-    df = _with_width(_typed(_partitioned(spark, path, schema)), bin_width)
+    """A variant table in Parquet, wide, packed or compact, plain or partitioned by bin or by
+    chromosome. `bin_width` names the width of bins written by someone else. A position that
+    is text and no number is null, or stops the read with `bad_positions="raise"`; such rows
+    can be told apart with `validate_variants` on the text."""
+    df = _with_width(_typed(_partitioned(spark, path, schema), bad_positions), bin_width)
     return pack_samples(df) if pack and not {GENOTYPES, COMPACT} & set(df.columns) else df
 
 
@@ -82,9 +93,10 @@ def read_annotation(
     path: str,
     schema: T.StructType | None = None,
     bin_width: int | None = None,
+    bad_positions: str = "null",
 ) -> DataFrame:
-    """An annotation table in Parquet; text positions become bigint."""
-    return _with_width(_typed(_partitioned(spark, path, schema)), bin_width)
+    """An annotation table in Parquet; text positions become bigint, as `read_variants` does it."""
+    return _with_width(_typed(_partitioned(spark, path, schema), bad_positions), bin_width)
 
 
 def read_variants_csv(

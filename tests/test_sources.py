@@ -250,3 +250,15 @@ def test_quotes_and_commas_survive_csv(spark, tmp_path):
     assert {r["id"] for r in sources.read_import_csv(spark, path, df.columns).collect()} == {text}
     (tmp_path / "raw.csv").write_text('INFO,pos\n"a ""b"", c",5\n')
     assert sources.read_raw_vcf_csv(spark, str(tmp_path)).first()["info"] == 'a "b", c'
+
+
+def test_positions_that_are_no_numbers_stop_the_read(spark, tmp_path):
+    path = str(tmp_path / "text")
+    rows = [("1", "5", "6", "A", "C"), ("1", "7x", None, "A", "C")]
+    spark.createDataFrame(rows, ", ".join(f"{k} string" for k in KEY5)).write.parquet(path)
+    with pytest.raises(Exception, match="start_position is no number: 7x"):
+        sources.read_annotation(spark, path, bad_positions="raise").collect()
+    found = sources.read_annotation(spark, path).collect()
+    assert sorted((r["start_position"] is None, r["end_position"] is None) for r in found) == [(False, False), (True, True)]
+    with pytest.raises(ValueError):
+        sources.read_variants(spark, path, bad_positions="skip")
