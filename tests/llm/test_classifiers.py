@@ -71,12 +71,42 @@ def test_quality_of_held_out_documents(spark, truth):
     assert (rank[good].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) > 0.99
 
 
+def test_risk_of_all_rows_is_what_a_loop_adds_up(spark):
+    """The sums over unlabelled rows cover every row, in both halves, at any partitioning."""
+    rows = quality.measures(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    x = np.array([r.x for r in rows.select("x").collect()])
+    cuts = quality.borders(rows)
+    at = quality.design(x, cuts)
+    size = sum(len(c) + 1 for c in cuts) + 1
+    starts = np.cumsum([0] + [len(c) + 1 for c in cuts])[:-1]
+    every = quality.Unlabelled(quality.in_ranges(rows, cuts).repartition(5), starts, size, (None, None))
+    w = np.random.default_rng(2).normal(size=size)
+    of = lambda a: np.append(quality.push(a, quality.score_of(a, w), size), len(a))
+    assert np.allclose(every.summed(of, None), of(at))
+    halves = np.array([quality.half_of(row) for row in x])
+    for half in (0, 1):
+        assert np.allclose(every.summed(of, half), of(at[halves == half]))
+    # quantiles of all rows: the ranges of a measure without ties hold about equal counts
+    k = quality.MEASURES.index("bytes_per_word")
+    sizes = np.bincount(np.searchsorted(cuts[k], x[:, k], "right"))
+    assert sizes.max() < 2 * len(x) / quality.RANGES
+
+
+def test_quality_does_not_hang_on_the_first_sample(spark, truth, monkeypatch):
+    monkeypatch.setattr(quality, "START", 500)
+    got = op4_quality(spark, SF).toPandas().set_index("doc_id").join(truth)
+    held = got[got.held_out & got.quality.notna()]
+    assert (held.predicted == held.quality).mean() > 0.93
+
+
 def test_prior_of_mixed_scores():
     rng = np.random.default_rng(0)
     p, n = rng.normal(3, 1, 8000), rng.normal(-3, 1, 8000)
     for share in (0.2, 0.5, 0.8):
         k = int(8000 * share)
-        assert abs(quality.prior_of(p[:4000], np.concatenate([p[-k:], n[: 8000 - k]])) - share) < 0.05
+        u = np.concatenate([p[-k:], n[: 8000 - k]])
+        counted = lambda at, u=u: (quality.above(u, at), len(u))
+        assert abs(quality.prior_of(p[:4000], counted) - share) < 0.05
 
 
 def test_hard_rows(spark):
