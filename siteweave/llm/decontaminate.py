@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from siteweave.llm.common import mixed, table, texts_of, word_hashes
 
 #: An overlap is a window of WINDOW aligned words of which at most SUBSTITUTED differ. An item
-#: of fewer words is one window with room in proportion; one of under SHORTEST, which ordinary
-#: text would hit, is not looked for.
+#: of fewer words is one window with room in proportion; one of under WHOLE words, which
+#: ordinary text would hit, must be there without a change.
 WINDOW = 13
 SUBSTITUTED = 2
-SHORTEST = 8
+WHOLE = 8
 #: Positions that each mask looks at. Wherever two words of a window of 13 are replaced, one of
 #: these fits into it beside them (a test tries all 78 cases), so no overlap lacks a seed.
 MASKS = ((0, 1, 2, 3, 4, 6, 7), (0, 1, 4, 6, 8, 9, 10), (0, 1, 3, 7, 8, 9, 10))
@@ -37,7 +37,7 @@ def plain_words(text: bytes | None) -> list[bytes]:
 def window_of(length: int) -> tuple[int, int]:
     """Width and permitted substitutions for an item of so many words."""
     width = min(WINDOW, length)
-    return width, SUBSTITUTED * width // WINDOW
+    return width, SUBSTITUTED * width // WINDOW if width >= WHOLE else 0
 
 
 def masks_of(length: int) -> tuple[tuple[int, ...], ...]:
@@ -79,7 +79,7 @@ def index_of(rows: list[tuple[int, bytes | None]]) -> Index:
     ids, words, masks, parts = [], [], {}, []
     for item_id, text in rows:
         own = word_hashes(plain_words(text))
-        if len(own) < SHORTEST:
+        if not len(own):
             continue
         for mask in masks_of(len(own)):
             masks[mask] = True
@@ -136,13 +136,13 @@ def passes(benchmark: DataFrame, id_column: str, text_column: str) -> list[Broad
     """The benchmark's seeds in passes of about PASS_WORDS words, each sent on its own."""
     narrow = benchmark.select(
         F.col(id_column).cast("long").alias("id"), F.encode(text_column, "UTF-8").alias("raw")
-    ).where("id is not null and raw is not null")
+    ).where("raw is not null")
     size = narrow.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     number = max(1, -(-size // (6 * PASS_WORDS)))
     sent = []
     for k in range(number):
         part = narrow.where(F.pmod(F.xxhash64("id", "raw"), F.lit(number)) == k)
-        rows = sorted((r["id"], bytes(r["raw"])) for r in part.collect())
+        rows = sorted(((r["id"], bytes(r["raw"])) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         sent.append(benchmark.sparkSession.sparkContext.broadcast(tuple(index_of(rows))))
     return sent
 
@@ -162,9 +162,11 @@ def overlaps(
     each window of 13 words is counted. A window overlaps if at most 2 words differ. Texts
     are searched whole; nothing is shuffled, and the benchmark travels in bounded passes.
 
-    Returns doc_id, item_id, first_word, n_windows, matched. Null and empty texts and items,
-    items without id and items of under 8 words match nothing; repeated rows and equal items
-    match each on its own.
+    Items of under 8 words overlap where they stand whole and unchanged.
+
+    Returns doc_id, item_id, first_word, n_windows, matched. Null texts and items and those
+    without words match nothing; repeated rows, equal items and items without id match each
+    on its own.
     """
     frames = []
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
@@ -226,7 +228,7 @@ WITH dw AS (
 bw AS (
   SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS q, len(w) AS m, least(len(w), 13) AS width FROM (
     SELECT item_id, regexp_extract_all(translate(text, {_CASE}), '[^\x20\x09-\x0D]+') AS w FROM benchmark)
-  WHERE len(w) >= 8),
+  WHERE len(w) > 0),
 same AS (
   SELECT doc_id, item_id, p - q AS shift, q, n, m, width FROM dw JOIN bw USING (word)),
 ends AS (
@@ -236,12 +238,12 @@ ends AS (
 spots AS (
   SELECT DISTINCT doc_id, item_id, shift, n, m, width, unnest(range(greatest(0, -shift, q - width + 1),
       least(q, m - width, n - shift - width) + 1)) AS start
-  FROM ends WHERE near >= width - (2 * width) // 13),
+  FROM ends WHERE near >= width - CASE WHEN width < 8 THEN 0 ELSE (2 * width) // 13 END),
 windows AS (
   SELECT s.doc_id, s.item_id, s.shift, s.start, s.width, count(*) AS agree
   FROM spots s JOIN same e ON s.doc_id = e.doc_id AND s.item_id = e.item_id AND s.shift = e.shift
       AND e.q BETWEEN s.start AND s.start + s.width - 1
-  GROUP BY ALL HAVING count(*) >= s.width - (2 * s.width) // 13)
+  GROUP BY ALL HAVING count(*) >= s.width - CASE WHEN s.width < 8 THEN 0 ELSE (2 * s.width) // 13 END)
 SELECT doc_id, item_id, CAST(min(shift + start) AS INTEGER) AS first_word,
   CAST(count(*) AS INTEGER) AS n_windows, CAST(max(agree) AS INTEGER) AS matched
 FROM windows GROUP BY doc_id, item_id
