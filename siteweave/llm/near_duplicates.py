@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteweave.llm.common import (
@@ -41,7 +41,11 @@ _MUL = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _SALT = _RNG.integers(0, 1 << 63, 2 * HALF, dtype=np.uint64)
 
-SKETCH = "id long, n long, f1 long, f2 long, sketches array<long>"
+SKETCH = "id long, mark long, n long, f1 long, f2 long, sketches array<long>"
+FINGERPRINT = ["n", "f1", "f2"]
+#: A set that this part of all rows or more share goes to them by broadcast; there are SHARE
+#: such sets at most.
+SHARE = 1000
 
 
 def minhashes(shingles: np.ndarray, block: int = 4096) -> np.ndarray:
@@ -53,15 +57,20 @@ def minhashes(shingles: np.ndarray, block: int = 4096) -> np.ndarray:
     return least
 
 
+def fingerprint(shingles: np.ndarray) -> tuple:
+    """The size of a set and 128 bits of what is in it."""
+    second = mixed(shingles ^ np.uint64(0x5851F42D4C957F2D))
+    return len(shingles), shingles.sum(dtype=np.uint64), second.sum(dtype=np.uint64)
+
+
 def sketch_rows(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, f1, f2, subs = [], [], [], []
             for text in texts_of(batch.column(1)):
                 shingles = shingles_of(words_of(text), width)
-                n.append(len(shingles))
-                f1.append(shingles.sum(dtype=np.uint64))
-                f2.append(mixed(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
+                for out, value in zip((n, f1, f2), fingerprint(shingles), strict=True):
+                    out.append(value)
                 if len(shingles):
                     least = minhashes(shingles)
                     rows = least.reshape(2 * HALF, ROWS).astype(np.uint64)
@@ -74,8 +83,8 @@ def sketch_rows(width: int):
             longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             lists = lambda x: pa.array(x, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), longs(n), longs(f1), longs(f2), lists(subs)],
-                names=["id", "n", "f1", "f2", "sketches"],
+                [batch.column(0), batch.column(2), longs(n), longs(f1), longs(f2), lists(subs)],
+                names=["id", "mark", "n", "f1", "f2", "sketches"],
             )
 
     return run
@@ -84,9 +93,15 @@ def sketch_rows(width: int):
 def set_rows(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles_of(words_of(t), width).view(np.int64) for t in texts_of(batch.column(1))]
+            sets = [shingles_of(words_of(t), width) for t in texts_of(batch.column(1))]
+            prints = np.array([fingerprint(x) for x in sets], np.uint64).reshape(-1, 3).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"]
+                [
+                    batch.column(0),
+                    *[pa.array(prints[:, k]) for k in range(3)],
+                    pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+                ],
+                names=["id", "n", "f1", "f2", "shingles"],
             )
 
     return run
@@ -146,9 +161,9 @@ def near_duplicates(
     """Groups of documents linked by a Jaccard similarity of `percent` % or more.
 
     1. One pass makes each text's shingle count, set fingerprint and sketches. Texts of
-       equal sets form a class, which its smallest id stands for.
+       equal sets form a class, whatever their ids.
     2. Classes meet in tables whose keys pair two sketches.
-    3. Each class is compared with one class: the smallest id of the table that they meet in
+    3. Each class is compared with one class: the first of the table that they meet in
        most often. Links join into components. This costs one comparison a class and draws
        large groups together; tables within one component are done with.
     4. Classes that still share a table with another component form clusters. In a cluster
@@ -158,52 +173,88 @@ def near_duplicates(
 
     Returns one row per row: doc_id, n_shingles, component_id (smallest doc_id reachable,
     itself included), kept. Null, empty and blank texts have no shingles and no links. A row
-    without id has no component_id, links with nothing and is kept. Rows of one id are one
-    document. The order of rows and other columns don't matter; no rows give none.
+    without id has no component_id, links with nothing and is kept. Texts of one id are each
+    on their own. The order of rows and other columns don't matter; no rows give none.
     """
-    narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    return _grouped(docs, percent, width, id_column, text_column).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _narrow(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    text = F.col(text_column)
+    return docs.select(F.col(id_column).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+
+
+def _grouped(docs: DataFrame, percent: int, width: int, id_column: str, text_column: str) -> DataFrame:
+    """`near_duplicates` with `mark`, a hash of the text, and `component`, null where a row
+    links with nothing by rule."""
+    narrow = _narrow(docs, id_column, text_column)
     sketches = saved(narrow.mapInArrow(sketch_rows(width), SKETCH))
     filled = sketches.where("id is not null and n > 0")
-    members = filled.select("id", "n", "f1", "f2").distinct()
-    classes = saved(members.groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.max("id").alias("last")))
-    copies = (
-        members.join(classes.where("id < last").withColumnRenamed("id", "rep"), ["n", "f1", "f2"])
-        .where("id > rep")
-        .select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    # a class gets a number as it is written
+    classes = saved(
+        filled.groupBy(*FINGERPRINT)
+        .agg(F.min("id").alias("first"), F.count("*").alias("rows"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
-    reps = filled.join(classes, ["id", "n", "f1", "f2"], "left_semi")
+    named = classes.withColumnRenamed("first", "id").select("id", *FINGERPRINT, "node")
+    reps = filled.join(named, ["id", *FINGERPRINT]).select(F.col("node").alias("id"), "sketches")
     buckets = saved(shared_values(table_keys(reps), "key", "id"))
-    wanted = saved(buckets.select("id").distinct())
-    sets = saved(narrow.join(wanted, "id", "left_semi").mapInArrow(set_rows(width), "id long, shingles array<long>"))
+    wanted = saved(named.join(buckets.select(F.col("id").alias("node")).distinct(), "node", "left_semi"))
+    again = narrow.join(wanted.select("id").distinct(), "id", "left_semi").mapInArrow(
+        set_rows(width), "id long, n long, f1 long, f2 long, shingles array<long>"
+    )
+    sets = saved(again.join(wanted, ["id", *FINGERPRINT]).select(F.col("node").alias("id"), "shingles"))
     near = saved(linked_pairs(star_pairs(buckets), sets, percent))
     open_ = saved(unresolved(buckets, near))
-    links = near.union(cluster_links(open_, sets, percent))
-    groups = saved(connected(saved(links.union(copies))))
-    component = F.coalesce("component", "id")
-    return (
-        sketches.select("id", "n")
-        .join(groups.withColumnRenamed("node", "id"), "id", "left")
-        .select(
-            F.col("id").alias("doc_id"),
-            F.col("n").alias("n_shingles"),
-            component.alias("component_id"),
-            F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+    groups = connected(saved(near.union(cluster_links(open_, sets, percent))))
+    joined = saved(
+        classes.join(groups, "node", "left").select(
+            *FINGERPRINT, "first", "rows", F.coalesce("component", "node").alias("component")
         )
     )
+    smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
+    found = saved(joined.join(smallest, "component"))
+    total = found.agg(F.sum("rows")).first()[0] or 0
+    is_hot = F.col("rows") * SHARE >= F.lit(total)
+    rows = filled.select("id", "mark", *FINGERPRINT)
+    hot = F.broadcast(found.where(is_hot))
+    placed = rows.join(hot, FINGERPRINT).unionByName(
+        rows.join(hot.select(*FINGERPRINT), FINGERPRINT, "left_anti").join(found.where(~is_hot), FINGERPRINT)
+    )
+    alone = sketches.where("id is null or n = 0").select(
+        "id", "mark", "n", F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id")
+    )
+    return placed.select(*alone.columns).union(alone).select(
+        F.col("id").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        "component_id",
+        F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
+        "mark",
+        "component",
+    )
 
 
 def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of `docs` that stay: one of each group, the one of the smallest id. All columns
-    stay as they are. Rows without id stay; of rows that repeat an id, one stays."""
-    found = near_duplicates(docs, id_column=id_column, text_column=text_column)
-    gone = saved(found.where(~F.col("kept")).select(F.col("doc_id").alias(id_column)).distinct())
-    kept = docs.join(gone, id_column, "left_anti")
-    again = saved(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1"))
+    stay as they are. Rows without id stay. Of several texts of that id in the group one
+    stays, by a hash of the text, and so does one of rows that repeat id and text."""
+    found = saved(_grouped(docs, 75, 5, id_column, text_column))
+    best = found.where("kept and component is not null").groupBy("component").agg(F.min("mark").alias("best"))
+    own = ["doc_id", "mark"]
+    stays = F.col("kept") & (F.col("mark") == F.col("best"))
+    judged = found.where("component is not null").select(*own, "kept", "component").distinct().join(best, "component")
+    gone = saved(judged.where(~stays).select(*own).distinct())
+    again = saved(found.where("doc_id is not null").join(gone, own, "left_anti").groupBy(*own).count().where("count > 1"))
+    marked = docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in zip(own, _own(id_column, text_column), strict=True)])
+    kept = marked.join(gone, own, "left_anti")
     if again.isEmpty():
-        return kept
-    again = again.select(F.col("doc_id").alias(id_column))
-    once = kept.join(again, id_column, "left_anti")
-    return once.union(kept.join(again, id_column, "left_semi").dropDuplicates([id_column]))
+        return kept.select("row.*")
+    once = kept.join(again, own, "left_anti").select("row.*")
+    return once.union(kept.join(again.select(*own), own, "left_semi").dropDuplicates(own).select("row.*"))
+
+
+def _own(id_column: str, text_column: str) -> tuple[Column, Column]:
+    return F.col(id_column).cast("long"), F.xxhash64(F.col(text_column))
 
 
 def star_pairs(buckets: DataFrame) -> DataFrame:

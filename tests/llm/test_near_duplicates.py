@@ -80,3 +80,24 @@ def test_hard_rows(spark):
     assert ids(without_near_duplicates(docs.where("doc_id = 2"))) == [2]
     assert near_duplicates(empty_documents(spark)).count() == 0
     assert without_near_duplicates(empty_documents(spark)).count() == 0
+
+
+def test_texts_of_one_id_are_each_on_their_own(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (5, b), (5, c), (7, c + " more"), (8, a), (8, a), (9, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (5, 1, False), (5, 5, True), (7, 5, False), (8, 1, False), (8, 1, False), (9, 5, False)]
+    left = without_near_duplicates(docs)
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, a), (1, b), (5, c)]
+    # two texts of the id that stays, alike: one of them
+    twins = docs.where("doc_id = 7").unionByName(spark.createDataFrame([(7, c)], "doc_id long, text string"))
+    assert near_duplicates(twins).where("kept").count() == 2 and without_near_duplicates(twins).count() == 1
+
+
+def test_one_text_on_a_third_of_the_rows(spark):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(20))
+    rows = [(k, words(0) if k % 3 == 0 else words(k)) for k in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = near_duplicates(docs).where("component_id = 0").count()
+    assert got == 1_000 and without_near_duplicates(docs).count() == 2_001
