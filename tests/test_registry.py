@@ -33,3 +33,13 @@ def test_every_query_has_an_oracle():
 def test_entry_has_rows(spark):
     rows = driver.entry(spark).collect()
     assert {r["source"] for r in rows} == {"half1", "half2"}
+
+
+def test_only_the_left_out_modules_may_be_missing():
+    import __spark_entry__ as entry
+
+    for name in ("corpus_pipeline", "siteweave.llm", "siteweave.llm.registry"):
+        entry.left_out(ImportError(name=name))
+    for name in ("xxhash", "siteweave.operators", None):
+        with pytest.raises(ImportError):
+            entry.left_out(ImportError(name=name))
