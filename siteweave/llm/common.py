@@ -31,15 +31,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders that `saved` wrote and `remove_saved` has not removed yet.
+SAVED: list[str] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends there, and a lost
-    executor costs no more than the reading."""
+    executor costs no more than the reading. It stays until `remove_saved`."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+    SAVED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_saved(spark: SparkSession, since: int = 0):
+    """Remove what `saved` wrote in this process, from the `since`-th folder on. Results that
+    operators returned read these folders: store them first."""
+    jvm = spark.sparkContext._jvm
+    for path in SAVED[since:]:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    del SAVED[since:]
+
+
 def texts_of(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.binary()).to_pylist()

@@ -7,6 +7,7 @@ import pytest
 from helpers import ALL, empty_documents, hard_documents, ids
 
 from siteweave.llm import language_id, quality, toxicity
+from siteweave.llm.common import crc_part
 from siteweave.llm.language_id import SIZES, Model, Scorer, grams_of, op2_language_id
 from siteweave.llm.quality import op4_quality
 from siteweave.llm.toxicity import op3_toxicity, without_toxic
@@ -46,6 +47,18 @@ def test_toxic_documents_are_found_and_clean_ones_left(spark, truth):
     assert both[both.toxic_true == 0].toxic.mean() < 0.002
 
 
+def test_toxic_documents_that_were_not_learnt_from(spark):
+    """A quarter of the labels held out."""
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    held = crc_part("doc_id", 4) == 0
+    got = toxicity.predict_toxicity(docs, labels.where(~held)).select("doc_id", "toxic").toPandas().set_index("doc_id")
+    true = labels.where(held).where("toxic is not null").toPandas().set_index("doc_id").join(got, rsuffix="_found")
+    found = true[true.toxic == 1].toxic_found
+    others = true[true.toxic == 0].toxic_found
+    print("held out:", int(found.sum()), "of", len(found), "found;", int(others.sum()), "of", len(others), "others marked")
+    assert found.mean() > 0.85 and others.mean() < 0.01
+
+
 def test_chain_feeds_earlier_probabilities():
     """The second category depends on the first alone; no feature shows it."""
     rng = np.random.default_rng(1)

@@ -1,8 +1,10 @@
+import os
 from collections import Counter
 
 from helpers import ALL, empty_documents, hard_documents, ids
 
-from siteweave.llm.mixture import cycle_5_2_1, mix, mixed_documents, op1_mixture, targets_of
+from siteweave.llm import common
+from siteweave.llm.mixture import cycle_5_2_1, measured, mix, mixed_documents, op1_mixture, targets_of
 
 SF = "/root/testdata/sf0.01"
 
@@ -55,3 +57,35 @@ def test_hard_rows(spark):
     assert Counter(ids(out)) == Counter({k: v for k, v in want.items() if v})
     assert mix(empty_documents(spark), cycle_5_2_1, 1.5).count() == 0
     assert mixed_documents(empty_documents(spark), cycle_5_2_1, 1.5).count() == 0
+
+
+def test_equals_sorting_by_hash_and_adding_up(spark):
+    """Of each source the rows of the smallest hashes go in once more, until the budget ends;
+    the row where it ends goes in if that brings the words nearer to it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = measured(docs, "doc_id", "text", "source").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+    names = sorted(by, key=lambda s: s.encode())
+    sizes = [(s, sum(r.size for r in by[s])) for s in names]
+    for share in (0.4, 1.5):
+        targets = targets_of(sizes, cycle_5_2_1(names), share * sum(n for _, n in sizes), 2.0)
+        want = {}
+        for (name, size), target in zip(sizes, targets, strict=True):
+            times, left = int(target // size), target - target // size * size
+            for r in sorted(by[name], key=lambda r: r.h):
+                once_more = r.size <= left or 2 * left > r.size
+                want[r.doc_id] = (times + once_more) * r.size
+                left = left - r.size if r.size <= left else -1
+        got = {r.doc_id: r.taken for r in mix(docs, cycle_5_2_1, share).collect()}
+        assert got == want
+
+
+def test_saved_tables_go_when_asked(spark):
+    before = len(common.SAVED)
+    rows = common.saved(spark.range(5).toDF("x"))
+    path = common.SAVED[-1]
+    assert rows.count() == 5 and os.path.isdir(path.removeprefix("file:"))
+    common.remove_saved(spark, before)
+    assert not os.path.exists(path.removeprefix("file:")) and len(common.SAVED) == before
