@@ -190,20 +190,24 @@ def _grouped(docs: DataFrame, percent: int, width: int, id_column: str, text_col
     narrow = _narrow(docs, id_column, text_column)
     sketches = saved(narrow.mapInArrow(sketch_rows(width), SKETCH))
     filled = sketches.where("id is not null and n > 0")
-    # a class gets a number as it is written
-    classes = saved(
-        filled.groupBy(*FINGERPRINT)
-        .agg(F.min("id").alias("first"), F.count("*").alias("rows"))
-        .withColumn("node", F.monotonically_increasing_id())
-    )
-    named = classes.withColumnRenamed("first", "id").select("id", *FINGERPRINT, "node")
-    reps = filled.join(named, ["id", *FINGERPRINT]).select(F.col("node").alias("id"), "sketches")
+    counts = filled.groupBy(*FINGERPRINT).agg(F.min("id").alias("first"), F.count("*").alias("rows"))
+    classes, seed = saved(counts), 0
+    # a class is named by a hash of its fingerprint, with a seed under which no two share one
+    while True:
+        node = F.xxhash64(F.lit(seed), *FINGERPRINT)
+        if classes.select(node.alias("node")).groupBy("node").count().where("count > 1").isEmpty():
+            break
+        seed += 1
+    classes = classes.withColumn("node", node)
+    firsts = classes.select(F.col("first").alias("id"), *FINGERPRINT)
+    reps = filled.join(firsts, ["id", *FINGERPRINT], "left_semi").select(node.alias("id"), "sketches")
     buckets = saved(shared_values(table_keys(reps), "key", "id"))
-    wanted = saved(named.join(buckets.select(F.col("id").alias("node")).distinct(), "node", "left_semi"))
-    again = narrow.join(wanted.select("id").distinct(), "id", "left_semi").mapInArrow(
+    wanted = classes.join(buckets.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    ids = saved(wanted.select(F.col("first").alias("id")).distinct())
+    again = narrow.join(ids, "id", "left_semi").mapInArrow(
         set_rows(width), "id long, n long, f1 long, f2 long, shingles array<long>"
     )
-    sets = saved(again.join(wanted, ["id", *FINGERPRINT]).select(F.col("node").alias("id"), "shingles"))
+    sets = saved(again.where("n > 0").select(node.alias("id"), "shingles"))
     near = saved(linked_pairs(star_pairs(buckets), sets, percent))
     open_ = saved(unresolved(buckets, near))
     groups = connected(saved(near.union(cluster_links(open_, sets, percent))))
