@@ -79,6 +79,10 @@ def stored(spark: SparkSession, sf_dir: str, root: str) -> dict:
     names = {SAMPLES_KEY: [f"q{j:04d}" for j in range(WIDTH)]}
     sources.write_result(tables["packed"].withMetadata(GENOTYPES, names), f"{root}/packed2")
     tables["packed2"] = sources.read_variants(spark, f"{root}/packed2")
+    for name in ("packed", "packed2"):
+        compact = name.replace("packed", "compact")
+        sources.write_result(op.compact_genotypes(tables[name]), f"{root}/{compact}")
+        tables[compact] = sources.read_variants(spark, f"{root}/{compact}")
     people = [
         (pop, ",".join(f"p{j:04d}" for j in range(i, WIDTH, 5)), ",".join(f"q{j:04d}" for j in range(i, WIDTH, 5)))
         for i, pop in enumerate(POPULATIONS)
@@ -112,6 +116,8 @@ def queries(spark: SparkSession, t: dict) -> dict:
         "wide_count_packed": lambda: op.allele_counts(t["packed"]),
         "wide_superpopulation_counts": lambda: op.superpopulation_counts(t["packed"], t["people"]),
         "wide_merge": lambda: op.merge_halves(t["packed"], t["packed2"]),
+        "wide_count_compact": lambda: op.allele_counts(t["compact"]),
+        "wide_merge_compact": lambda: op.merge_halves(t["compact"], t["compact2"]),
     }
 
 
