@@ -122,6 +122,41 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = saved(small.union(low.select("u", F.col("m").alias("v"))).distinct())
 
 
+#: Bits of a filter for each member, and the most bits of a filter (16 MB).
+FILTER_BITS = 16
+MOST_BITS = 1 << 27
+
+
+def likely(rows: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` with `likely`: true where the keys are among those of `members`, and for about one
+    in FILTER_BITS of the others (more of them beyond MOST_BITS / FILTER_BITS members).
+
+    A bitmap of the keys' hashes goes to every task. It is bounded, which the members are
+    not, so however many these are the rows stay where they are.
+    """
+    size = min(MOST_BITS, 1 << max(15, (FILTER_BITS * members.count() - 1).bit_length()))
+    at = F.pmod(F.xxhash64(*keys, F.lit("likely")), F.lit(size)) + 1
+    bits = members.select(at.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits")
+    )
+    byte = "conv(hex(substring(_bits, CAST(bitmap_bit_position(_at) DIV 8 AS int) + 1, 1)), 16, 10)"
+    is_set = F.expr(f"getbit(CAST({byte} AS int), CAST(bitmap_bit_position(_at) % 8 AS int)) = 1")
+    found = rows.withColumn("_at", at).join(
+        F.broadcast(bits), F.bitmap_bucket_number("_at") == F.col("_bucket"), "left"
+    )
+    return found.select(*rows.columns, F.coalesce(is_set, F.lit(False)).alias("likely"))
+
+
+def parted(rows: DataFrame, members: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose keys are among those of `members`, and the others. Only rows that are
+    likely to be found are joined, and so shuffled."""
+    marked = likely(rows, members, keys)
+    maybe = marked.where("likely").drop("likely")
+    others = marked.where("NOT likely").drop("likely")
+    wanted = members.select(*keys)
+    return maybe.join(wanted, keys, "left_semi"), others.unionByName(maybe.join(wanted, keys, "left_anti"))
+
+
 def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     """About `most` rows at the most, by a hash of their key: all rows if there are fewer,
     the same ones on each run, and spread evenly over the table."""

@@ -2,9 +2,11 @@ import itertools
 import random
 
 import numpy as np
+from conftest import plan_of
 from helpers import ALL, empty_documents, hard_documents, ids
 
-from siteweave.llm.common import connected, shingles_of, words_of
+from siteweave.llm import common
+from siteweave.llm.common import connected, likely, parted, shingles_of, words_of
 from siteweave.llm.near_duplicates import HASHES, LEAST_SHARE, minhashes, near_duplicates, without_near_duplicates
 
 
@@ -101,3 +103,33 @@ def test_one_text_on_a_third_of_the_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = near_duplicates(docs).where("component_id = 0").count()
     assert got == 1_000 and without_near_duplicates(docs).count() == 2_001
+
+
+def test_a_part_of_the_rows_is_found_and_few_others(spark, monkeypatch):
+    rows = spark.range(40_000).selectExpr("IF(id % 1000 = 0, NULL, id) AS id", "string(id) AS text")
+    members = spark.range(0, 20_000, 4)
+    found, others = parted(rows, members, ["id"])
+    wanted = {k for k in range(0, 20_000, 4) if k % 1000}
+    assert {r.id for r in found.collect()} == wanted and found.count() == len(wanted)
+    assert sorted(int(r.text) for r in others.collect()) == sorted(set(range(40_000)) - wanted)
+    assert likely(rows, members, ["id"]).where("likely").count() < len(wanted) + 40_000 / 10
+    assert likely(rows, members.limit(0), ["id"]).where("likely").isEmpty()
+    monkeypatch.setattr(common, "MOST_BITS", 1 << 15)  # too few bits: more is joined, nothing else changes
+    found, others = parted(rows, members, ["id"])
+    assert found.count() == len(wanted) and others.count() == 40_000 - len(wanted)
+
+
+def test_texts_are_not_shuffled_to_be_left_out(spark):
+    """However many documents go, the texts of those that stay are neither sorted nor joined."""
+    rows = [(k, f"one two three four five six {k % 50} {'x' * (k % 50)}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = without_near_duplicates(docs)
+        plan = plan_of(kept.select("doc_id", "text"), "simple")
+        sides = plan.split("Union")[1]
+        first = sides.split("Exchange")[0] if "Exchange" in sides else sides
+        assert "BroadcastHashJoin" in first and "SortMergeJoin" not in first
+        assert ids(kept) == ids(near_duplicates(docs).where("kept"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
