@@ -6,6 +6,8 @@ being the reference. Parts that are not integers are ignored.
 The expressions of the hot path are SQL text: each reaches Spark in one call.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,11 +69,19 @@ def carried_indices(genotype: Column) -> Column:
     return F.coalesce(F.size(parts), F.lit(0))
 
 
+def made_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value made once a row. Spark copies the expression that makes an
+    array to each place that takes an element of it, and a lambda would make it anew for
+    each element that it takes."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def carried_by(
     genotypes: Column, positions: list[int], every_index: bool = False, haploid: bool = True
 ) -> Column:
     """Alleles carried by the calls at the given array positions: `carried_alleles`, or
-    `carried_indices` with `every_index`."""
+    `carried_indices` with `every_index`. Where the array is not a stored one, give it
+    `made_once`."""
     if every_index:
         # the calls that are not 0|0 are few, so only these are taken apart
         chosen = F.transform(literal_array(positions, "int"), lambda at: F.get(genotypes, at))
@@ -80,11 +90,12 @@ def carried_by(
             F.lit(0).cast("bigint"),
             lambda total, call: total + carried_indices(call).cast("bigint"),
         )
+    # the same for the texts of the table: without 0|0 and nulls few are left to look up
+    chosen = F.transform(literal_array(positions, "int"), lambda at: F.get(genotypes, at))
     return F.aggregate(
-        literal_array(positions, "int"),
+        F.array_remove(F.array_compact(chosen), HOM_REF),
         F.lit(0).cast("bigint"),
-        lambda total, at: total
-        + carried_alleles(F.get(genotypes, at), haploid).cast("bigint"),
+        lambda total, call: total + carried_alleles(call, haploid).cast("bigint"),
     )
 
 

@@ -2,10 +2,10 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteweave.functions.genotypes import carried_by
+from siteweave.functions.genotypes import carried_by, made_once
 from siteweave.functions.literals import is_one_of, literal_array
 from siteweave.operators.alleles import allele_counts
 from siteweave.operators.columns import packed, packed_samples, samples_by_population
@@ -94,13 +94,16 @@ def superpopulation_counts(
     df = packed(df)
     positions = population_positions(df, metadata, populations)
     sites = filter_snp(df) if snp_only else df
-    return sites.select(
-        *[F.col(f"`{c}`") for c in df.columns if c != GENOTYPES],
-        *[
-            carried_by(F.col(GENOTYPES), at, not snp_only, haploid).alias(f"{p}_alleleCount{suffix}")
-            for p, at in positions.items()
-        ],
-    )
+    names = {p: f"{p}_alleleCount{suffix}" for p in positions}
+    kept = [F.col(f"`{c}`") for c in df.columns if c != GENOTYPES]
+    if not positions:
+        return sites.select(*kept)
+
+    def counts(calls: Column) -> Column:
+        return F.struct(*[carried_by(calls, at, not snp_only, haploid).alias(names[p]) for p, at in positions.items()])
+
+    counted = sites.select(*kept, made_once(F.col(GENOTYPES), counts).alias("_counts"))
+    return counted.select(*kept, *[F.col("_counts").getField(n).alias(n) for n in names.values()])
 
 
 def carriers_by_population(
@@ -142,17 +145,21 @@ def carriers_of_packed(
         df = df.where(F.col("reference_name") == reference_name)
     at = population_positions(df, metadata, populations)
 
-    def carriers(population: str):
-        calls = F.transform(literal_array(at.get(population, []), "int"), lambda i: F.get(GENOTYPES, i))
-        return F.size(F.filter(calls, lambda call: call == "1")).cast("bigint")
+    def carriers(calls: Column, population: str) -> Column:
+        own = F.transform(literal_array(at.get(population, []), "int"), lambda i: F.get(calls, i))
+        # all but the calls `1`, without a lambda
+        known = F.array_compact(own)
+        return (F.size(known) - F.size(F.array_remove(known, "1"))).cast("bigint")
+
+    def counts(calls: Column) -> Column:
+        return F.struct(*[carriers(calls, p).alias(p) for p in populations])
 
-    counted = df.select(
-        *KEY5,
-        F.col("qual").alias("quality"),
-        F.col("filter").alias("filters"),
-        *[carriers(p).alias(p) for p in populations],
+    site = [*KEY5, F.col("qual").alias("quality"), F.col("filter").alias("filters")]
+    counted = df.select(*site, made_once(F.col(GENOTYPES), counts).alias("_counts"))
+    number = {p: F.col("_counts").getField(p) for p in populations}
+    return counted.select(
+        *KEY5, "quality", "filters", *[F.when(n > 0, F.array(n)).alias(p) for p, n in number.items()]
     )
-    return counted.withColumns({p: F.when(F.col(p) > 0, F.array(p)) for p in populations})
 
 
 def reconcile_counts(

@@ -62,6 +62,30 @@ def test_superpopulation_counts_do_not_shuffle(spark, stored):
     assert "Exchange" not in plan and "Generate" not in plan
 
 
+def test_the_calls_of_a_site_are_gathered_once(spark):
+    """Not once for each call that is looked up, where the table is wide."""
+    wide = spark.range(4).selectExpr(
+        "'1' AS reference_name", "id AS start_position", "id + 1 AS end_position", "'r' AS id", "'A' AS reference_bases",
+        "'C' AS alternate_bases", "'1' AS qual", "'PASS' AS filter", *[f"string(id % {100 + k}) AS n{k}" for k in range(1, 9)],
+    )
+    people = spark.createDataFrame(
+        [("EUR", f"n{k}", "x") for k in (1, 2, 3, 4)] + [("AFR", f"n{k}", "x") for k in (5, 6, 7, 8)],
+        "SuperPopulation string, Half1 string, Half2 string",
+    )
+    found = [
+        op.superpopulation_counts(wide, people),
+        op.superpopulation_counts(wide, people, haploid=False),
+        op.superpopulation_counts(wide, people, ["EUR"], snp_only=False),
+        op.carriers_of_packed(wide, people),
+        op.carriers_of_packed(wide, people, populations=["EUR"]),
+    ]
+    for df in found:
+        assert plan_of(df, "simple").count("% 101)") == 1
+    assert [r["EUR_alleleCount"] for r in found[0].orderBy("start_position").collect()] == [0, 4, 4, 4]
+    assert [r["EUR_alleleCount"] for r in found[1].collect()] == [0] * 4
+    assert [r["AFR"] for r in found[3].orderBy("start_position").collect()] == [None, [4], None, None]
+
+
 def test_unused_genotypes_are_not_read(stored):
     plan = plan_of(op.count_variants({"h": stored["half1"]}, op.VariantFilter("1", 0, 10)))
     assert "genotypes" not in plan
