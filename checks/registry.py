@@ -1439,16 +1439,20 @@ def _(spark, sf):
 def _(spark, sf):
     """Both halves bucketed by key, so that the merge shuffles neither."""
     names = [new_table(), new_table()]
-    for name, df in zip(names, both(spark, sf).values(), strict=True):
-        sources.write_bucketed(op.pack_samples(df), name, 4)
+    halves = [op.pack_samples(df) for df in both(spark, sf).values()]
+    buckets = sources.bucket_count(*halves)
+    for name, df in zip(names, halves, strict=True):
+        sources.write_bucketed(df, name, buckets)
     return op.wide(op.merge_halves(*[sources.read_bucketed(spark, n) for n in names], plain=True))
 
 
 @query("annotate_variants_bucketed", ORACLES["annotate_variants"])
 def _(spark, sf):
     names = [new_table(), new_table()]
-    for name, df in zip(names, (half1(spark, sf), fixture(spark, sf, "ann")), strict=True):
-        sources.write_bucketed(df, name, 4)
+    tables = half1(spark, sf), fixture(spark, sf, "ann")
+    buckets = sources.bucket_count(*tables)
+    for name, df in zip(names, tables, strict=True):
+        sources.write_bucketed(df, name, buckets)
     return op.annotate_variants(*[sources.read_bucketed(spark, n) for n in names], plain=True)
 
 

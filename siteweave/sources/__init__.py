@@ -1,5 +1,6 @@
 from siteweave.sources.layout import (
     append_chromosome,
+    bucket_count,
     rebin,
     replace_chromosome,
     write_binned,
@@ -35,6 +36,7 @@ from siteweave.sources.sinks import (
 
 __all__ = [
     "append_chromosome",
+    "bucket_count",
     "read_annotation",
     "read_bucketed",
     "read_clean",

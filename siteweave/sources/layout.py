@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteweave.operators.columns import bin_width, level_width, normalise_raw, with_bin, with_level
-from siteweave.schema import BIN, BIN_WIDTH, BIN_WIDTH_KEY, KEY5, LEVEL, require
+from siteweave.schema import BIN, BIN_WIDTH, BIN_WIDTH_KEY, COMPACT, KEY5, LEVEL, SAMPLES_KEY, require
 
 ORDER = ["reference_name", "start_position"]
 
@@ -97,6 +97,32 @@ def append_chromosome(df: DataFrame, path: str, partitions: int | None = None, k
     files.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
 
 
+#: What a bucket holds at most, about, in bytes of Spark's rows: a join sorts a whole bucket of
+#: each table in one task.
+BUCKET_BYTES = 64 << 20
+LEAST_BUCKETS, MOST_BUCKETS = 4, 100_000
+
+
+def _row_bytes(df: DataFrame) -> int:
+    """About how many bytes a row takes in memory: 16 for each call, one if it is compact."""
+    size = 0
+    for field in df.schema.fields:
+        if SAMPLES_KEY in field.metadata:
+            each = 1 if field.name == COMPACT else 16
+            size += 16 + each * len(field.metadata[SAMPLES_KEY])
+        else:
+            size += 8 if isinstance(field.dataType, (T.NumericType, T.BooleanType)) else 32
+    return size
+
+
+def bucket_count(*tables: DataFrame) -> int:
+    """How many buckets `write_bucketed` should give each of these tables, which are to be joined:
+    their number follows the rows of the largest table, so that a bucket does not. The rows
+    are counted, which reads next to nothing of a stored table."""
+    sizes = [df.count() * _row_bytes(df) for df in tables]
+    return min(max(LEAST_BUCKETS, -(-max(sizes) // BUCKET_BYTES)), MOST_BUCKETS)
+
+
 def write_bucketed(
     df: DataFrame, table: str, buckets: int, keys: list[str] = KEY5, mode: str = "errorifexists"
 ):
@@ -104,7 +130,7 @@ def write_bucketed(
 
     Two tables of equally many buckets by the same keys are merged or annotated without
     a shuffle: `merge_halves(a, b, plain=True)`, `annotate_variants(a, b, plain=True)`. A key
-    stays in one bucket however many rows it has.
+    stays in one bucket however many rows it has. `bucket_count` finds how many suit both.
     """
     require(df, keys)
     dealt = df.repartition(buckets, *[F.col(k) for k in keys])

@@ -132,6 +132,24 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
         spark.sql(f"DROP TABLE {n}")
 
 
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    """Ten times the rows make ten times the buckets, and the tables of a join have equally many."""
+    from checks import registry
+    from siteweave.sources import layout
+
+    df = op.pack_samples(variants(spark))
+    assert sources.bucket_count(df) == layout.LEAST_BUCKETS
+    monkeypatch.setattr(layout, "BUCKET_BYTES", 8_000)
+    few = sources.bucket_count(df)
+    tenfold = df.crossJoin(spark.range(10).select(F.col("id").alias("n")))
+    assert few > layout.LEAST_BUCKETS and 9 * few <= sources.bucket_count(df.limit(1), tenfold) <= 11 * few
+    asked, write = [], sources.write_bucketed
+    monkeypatch.setattr(sources, "write_bucketed", lambda df, name, n: asked.append(n) or write(df, name, n))
+    for name in ("merge_halves_bucketed", "annotate_variants_bucketed"):
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(asked) == 4 and asked[0] == asked[1] > 20 and asked[2] == asked[3] > 20
+
+
 def test_levels_prune_what_begins_too_far_away(spark, tmp_path):
     path = str(tmp_path / "v")
     rows = [("1", k * 1000, k * 1000 + (250_000_000 if k == 5 else 1 << 60 if k == 6 else 1)) for k in range(20_000)]
