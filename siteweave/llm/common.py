@@ -1,9 +1,11 @@
 """Helpers the operators share: saved tables, words, shingles, connected components."""
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -60,6 +62,21 @@ def texts_of(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+#: Bytes of text that a piece of a batch holds besides its first text, and what a row counts for besides its text.
+PIECE_BYTES, ROW_BYTES = 1 << 20, 64
+
+
+def pieces(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices that hold at most PIECE_BYTES in the string column `at`, besides the
+    slice's first text. What Python makes of a slice is gone before the next, so a worker's memory does not
+    follow the size of Spark's batches."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes.astype(np.int64) + ROW_BYTES)
+    starts = [0, *(np.flatnonzero(np.diff(ends // PIECE_BYTES)) + 1).tolist(), batch.num_rows]
+    for start, end in zip(starts, starts[1:], strict=False):
+        yield batch.slice(start, end - start)
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Words with A-Z lower-cased. bytes.lower and bytes.split know ASCII alone, which is
     what WORD asks for."""

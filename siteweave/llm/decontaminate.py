@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm.common import mixed, table, texts_of, word_hashes
+from siteweave.llm.common import mixed, pieces, table, texts_of, word_hashes
 
 #: An overlap is a window of WINDOW aligned words of which at most SUBSTITUTED differ. An item
 #: of fewer words is one window with room in proportion; one of under WHOLE words, which
@@ -175,9 +175,9 @@ def overlaps(
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names = ["doc_id", "item_id", "first_word", "n_windows", "matched"]
             index = Index(*sent.value)
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-                texts = texts_of(batch.column(1))
+            for piece in (p for batch in batches for p in pieces(batch, 1)):
+                ids = piece.column(0).to_pylist()
+                texts = texts_of(piece.column(1))
                 rows = [(i, *o) for i, t in zip(ids, texts, strict=True) for o in overlaps_of(t, index)]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 kinds = [pa.int64()] * 2 + [pa.int32()] * 3
@@ -205,9 +205,9 @@ def decontaminated(
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Index(*sent.value)
-            for batch in batches:
-                clean = [not overlaps_of(t, index) for t in texts_of(batch.column(at))]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+            for piece in (p for batch in batches for p in pieces(batch, at)):
+                clean = [not overlaps_of(t, index) for t in texts_of(piece.column(at))]
+                yield piece.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -15,6 +15,7 @@ from siteweave.llm.common import (
     likely,
     mixed,
     parted,
+    pieces,
     roots_of,
     saved,
     shingles_of,
@@ -67,9 +68,9 @@ def fingerprint(shingles: np.ndarray) -> tuple:
 
 def sketch_rows(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for piece in (p for batch in batches for p in pieces(batch, 1)):
             n, f1, f2, subs = [], [], [], []
-            for text in texts_of(batch.column(1)):
+            for text in texts_of(piece.column(1)):
                 shingles = shingles_of(words_of(text), width)
                 for out, value in zip((n, f1, f2), fingerprint(shingles), strict=True):
                     out.append(value)
@@ -85,7 +86,7 @@ def sketch_rows(width: int):
             longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             lists = lambda x: pa.array(x, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), longs(n), longs(f1), longs(f2), lists(subs)],
+                [piece.column(0), piece.column(2), longs(n), longs(f1), longs(f2), lists(subs)],
                 names=["id", "mark", "n", "f1", "f2", "sketches"],
             )
 
@@ -94,12 +95,12 @@ def sketch_rows(width: int):
 
 def set_rows(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles_of(words_of(t), width) for t in texts_of(batch.column(1))]
+        for piece in (p for batch in batches for p in pieces(batch, 1)):
+            sets = [shingles_of(words_of(t), width) for t in texts_of(piece.column(1))]
             prints = np.array([fingerprint(x) for x in sets], np.uint64).reshape(-1, 3).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    piece.column(0),
                     *[pa.array(prints[:, k]) for k in range(3)],
                     pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
                 ],

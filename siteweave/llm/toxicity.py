@@ -6,11 +6,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from siteweave.llm.common import bounded_sample, saved, table, texts_of
+from siteweave.llm.common import bounded_sample, pieces, saved, table, texts_of
 
 #: Labelled rows that the models are fitted on at the most.
 SAMPLE = 20_000
@@ -43,16 +44,30 @@ def distinct_words(text: bytes | None) -> set[str]:
 
 
 def feature_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for piece in (p for batch in batches for p in pieces(batch, batch.num_columns - 1)):
         rows = []
-        for text in texts_of(batch.column(batch.num_columns - 1)):
+        for text in texts_of(piece.column(piece.num_columns - 1)):
             rows.append(np.fromiter({f for w in distinct_words(text) for f in features_of_word(w)}, np.int64))
-        columns = [batch.column(k) for k in range(batch.num_columns - 1)]
+        columns = [piece.column(k) for k in range(piece.num_columns - 1)]
         yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array(rows, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "features"]
+            [*columns, pa.array(rows, pa.list_(pa.int64()))], names=[*piece.schema.names[:-1], "features"]
         )
 
 
+def places(lists: pa.ListArray, known: np.ndarray) -> pa.ListArray:
+    """Where the features of each row stand in `known`, ascending; the others are left out."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    at = np.searchsorted(known, flat)
+    found = at < len(known)
+    found[found] = known[at[found]] == flat[found]
+    row, at = row[found], at[found]
+    ends = np.cumsum(np.bincount(row, minlength=len(lists)))
+    return pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(at[np.lexsort((at, row))], pa.int64())
+    )
+
+
 class Link(NamedTuple):
     """A linear model: bias, weights of the features, weights of the earlier categories."""
 
@@ -190,17 +205,8 @@ def learn_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
 
     def indexed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = []
-            for f in batch.column(batch.num_columns - 1).to_pylist():
-                f = np.array(f, np.int64)
-                at = np.searchsorted(known, f)
-                near = at < len(known)
-                at, f = at[near], f[near]
-                lists.append(np.sort(at[known[at] == f]))
             columns = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(lists, pa.list_(pa.int64()))], names=batch.schema.names
-            )
+            yield pa.RecordBatch.from_arrays([*columns, places(batch.column(batch.num_columns - 1), known)], names=batch.schema.names)
 
     pdf = rows.mapInArrow(indexed, f"{kinds}, features array<long>").toPandas().sort_values("id", ignore_index=True)
     sizes = np.array([len(f) for f in pdf["features"]], np.int64)
@@ -252,11 +258,11 @@ def predict_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_i
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*sent.value)
-        for batch in batches:
-            said = np.array([scorer.probabilities(t) for t in texts_of(batch.column(1))]).reshape(-1, len(names))
+        for piece in (p for batch in batches for p in pieces(batch, 1)):
+            said = np.array([scorer.probabilities(t) for t in texts_of(piece.column(1))]).reshape(-1, len(names))
             toxic = pa.array(said[:, -1] >= least)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(said[:, k]) for k in range(len(names))], toxic], names=["doc_id", *names, "toxic"]
+                [piece.column(0), *[pa.array(said[:, k]) for k in range(len(names))], toxic], names=["doc_id", *names, "toxic"]
             )
 
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
@@ -271,9 +277,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*sent.value)
-        for batch in batches:
-            clean = [scorer.probabilities(t)[-1] < least for t in texts_of(batch.column(at))]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+        for piece in (p for batch in batches for p in pieces(batch, at)):
+            clean = [scorer.probabilities(t)[-1] < least for t in texts_of(piece.column(at))]
+            yield piece.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
