@@ -56,3 +56,26 @@ def test_features_are_found_among_the_known_without_a_python_number_each():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 6 * wide.nbytes
+
+
+def test_arrow_batches_are_bounded_by_bytes_unless_the_user_bounds_them(spark, tmp_path):
+    key = common.ARROW_BYTES[0]
+    before = spark.conf.get(key, None)
+    path = str(tmp_path / "documents.parquet")
+    spark.range(6000, numPartitions=1).selectExpr("id AS doc_id", "repeat(md5(string(id)), 60) AS text").coalesce(1).write.parquet(path)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    try:
+        spark.conf.unset(key)
+        got = common.table(spark, str(tmp_path), "documents").mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in got) == 6000 and max(r.bytes for r in got) < 5 << 20
+        spark.conf.set(key, "8m")
+        common.table(spark, str(tmp_path), "documents")
+        assert spark.conf.get(key) == "8m"
+    finally:
+        spark.conf.unset(key)
+        if before is not None:
+            spark.conf.set(key, before)
