@@ -6,6 +6,7 @@ a position that holds far more rows than others; it is the same in every attempt
 """
 
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,25 @@ from siteweave.schema import BIN, BIN_WIDTH, BIN_WIDTH_KEY, COMPACT, KEY5, LEVEL
 
 ORDER = ["reference_name", "start_position"]
 
+#: HotSpot compiles no method of more bytes of code than this, and Spark's own limit is eight times
+#: as high: a row of many cells is often made by one method between the two, which is interpreted.
+COMPILED = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+@contextmanager
+def _compiled(spark: SparkSession):
+    """Spark makes methods that are compiled, in several steps if need be, while this is open,
+    unless the session sets a limit of its own."""
+    name, limit = COMPILED
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, limit)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
 
 def _by_position(df: DataFrame, partitions: int | None, order: list[str] = ORDER) -> DataFrame:
     salted = df.withColumn("_spread", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
@@ -54,15 +74,32 @@ def write_binned(
         "start_position", {**df.schema["start_position"].metadata, BIN_WIDTH_KEY: width}
     )
     by = ["reference_name", BIN] if partition_by_bin else ["reference_name"]
-    _by_position(df, partitions, order).write.mode(mode).partitionBy(*by).parquet(path)
+    with _compiled(df.sparkSession):
+        _by_position(df, partitions, order).write.mode(mode).partitionBy(*by).parquet(path)
 
 
 def replace_chromosome(df: DataFrame, path: str, partitions: int | None = None):
     """Copy every chromosome of `df` into a per-chromosome table, in one job, in the place of
     what the table has of it; the other chromosomes stay."""
-    _by_position(df, partitions).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("reference_name").parquet(path)
+    with _compiled(df.sparkSession):
+        _by_position(df, partitions).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("reference_name").parquet(path)
+
+
+def _kept(have: DataFrame, df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of `have` that stay when `df` is inserted: those of its chromosomes under other keys.
+
+    The names of the chromosomes come to the driver, as each is a directory: only those are
+    read, and the rows move once, to meet the keys.
+    """
+    names = [r[0] for r in df.select("reference_name").distinct().collect()]
+    concerned = F.col("reference_name").isin([n for n in names if n is not None])
+    if None in names:
+        concerned |= F.col("reference_name").isNull()
+    delta = df.select(*[F.col(k).alias(f"_new_{k}") for k in keys]).distinct()
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys])
+    return have.where(concerned).join(delta, same, "left_anti")
 
 
 def append_chromosome(df: DataFrame, path: str, partitions: int | None = None, keys: list[str] = KEY5):
@@ -84,15 +121,10 @@ def append_chromosome(df: DataFrame, path: str, partitions: int | None = None, k
     name = T.StructField("reference_name", df.schema["reference_name"].dataType)
     fields = [name if f.name == name.name else f for f in schema.fields]
     have = spark.read.schema(T.StructType(fields)).parquet(path)
-    delta = df.select(*[F.col(k).alias(f"_new_{k}") for k in keys]).distinct()
-    touched = df.select(F.col("reference_name").alias("_new_name")).distinct()
-    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys])
-    kept = have.join(touched, F.col("reference_name").eqNullSafe(F.col("_new_name")), "left_semi").join(
-        delta, same, "left_anti"
-    )
     # a folder that readers of the table pass over
     staged = f"{path.rstrip('/')}/_staged-{uuid.uuid4().hex}"
-    kept.unionByName(df, allowMissingColumns=True).write.parquet(staged)
+    with _compiled(spark):
+        _kept(have, df, keys).unionByName(df, allowMissingColumns=True).write.parquet(staged)
     replace_chromosome(spark.read.parquet(staged), path, partitions)
     files.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
 
@@ -134,14 +166,16 @@ def write_bucketed(
     """
     require(df, keys)
     dealt = df.repartition(buckets, *[F.col(k) for k in keys])
-    dealt.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+    with _compiled(df.sparkSession):
+        dealt.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
 
 
 def write_clustered(
     raw: DataFrame, target: str, partitions: int | None = None, mode: str = "errorifexists"
 ):
     """Raw VCF names -> a table clustered by chromosome and position, end derived."""
-    _by_position(normalise_raw(raw), partitions).write.mode(mode).parquet(target)
+    with _compiled(raw.sparkSession):
+        _by_position(normalise_raw(raw), partitions).write.mode(mode).parquet(target)
 
 
 def rebin(

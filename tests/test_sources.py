@@ -2,17 +2,21 @@
 
 import glob
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks.fixtures import fixture
 from conftest import plan_of
 from siteweave import operators as op
 from siteweave import sources
 from siteweave.operators.columns import bin_width
 from siteweave.operators.filters import VariantFilter
 from siteweave.schema import KEY5
+from siteweave.sources import layout
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = (
     "reference_name string, start_position long, end_position long, id string, "
     "reference_bases string, alternate_bases string, qual string, filter string, s1 string, s2 string"
@@ -110,6 +114,58 @@ def test_append_inserts_by_key(spark, tmp_path):
     assert left.count() == some.where("reference_name = '1'").count()
 
 
+def test_append_reads_only_its_chromosomes(spark, tmp_path):
+    path = str(tmp_path / "v")
+    df = variants(spark, chroms=("1", "7", None, "Y"))
+    sources.append_chromosome(df, path)
+    others = glob.glob(f"{path}/reference_name=Y/*.parquet")
+    assert others
+    for file in others:
+        with open(file, "wb") as f:
+            f.write(b"no Parquet")
+    some = df.where("reference_name = '7' OR reference_name IS NULL").where("start_position % 3000 = 0")
+    delta = some.withColumn("qual", F.lit("7"))
+    for _ in range(2):
+        sources.append_chromosome(delta, path)
+    back = op.wide(sources.read_variants(spark, path)).select(*df.columns)
+    mine = "coalesce(reference_name, '') <> 'Y'"
+    want = df.where(mine).withColumn(
+        "qual", F.when(F.expr("coalesce(reference_name, '7') = '7' AND start_position % 3000 = 0"), "7").otherwise("1")
+    )
+    assert want.where("qual = '7'").count() == delta.count() > 10
+    assert same(back.where(mine), want)
+    assert sorted(glob.glob(f"{path}/reference_name=Y/*.parquet")) == sorted(others)
+
+
+def test_layouts_are_written_by_compiled_code(spark, tmp_path, monkeypatch):
+    name, limit = layout.COMPILED
+    df = fixture(spark, SF, "half1")
+    code = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+    # what Spark makes of this source is more than HotSpot compiles, and less than Spark splits
+    assert int(limit) < max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 65535
+    seen = []
+    given = layout._by_position
+
+    def noted(*args):
+        seen.append(spark.conf.get(name, None))
+        return given(*args)
+
+    monkeypatch.setattr(layout, "_by_position", noted)
+    for _ in range(2):
+        sources.append_chromosome(df, str(tmp_path / "append"))
+    sources.write_binned(df, str(tmp_path / "binned"))
+    sources.write_clustered(df, str(tmp_path / "clustered"))
+    with pytest.raises(Exception, match="(?i)exists"):
+        sources.write_clustered(df, str(tmp_path / "clustered"))
+    assert seen == [limit] * 5 and spark.conf.get(name, None) is None
+    spark.conf.set(name, "9000")  # the user's own stays
+    try:
+        sources.append_chromosome(df, str(tmp_path / "append"))
+        assert seen[-1] == "9000" == spark.conf.get(name, None)
+    finally:
+        spark.conf.unset(name)
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark):
     df = variants(spark)
     other = df.select(*KEY5, F.col("id").alias("note"))
